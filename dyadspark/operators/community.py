@@ -90,8 +90,10 @@ def log_ratio(abundance: DataFrame, zero_policy: str = "shift_all") -> DataFrame
     if zero_policy not in ("shift_all", "replace_zero"):
         raise ValueError(f"unknown zero_policy {zero_policy!r}")
     shares = relative_abundance(abundance.where(F.col("n") > 0))
-    half = _scalar(shares, F.min("share") / 2)
-    n_taxa = _scalar(shares.select("taxon_id").distinct(), F.count(F.lit(1)))
+    facts = _scalar(
+        shares, F.struct((F.min("share") / 2).alias("half"), F.count_distinct("taxon_id").alias("taxa"))
+    )
+    half, n_taxa = facts.getField("half"), facts.getField("taxa")
     present = F.col("share") + half if zero_policy == "shift_all" else F.col("share")
     logs = shares.withColumns({"__log": F.ln(present), "__absent": F.ln(half)})
     means = logs.groupBy("sample_id").agg(

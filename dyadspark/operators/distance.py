@@ -84,7 +84,7 @@ def profile_arrays(ratios: DataFrame) -> DataFrame:
     return entries.select("sample_id", F.flatten(F.transform("e", padded)).alias("lifts"))
 
 
-def array_distance(a: str, b: str, n_taxa: Column) -> Column:
+def array_distance(a: str, b: str, n_taxa: str) -> Column:
     """Aitchison distance of two ``lifts`` arrays.
 
     With u the difference of the lifts, the squared distance of the centred
@@ -95,13 +95,13 @@ def array_distance(a: str, b: str, n_taxa: Column) -> Column:
         F.col(a), F.col(b), lambda p, q: F.coalesce(p, zero) - F.coalesce(q, zero)
     )
     start = F.struct(zero.alias("s"), zero.alias("q"))
-    sums = F.aggregate(
+    squared = F.aggregate(
         diff,
         start,
         lambda acc, u: F.struct((acc.getField("s") + u).alias("s"), (acc.getField("q") + u * u).alias("q")),
-        lambda acc: acc.getField("q") - acc.getField("s") * acc.getField("s") / n_taxa,
+        lambda acc: acc.getField("q") - acc.getField("s") * acc.getField("s") / F.col(n_taxa),
     )
-    return F.sqrt(F.greatest(sums, zero))
+    return F.sqrt(F.greatest(squared, zero))
 
 
 def taxon_count(ratios: DataFrame) -> Column:
@@ -177,7 +177,8 @@ def distance_tiles(
     parts = fan_out(spark)
     data = ["sample_id", "ord", "taxa", "lifts", "n_taxa"]
     a = a.select(*block, F.col("__own").alias("__a"), "__b", *data).repartition(parts, *keys)
-    b = b.select(*block, "__a", F.col("__own").alias("__b"), *data).repartition(parts, *keys)
+    fresh = [F.col(c).alias(c) for c in [*block, "__a"]]  # the two sides must not share column ids
+    b = b.select(*fresh, F.col("__own").alias("__b"), *[F.col(c).alias(c) for c in data]).repartition(parts, *keys)
     id_type = samples.schema["sample_id"].dataType.simpleString()
 
     def dense(pdf, index):
@@ -222,8 +223,8 @@ def aitchison_pairs(
     tile_rows: int = 2048,
 ) -> DataFrame:
     """Pairs of a block with their distance; sample columns ride along as ``_x`` / ``_y``."""
-    rows = samples.join(profile_arrays(ratios), "sample_id")
+    rows = samples.join(profile_arrays(ratios), "sample_id").withColumn("n_taxa", taxon_count(ratios))
     pairs = pair_within(rows, block, order, where, tile_rows)
-    return pairs.withColumn("distance", array_distance("lifts_x", "lifts_y", taxon_count(ratios))).drop(
-        "lifts_x", "lifts_y"
+    return pairs.withColumn("distance", array_distance("lifts_x", "lifts_y", "n_taxa_x")).drop(
+        "lifts_x", "lifts_y", "n_taxa_x", "n_taxa_y"
     )

@@ -40,8 +40,8 @@ def quantiles(
     )
     span = values.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
     place = F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * bins), F.lit(0))
-    same_class = values["g"].eqNullSafe(span["g"])
-    binned = values.join(span, same_class).select(values["g"], "v", "c", place.alias("bin"))
+    span = span.withColumnRenamed("g", "rg")
+    binned = values.join(span, F.col("g").eqNullSafe(F.col("rg"))).select("g", "v", "c", place.alias("bin"))
 
     def before(window):
         return F.coalesce(F.sum("c").over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -55,7 +55,7 @@ def quantiles(
             wanted.append(
                 F.struct(F.lit(name).alias("name"), F.least(rank, F.col("n") - 1).alias("rank"), weight.alias("w"))
             )
-    ranks = span.select(F.col("g").alias("rg"), F.inline(F.array(*wanted)))
+    ranks = span.select("rg", F.inline(F.array(*wanted)))
     hit = F.col("g").eqNullSafe(F.col("rg")) & (F.col("rank") >= F.col("start"))
     places = starts.join(ranks, hit & (F.col("rank") < F.col("start") + F.col("c"))).select(
         "rg", F.col("bin").alias("rbin"), "start", "name", "rank", "w"

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from dyadspark.session import checkpoint
+from dyadspark.session import materialise
 
 INTERCEPT = "intercept"
 MEMBER, GROUP = "member", "group"
@@ -230,7 +230,7 @@ def solve_levels(
 
     All right-hand sides advance together. An iteration is one join of the
     meeting levels with the search directions and one aggregation; the state is
-    a row per level, checkpointed each time. The driver sees two numbers per
+    a row per level, written out each time. The driver sees two numbers per
     right-hand side and iteration.
     """
     names = list(names)
@@ -246,9 +246,9 @@ def solve_levels(
         *[F.col(c).alias(f"r_{c}") for c in names],
         *[(F.col(c) / diag).alias(f"p_{c}") for c in names],
     )
-    state = checkpoint(state)
+    state = materialise(state)
     live = edges.where(F.col("factor").isin(list(ridge)) & F.col("factor_b").isin(list(ridge)))
-    live = checkpoint(live)
+    live = materialise(live)
 
     def energy(df):
         return _sums(df, {c: F.col(f"r_{c}") * F.col(f"r_{c}") / F.col("d") for c in names})
@@ -266,7 +266,7 @@ def solve_levels(
         moved = state.join(pushed, key, "left").withColumns(
             {f"o_{c}": F.col("d") * F.col(f"p_{c}") + F.coalesce(F.col(f"o_{c}"), F.lit(0.0)) for c in names}
         )
-        moved = checkpoint(moved)
+        moved = materialise(moved)
         curve = _sums(moved, {c: F.col(f"p_{c}") * F.col(f"o_{c}") for c in names})
         step = {c: (rz[c] / curve[c] if curve[c] > 0 else 0.0) for c in names}
         moved = moved.withColumns(

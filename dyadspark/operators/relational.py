@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from dyadspark.session import materialise
+
 
 def _row_salt(df: DataFrame, salts: int) -> Column:
     return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)).cast("int")
@@ -191,7 +193,8 @@ def dense_id(
     ranges, plus the rank inside the last one. Rows with a missing key get NULL.
     """
     a, b = keys
-    distinct = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
+    keyed = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    distinct = materialise(keyed.distinct())  # read five times below
     span = distinct.agg(
         F.struct(
             F.min(a).alias("lo_a"), F.max(a).alias("hi_a"), F.min(b).alias("lo_b"), F.max(b).alias("hi_b")

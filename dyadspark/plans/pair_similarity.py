@@ -16,6 +16,7 @@ from dyadspark.operators import dyads
 from dyadspark.operators.community import core_taxa, keep_taxa, log_ratio, relative_abundance
 from dyadspark.operators.distance import aitchison_pairs, pair_within, similarity
 from dyadspark.operators.relational import lookup
+from dyadspark.session import materialise
 
 BLOCK = ("year", "season")
 
@@ -23,9 +24,14 @@ BLOCK = ("year", "season")
 def core_log_ratios(
     abundance: DataFrame, detection: float = 1e-4, prevalence: float = 0.05, zero_policy: str = "shift_all"
 ) -> DataFrame:
-    """Log-ratios over the core taxa of a count table."""
-    core = core_taxa(relative_abundance(abundance), detection, prevalence)
-    return log_ratio(keep_taxa(abundance, core), zero_policy)
+    """Log-ratios over the core taxa of a count table, written out.
+
+    Each step needs whole-table facts of the one before, and pairing reads the
+    ratios several times. Counts and ratios are stage boundaries for that reason.
+    """
+    counts = materialise(abundance)
+    core = core_taxa(relative_abundance(counts), detection, prevalence)
+    return materialise(log_ratio(keep_taxa(counts, core), zero_policy))
 
 
 def enrich_samples(

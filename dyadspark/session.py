@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -52,9 +52,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder}/{uuid.uuid4().hex}"
 
 
-def checkpoint(df):
-    """Cut lineage by materialising in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a step's result to the shared folder and go on from the written table.
+
+    Used where a result is read several times or a loop would grow its plan. The
+    table outlives lost executors, and Spark knows its size and columns.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
