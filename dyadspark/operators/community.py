@@ -135,18 +135,21 @@ def _seed_of(seed: int, *labels) -> np.random.Generator:
     return np.random.default_rng([seed, zlib.crc32("|".join(map(str, labels)).encode())])
 
 
-def rarefy_deep(abundance: DataFrame, depth: int = 8000, seed: int = 88, buckets: int = 64) -> DataFrame:
+def rarefy_deep(abundance: DataFrame, depth: int = 8000, seed: int = 88, bucket_taxa: int = 4096) -> DataFrame:
     """Rarefaction for counts too large to list read by read.
 
-    The reads to draw are first divided among taxon buckets of a sample by one
-    multivariate hypergeometric draw, then within each bucket by another, which
-    together is the same distribution. A task sees one bucket of one sample.
+    A sample's taxa are cut into buckets of about ``bucket_taxa``. The reads to
+    draw are first divided among the buckets by one multivariate hypergeometric
+    draw, then within each bucket by another, which together is the same
+    distribution. A task sees one bucket of one sample.
     """
-    bucket = F.pmod(F.xxhash64("taxon_id"), F.lit(buckets)).cast("int")
-    counts = abundance.where(F.col("n") > 0).withColumn("bucket", bucket)
+    counts = abundance.where(F.col("n") > 0)
+    totals = counts.groupBy("sample_id").agg(
+        F.sum("n").alias("__t"), F.ceil(F.count(F.lit(1)) / bucket_taxa).alias("__buckets")
+    ).where(F.col("__t") >= depth)
+    bucket = F.pmod(F.xxhash64("taxon_id"), F.col("__buckets")).cast("int")
+    counts = counts.join(totals, "sample_id").withColumn("bucket", bucket)
     per_bucket = counts.groupBy("sample_id", "bucket").agg(F.sum("n").alias("total"))
-    totals = per_bucket.groupBy("sample_id").agg(F.sum("total").alias("__t")).where(F.col("__t") >= depth)
-    per_bucket = per_bucket.join(totals, "sample_id", "left_semi")
     key_type = abundance.schema["sample_id"].dataType.simpleString()
     taxon_type = abundance.schema["taxon_id"].dataType.simpleString()
 
@@ -168,7 +171,7 @@ def rarefy_deep(abundance: DataFrame, depth: int = 8000, seed: int = 88, buckets
         divide, f"sample_id {key_type}, bucket int, quota bigint"
     )
     return (
-        counts.join(quotas, ["sample_id", "bucket"])
+        counts.select("sample_id", "taxon_id", "n", "bucket").join(quotas, ["sample_id", "bucket"])
         .groupBy("sample_id", "bucket")
         .applyInPandas(draw, f"sample_id {key_type}, taxon_id {taxon_type}, n bigint")
     )

@@ -73,42 +73,41 @@ class _Restricted:
         self.zx, self.zy, self.zz, self.which = zx, zy, zz, which
         self.k = int(which.max()) + 1 if len(which) else 0
 
-    def parts(self, theta):
-        """With V = sigma2 (I + Z diag(theta) Z'): log|V/sigma2|, and x'V^-1x, x'V^-1y, y'V^-1y times sigma2."""
+    def factor(self, theta):
+        """With V = sigma2 (I + Z diag(theta) Z'): log|V/sigma2| and the lower factor of
+        [x y]' V^-1 [x y] times sigma2, both read off one Cholesky factor of the bordered matrix."""
         s = np.sqrt(np.asarray(theta))[self.which]
         use = s > 0
-        if not use.any():
-            return 0.0, self.xx, self.xy, self.yy
-        s = s[use]
-        inner = self.zz[np.ix_(use, use)] * np.outer(s, s)
-        inner[np.diag_indices_from(inner)] += 1.0
-        low = np.linalg.cholesky(inner)
-        right = np.column_stack([self.zx[use], self.zy[use]]) * s[:, None]
-        half = np.linalg.solve(low, right)
-        a, b = half[:, :-1], half[:, -1]
-        logdet = 2.0 * np.log(np.diag(low)).sum()
-        return logdet, self.xx - a.T @ a, self.xy - a.T @ b, self.yy - b @ b
+        s, p = s[use], len(self.xy)
+        q = len(s)
+        whole = np.empty((q + p + 1, q + p + 1))
+        whole[:q, :q] = self.zz[np.ix_(use, use)] * np.outer(s, s)
+        whole[np.arange(q), np.arange(q)] += 1.0
+        whole[q:, :q] = (np.column_stack([self.zx[use], self.zy[use]]) * s[:, None]).T
+        whole[:q, q:] = whole[q:, :q].T
+        whole[q:, q:] = np.block([[self.xx, self.xy[:, None]], [self.xy[None, :], np.array([[self.yy]])]])
+        low = np.linalg.cholesky(whole)
+        return 2.0 * np.log(np.diag(low)[:q]).sum(), low[q:, q:]
 
     def profile(self, theta):
         """-2 log restricted likelihood (constants dropped) with sigma2 at its best."""
-        logdet, xvx, xvy, yvy = self.parts(theta)
+        logdet, low = self.factor(theta)
         p = len(self.xy)
-        beta = np.linalg.solve(xvx, xvy)
-        sigma2 = max((yvy - beta @ xvy) / (self.n - p), 1e-300)
-        value = (self.n - p) * math.log(sigma2) + logdet + np.linalg.slogdet(xvx)[1]
-        return value, beta, sigma2, xvx
+        beta = np.linalg.solve(low[:p, :p].T, low[p, :p])
+        sigma2 = max(low[p, p] ** 2 / (self.n - p), 1e-300)
+        value = (self.n - p) * math.log(sigma2) + logdet + 2 * np.log(np.diag(low)[:p]).sum()
+        return value, beta, sigma2, low[:p, :p] @ low[:p, :p].T
 
     def full(self, log_var):
         """-2 log restricted likelihood and covariance of beta at given log variances (residual last)."""
         var = np.exp(log_var)
-        logdet, xvx, xvy, yvy = self.parts(var[:-1] / var[-1])
+        logdet, low = self.factor(var[:-1] / var[-1])
         p = len(self.xy)
-        beta = np.linalg.solve(xvx, xvy)
-        value = (self.n - p) * log_var[-1] + logdet + np.linalg.slogdet(xvx)[1] + (yvy - beta @ xvy) / var[-1]
-        return value, var[-1] * np.linalg.inv(xvx)
+        value = (self.n - p) * log_var[-1] + logdet + 2 * np.log(np.diag(low)[:p]).sum() + low[p, p] ** 2 / var[-1]
+        return value, var[-1] * np.linalg.inv(low[:p, :p] @ low[:p, :p].T)
 
 
-def _simplex_search(f, start, step=1.0, tol=1e-8, max_iter=400):
+def _simplex_search(f, start, step=1.0, tol=1e-7, max_iter=200):
     """Downhill simplex in a few dimensions."""
     points = [np.array(start, float)]
     for i in range(len(start)):
@@ -120,7 +119,7 @@ def _simplex_search(f, start, step=1.0, tol=1e-8, max_iter=400):
         order = np.argsort(values)
         points, values = [points[i] for i in order], [values[i] for i in order]
         size = max(np.abs(p - points[0]).max() for p in points[1:])
-        if values[-1] - values[0] < tol and size < 1e-5:
+        if values[-1] - values[0] < tol and size < 1e-4:
             break
         centre = np.mean(points[:-1], axis=0)
         away = centre - points[-1]

@@ -41,6 +41,7 @@ def enrich_samples(
     alpha: DataFrame | None = None,
     parents: DataFrame | None = None,
 ) -> DataFrame:
+    """Samples with what is known about their group, bird and community, written out: pairing reads them thrice."""
     if group_dim is not None:
         samples = lookup(samples, group_dim, [("group_id", "group_id")])
     if natal is not None:
@@ -49,7 +50,7 @@ def enrich_samples(
         samples = lookup(samples, alpha.select("sample_id", "observed", "shannon"), [("sample_id", "sample_id")])
     if parents is not None:
         samples = lookup(samples, parents.select("off_id", "parent"), [("bird_id", "off_id")])
-    return samples
+    return materialise(samples)
 
 
 def pairable(samples: DataFrame) -> DataFrame:

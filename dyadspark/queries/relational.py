@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dyadspark import functions as fx
 from dyadspark.operators import community, distance, dyads, relational as rel, reshape, roster
+from dyadspark.plans import pair_similarity as plan
 from dyadspark.queries.registry import Study, query, quoted
 from dyadspark.session import shared_folder
 from dyadspark.sources import readers, writers
@@ -106,7 +107,7 @@ SELECT year, season, pair_type, CAST(list_position(['diffGroup', 'Dominantpair',
 FROM c_typed WHERE season = 'Major' GROUP BY year, season, pair_type""")
 def _(s: Study):
     path = shared_folder(s.spark)
-    writers.write_pair_table(s.pairs, path)
+    writers.write_pair_table(s.pairs, path, ["season"])
     back = writers.read_pair_table(s.spark, path, {"pair_type": dyads.PAIR_TYPES}).where(F.col("season") == "Major")
     return rel.count_by(back, F.col("year").cast("bigint").alias("year"), "season", "pair_type", F.col("pair_type_rank").alias("level"))
 
@@ -569,7 +570,7 @@ def _(s: Study):
 @query("p5_matrix_to_triples", """
 SELECT sample_id_x, sample_id_y, round(-distance, 6) AS similarity FROM c_distance WHERE distance > 0.000000001""")
 def _(s: Study):
-    ratios = community.log_ratio(s.core())
+    ratios = plan.core_log_ratios(s.view("abund"))
     pairs = distance.distance_tiles(ratios, s.view("sites").select("period_id", "sample_id", "ord"), ["period_id"])
     return distance.similarity(pairs).select("sample_id_x", "sample_id_y", "similarity")
 

@@ -102,7 +102,7 @@ def _(s: Study):
 SELECT sample_id_x, sample_id_y, round(distance, 6) AS distance FROM c_distance""")
 def _(s: Study):
     sites = s.view("sites").select("period_id", "sample_id", "ord")
-    ratios = community.log_ratio(s.core())
+    ratios = plan.core_log_ratios(s.view("abund"))
     return distance.distance_tiles(ratios, sites, ["period_id"])
 
 
@@ -110,7 +110,7 @@ def _(s: Study):
 SELECT sample_id_x, sample_id_y, round(distance, 6) AS distance FROM c_distance""")
 def _(s: Study):
     sites = s.view("sites").select("period_id", "sample_id", "ord")
-    pairs = distance.aitchison_pairs(community.log_ratio(s.core()), sites, ["period_id"])
+    pairs = distance.aitchison_pairs(plan.core_log_ratios(s.view("abund")), sites, ["period_id"])
     return pairs.select("sample_id_x", "sample_id_y", "distance")
 
 
