@@ -12,10 +12,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from dyadspark.functions import in_set, round_half_even
-from dyadspark.operators.relational import first_k, lookup, share_of_group
+from dyadspark.operators.relational import lookup, share_of_group
+from dyadspark.session import fan_out, materialise
 
 
 class Community(NamedTuple):
@@ -111,22 +112,46 @@ def log_ratio(abundance: DataFrame, zero_policy: str = "shift_all") -> DataFrame
     )
 
 
-def rarefy(abundance: DataFrame, depth: int = 8000, seed: int = 88) -> DataFrame:
+def rarefy(abundance: DataFrame, depth: int = 8000, seed: int = 88, digits: int = 2) -> DataFrame:
     """Draw ``depth`` reads per sample without replacement; shallower samples go.
 
-    Every read gets the hash of (seed, sample, taxon, number) and each sample
-    keeps its ``depth`` smallest, so the draw repeats exactly and does not
-    depend on partitioning. The selection is salted: a very deep sample is cut
-    down in many tasks before its survivors meet.
+    Every read gets the hash of (seed, sample, taxon, number) as its ticket and
+    each sample keeps its ``depth`` smallest, so the draw repeats exactly and
+    does not depend on partitioning. Reads are not sorted for that: counts per
+    leading ticket digits tell in which slice the last kept ticket lies. Lower
+    slices are kept whole and only the reads of that slice (1 in 256) are ranked.
     """
     totals = abundance.groupBy("sample_id").agg(F.sum("n").alias("__total"))
     deep = abundance.join(totals.where(F.col("__total") >= depth), "sample_id", "left_semi")
-    reads = deep.where(F.col("n") > 0).select(
-        "sample_id", "taxon_id", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i")
+    parts = fan_out(abundance.sparkSession)
+
+    def tickets(counts: DataFrame) -> DataFrame:
+        # rows become reads: spread them by a stated number, not by the bytes they have now
+        spread = counts.where(F.col("n") > 0).repartition(parts, "sample_id", "taxon_id")
+        kept = [c for c in counts.columns if c != "n"]
+        reads = spread.select(*kept, F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"))
+        ticket = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("sample_id"), F.col("taxon_id"), F.col("i")))
+        return reads.select(*kept, ticket.alias("ticket"))
+
+    piece = F.substring("ticket", 1, digits)
+    slices = tickets(deep).groupBy("sample_id", piece.alias("slice")).agg(F.count(F.lit(1)).alias("c"))
+    upto = W.partitionBy("sample_id").orderBy("slice").rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = slices.withColumn("reach", F.sum("c").over(upto)).where(
+        (F.col("reach") >= depth) & (F.col("reach") - F.col("c") < depth)
+    ).select("sample_id", F.col("slice").alias("last"), (F.lit(depth) - F.col("reach") + F.col("c")).alias("open"))
+    # one key per read: "" below the last slice, the ticket inside it, NULL beyond
+    edge = F.when(piece < F.col("last"), "").when(piece == F.col("last"), F.col("ticket"))
+    grouped = materialise(
+        tickets(deep.join(last, "sample_id"))
+        .select("sample_id", "taxon_id", "open", edge.alias("edge"))
+        .groupBy("sample_id", "taxon_id", "open", "edge")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    ticket = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("sample_id"), F.col("taxon_id"), F.col("i")))
-    drawn = first_k(reads.withColumn("ticket", ticket), ["sample_id"], ["ticket"], depth, "__rank", salts=64)
-    return drawn.groupBy("sample_id", "taxon_id").agg(F.count(F.lit(1)).alias("n"))
+    whole = grouped.where(F.col("edge") == "").select("sample_id", "taxon_id", "n")
+    rank = F.row_number().over(W.partitionBy("sample_id").orderBy("edge"))
+    ranked = grouped.where(F.col("edge") != "").withColumn("__rank", rank)
+    drawn = ranked.where(F.col("__rank") <= F.col("open")).select("sample_id", "taxon_id", "n")
+    return whole.unionByName(drawn).groupBy("sample_id", "taxon_id").agg(F.sum("n").alias("n"))
 
 
 def _seed_of(seed: int, *labels) -> np.random.Generator:

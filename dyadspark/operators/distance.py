@@ -63,45 +63,42 @@ def pair_within(
 
 
 def profile_arrays(ratios: DataFrame) -> DataFrame:
-    """One row per sample: ``lifts``, the array of its ``lift`` values by taxon number.
+    """One row per sample: ``lifts``, its ``lift`` of every taxon by taxon number, and their sum.
 
-    Positions of absent taxa hold 0 and trailing ones are left off. Taxon
-    numbers come from the distinct taxa, a set bounded by the core filter.
+    Absent taxa hold 0. Taxon numbers come from the distinct taxa, a set
+    bounded by the core filter; ``n_taxa`` is their number.
     """
     taxa = ratios.select("taxon_id").distinct()
     numbered = taxa.withColumn(
         "__pos", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("taxon_id"))
     )
     entries = ratios.join(numbered, "taxon_id").groupBy("sample_id").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("__pos").alias("p"), F.col("lift").alias("v")))).alias("e")
-    )
+        F.sort_array(F.collect_list(F.struct(F.col("__pos").alias("p"), F.col("lift").alias("v")))).alias("e"),
+        F.sum("lift").alias("lift_sum"),
+    ).withColumn("n_taxa", taxon_count(ratios))
 
     def padded(entry, i):
         before = F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("e"), i - 1).getField("p"))
         gap = entry.getField("p") - before - 1
         return F.concat(F.array_repeat(F.lit(0.0), gap), F.array(entry.getField("v")))
 
-    return entries.select("sample_id", F.flatten(F.transform("e", padded)).alias("lifts"))
+    last = F.element_at("e", -1).getField("p")
+    tail = F.array_repeat(F.lit(0.0), F.col("n_taxa").cast("int") - last)
+    return entries.select(
+        "sample_id", "lift_sum", "n_taxa", F.concat(F.flatten(F.transform("e", padded)), tail).alias("lifts")
+    )
 
 
-def array_distance(a: str, b: str, n_taxa: str) -> Column:
-    """Aitchison distance of two ``lifts`` arrays.
+def array_distance() -> Column:
+    """Aitchison distance of a pair from its ``lifts`` arrays, their sums and the number of taxa T.
 
     With u the difference of the lifts, the squared distance of the centred
     values is sum(u^2) - sum(u)^2 / T; identical profiles give exactly 0.
     """
-    zero = F.lit(0.0)
-    diff = F.zip_with(
-        F.col(a), F.col(b), lambda p, q: F.coalesce(p, zero) - F.coalesce(q, zero)
-    )
-    start = F.struct(zero.alias("s"), zero.alias("q"))
-    squared = F.aggregate(
-        diff,
-        start,
-        lambda acc, u: F.struct((acc.getField("s") + u).alias("s"), (acc.getField("q") + u * u).alias("q")),
-        lambda acc: acc.getField("q") - acc.getField("s") * acc.getField("s") / F.col(n_taxa),
-    )
-    return F.sqrt(F.greatest(squared, zero))
+    squares = F.zip_with("lifts_x", "lifts_y", lambda p, q: (p - q) * (p - q))
+    total = F.aggregate(squares, F.lit(0.0), lambda acc, v: acc + v)
+    gap = F.col("lift_sum_x") - F.col("lift_sum_y")
+    return F.sqrt(F.greatest(total - gap * gap / F.col("n_taxa_x"), F.lit(0.0)))
 
 
 def taxon_count(ratios: DataFrame) -> Column:
@@ -223,8 +220,8 @@ def aitchison_pairs(
     tile_rows: int = 2048,
 ) -> DataFrame:
     """Pairs of a block with their distance; sample columns ride along as ``_x`` / ``_y``."""
-    rows = samples.join(profile_arrays(ratios), "sample_id").withColumn("n_taxa", taxon_count(ratios))
+    profiles = profile_arrays(ratios)
+    rows = samples.join(profiles, "sample_id")
     pairs = pair_within(rows, block, order, where, tile_rows)
-    return pairs.withColumn("distance", array_distance("lifts_x", "lifts_y", "n_taxa_x")).drop(
-        "lifts_x", "lifts_y", "n_taxa_x", "n_taxa_y"
-    )
+    made = [c + end for c in profiles.columns if c != "sample_id" for end in ("_x", "_y")]
+    return pairs.withColumn("distance", array_distance()).drop(*made)

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from dyadspark.operators.relational import count_by
+from dyadspark.session import materialise
 
 
 def histogram(df: DataFrame, value: str, bins: int = 30, by: Sequence[str] = ()) -> DataFrame:
@@ -33,7 +34,7 @@ def quantiles(
     sorted in one place. Equal values are counted first; bin counts tell which
     few bins hold the wanted ranks; only these bins are sorted.
     """
-    values = (
+    values = materialise(
         df.where(F.col(value).isNotNull())
         .groupBy(F.col(by).alias("g"), F.col(value).cast("double").alias("v"))
         .agg(F.count(F.lit(1)).alias("c"))

@@ -126,6 +126,7 @@ def random_gram(rows: DataFrame) -> DataFrame:
 
 def gram(rows: DataFrame, model: Model) -> DataFrame:
     """The whole cross-product table of fixed, random and response columns, i <= j by name order within parts."""
+    rows = materialise(rows)  # three aggregations read it
     names = _names(model)
     labels = model.terms + [model.response]
     by_fixed = random_by_fixed(rows, model)

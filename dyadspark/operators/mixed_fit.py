@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dyadspark.operators import mixed
 from dyadspark.operators.mixed import Model
+from dyadspark.session import materialise
 
 
 @dataclass
@@ -218,24 +219,21 @@ def _satterthwaite(like: _Restricted, theta, sigma2):
 
 
 def fit(df: DataFrame, model: Model, q_max: int = 3000) -> Fit:
-    """Fit the model to a pair table. Give it a written or cached table: it is read a few times."""
+    """Fit the model to a pair table; the complete design rows are written once and read a few times."""
     rows = mixed.design(df, model)
     if not model.members and not model.group:
         return least_squares(rows, model)
-    rows = rows.persist()
-    try:
-        g = _fixed_matrix(rows, model)
-        p = len(model.terms)
-        xx, n = g[:p, :p], int(round(g[0, 0]))
-        _independent(xx)
-        by_fixed = mixed.random_by_fixed(rows, model).persist()
-        levels = by_fixed.limit(q_max + 1).toPandas()  # never more than q_max + 1 rows
-        edges = mixed.random_gram(rows)
-        if len(levels) <= q_max:
-            return _fit_exact(model, g, n, levels, edges.toPandas())  # at most q_max squared entries
-        return _fit_distributed(model, g, n, by_fixed, edges.persist())
-    finally:
-        rows.unpersist()
+    rows = materialise(rows)
+    g = _fixed_matrix(rows, model)
+    p = len(model.terms)
+    xx, n = g[:p, :p], int(round(g[0, 0]))
+    _independent(xx)
+    by_fixed = materialise(mixed.random_by_fixed(rows, model))
+    levels = by_fixed.limit(q_max + 1).toPandas()  # never more than q_max + 1 rows
+    edges = mixed.random_gram(rows)
+    if len(levels) <= q_max:
+        return _fit_exact(model, g, n, levels, edges.toPandas())  # at most q_max squared entries
+    return _fit_distributed(model, g, n, by_fixed, materialise(edges))
 
 
 def _fit_distributed(model, g, n, by_fixed, edges, variances: dict[str, float] | None = None) -> Fit:

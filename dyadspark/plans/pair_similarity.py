@@ -24,14 +24,12 @@ BLOCK = ("year", "season")
 def core_log_ratios(
     abundance: DataFrame, detection: float = 1e-4, prevalence: float = 0.05, zero_policy: str = "shift_all"
 ) -> DataFrame:
-    """Log-ratios over the core taxa of a count table, written out.
+    """Log-ratios over the core taxa of a count table, written out since pairing reads them several times.
 
-    Each step needs whole-table facts of the one before, and pairing reads the
-    ratios several times. Counts and ratios are stage boundaries for that reason.
+    Each step needs whole-table facts of the one before, so give it a stored count table.
     """
-    counts = materialise(abundance)
-    core = core_taxa(relative_abundance(counts), detection, prevalence)
-    return materialise(log_ratio(keep_taxa(counts, core), zero_policy))
+    core = core_taxa(relative_abundance(abundance), detection, prevalence)
+    return materialise(log_ratio(keep_taxa(abundance, core), zero_policy))
 
 
 def enrich_samples(

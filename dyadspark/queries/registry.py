@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from dyadspark.operators import community, dyads, roster
 from dyadspark.plans import pair_similarity as plan
 from dyadspark.queries import views
+from dyadspark.session import materialise
 
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
@@ -40,12 +41,21 @@ class Study:
 
     @cached_property
     def order_ratios(self) -> DataFrame:
-        return plan.core_log_ratios(self.view("order_abund"))
+        return plan.core_log_ratios(materialise(self.view("order_abund")))
 
-    def core(self, name: str = "abund") -> DataFrame:
-        abundance = self.view(name)
-        kept = community.core_taxa(community.relative_abundance(abundance))
-        return community.keep_taxa(abundance, kept)
+    @cached_property
+    def counts(self) -> DataFrame:
+        """The count table, written: most community steps read it more than once."""
+        return materialise(self.view("abund"))
+
+    @cached_property
+    def core(self) -> DataFrame:
+        counts = self.counts
+        return community.keep_taxa(counts, community.core_taxa(community.relative_abundance(counts)))
+
+    def written_pairs(self, *cols: str) -> DataFrame:
+        """Some columns of the pairs as a written table, for steps that read them several times."""
+        return materialise(self.pairs.select(*cols))
 
     @cached_property
     def rich_samples(self) -> DataFrame:

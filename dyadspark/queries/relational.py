@@ -245,7 +245,7 @@ def _(s: Study):
 
 @query("c7_keep_taxa", "SELECT a.sample_id, a.taxon_id, a.n FROM abund a JOIN c_core c ON a.taxon_id = c.taxon_id")
 def _(s: Study):
-    return s.core()
+    return s.core
 
 
 # ---- joins ----
@@ -570,7 +570,7 @@ def _(s: Study):
 @query("p5_matrix_to_triples", """
 SELECT sample_id_x, sample_id_y, round(-distance, 6) AS similarity FROM c_distance WHERE distance > 0.000000001""")
 def _(s: Study):
-    ratios = plan.core_log_ratios(s.view("abund"))
+    ratios = plan.core_log_ratios(s.counts)
     pairs = distance.distance_tiles(ratios, s.view("sites").select("period_id", "sample_id", "ord"), ["period_id"])
     return distance.similarity(pairs).select("sample_id_x", "sample_id_y", "similarity")
 

@@ -54,12 +54,12 @@ def _(s: Study):
 
 @query("k4_log_ratio", "SELECT sample_id, taxon_id, round(clr, 6) AS clr FROM c_clr WHERE n > 0")
 def _(s: Study):
-    return community.log_ratio(s.core()).select("sample_id", "taxon_id", "clr")
+    return community.log_ratio(s.core).select("sample_id", "taxon_id", "clr")
 
 
 @query("k4_log_ratio_absent", "SELECT sample_id, round(min(clr), 6) AS clr_absent FROM c_clr WHERE n = 0 GROUP BY sample_id")
 def _(s: Study):
-    ratios = community.log_ratio(s.core())
+    ratios = community.log_ratio(s.core)
     taxa = distance.taxon_count(ratios)
     per_sample = ratios.groupBy("sample_id").agg(F.min("clr_absent").alias("clr_absent"), F.count(F.lit(1)).alias("k"))
     return per_sample.where(F.col("k") < taxa).select("sample_id", "clr_absent")
@@ -71,17 +71,17 @@ SELECT sample_id, taxon_id, n, v - avg(v) OVER (PARTITION BY sample_id) AS clr F
 SELECT sample_id, taxon_id, n, ln(CASE WHEN share > 0 THEN share ELSE (SELECT min(share) / 2 FROM c_gridshare WHERE share > 0) END) AS v
 FROM c_gridshare) l) c WHERE n > 0""")
 def _(s: Study):
-    return community.log_ratio(s.core(), "replace_zero").select("sample_id", "taxon_id", "clr")
+    return community.log_ratio(s.core, "replace_zero").select("sample_id", "taxon_id", "clr")
 
 
 @query("k5_rarefy", "SELECT sample_id, taxon_id, n FROM c_rare")
 def _(s: Study):
-    return community.rarefy(s.view("abund"))
+    return community.rarefy(s.counts)
 
 
 @query("k5_rarefy_deep_counts")
 def _(s: Study):
-    return community.rarefy_deep(s.view("abund"))
+    return community.rarefy_deep(s.counts)
 
 
 @query("k6_alpha_diversity", """
@@ -102,7 +102,7 @@ def _(s: Study):
 SELECT sample_id_x, sample_id_y, round(distance, 6) AS distance FROM c_distance""")
 def _(s: Study):
     sites = s.view("sites").select("period_id", "sample_id", "ord")
-    ratios = plan.core_log_ratios(s.view("abund"))
+    ratios = plan.core_log_ratios(s.counts)
     return distance.distance_tiles(ratios, sites, ["period_id"])
 
 
@@ -110,7 +110,7 @@ def _(s: Study):
 SELECT sample_id_x, sample_id_y, round(distance, 6) AS distance FROM c_distance""")
 def _(s: Study):
     sites = s.view("sites").select("period_id", "sample_id", "ord")
-    pairs = distance.aitchison_pairs(plan.core_log_ratios(s.view("abund")), sites, ["period_id"])
+    pairs = distance.aitchison_pairs(plan.core_log_ratios(s.counts), sites, ["period_id"])
     return pairs.select("sample_id_x", "sample_id_y", "distance")
 
 
@@ -129,19 +129,19 @@ def _(s: Study):
 
 @query("k9_agglomerate", "SELECT sample_id, taxon_id, n FROM c_glomcounts")
 def _(s: Study):
-    counts, _ = community.agglomerate(s.view("abund"), s.view("taxonomy"), RANKS)
+    counts, _ = community.agglomerate(s.counts, s.view("taxonomy"), RANKS)
     return counts
 
 
 @query("k9_representatives", "SELECT family, genus, taxon_id FROM c_glom")
 def _(s: Study):
-    _, groups = community.agglomerate(s.view("abund"), s.view("taxonomy"), RANKS)
+    _, groups = community.agglomerate(s.counts, s.view("taxonomy"), RANKS)
     return groups
 
 
 def _subset(s: Study, classes, members="representative"):
     return community.functional_subset(
-        s.view("abund"), s.view("taxonomy"), s.view("genus_class"), classes, RANKS, members
+        s.counts, s.view("taxonomy"), s.view("genus_class"), classes, RANKS, members
     )
 
 
@@ -194,7 +194,7 @@ c_gc AS (SELECT *, v - avg(v) OVER (PARTITION BY sample_id) AS clr FROM c_gl)
 SELECT g.sample_id, c.class, round(sum(g.clr), 6) AS sum_clr FROM c_gc g LEFT JOIN genus_class c ON g.genus = c.genus
 GROUP BY g.sample_id, c.class""")
 def _(s: Study):
-    return community.functional_profile(s.view("abund"), s.view("taxonomy"), s.view("genus_class"), RANKS)
+    return community.functional_profile(s.counts, s.view("taxonomy"), s.view("genus_class"), RANKS)
 
 
 @query("k12_subset_alpha", """
@@ -203,14 +203,14 @@ SELECT r.sample_id, r.n, sum(r.n) OVER (PARTITION BY r.sample_id) AS total FROM
 (SELECT g.taxon_id FROM c_glom g JOIN genus_class c ON g.genus = c.genus WHERE c.class = 'Anaerobic')) p GROUP BY sample_id""")
 def _(s: Study):
     ids = _subset(s, ["Anaerobic"]).select("taxon_id").distinct()
-    rarefied = community.keep_taxa(community.rarefy(s.view("abund")), ids)
+    rarefied = community.keep_taxa(community.rarefy(s.counts), ids)
     return community.alpha_diversity(rarefied).select("sample_id", "observed", "shannon")
 
 
 @query("k13_class_catalogue", """
 SELECT c.class, count(*) AS n FROM (SELECT DISTINCT genus FROM c_glom) g LEFT JOIN genus_class c ON g.genus = c.genus GROUP BY c.class""")
 def _(s: Study):
-    _, groups = community.agglomerate(s.view("abund"), s.view("taxonomy"), RANKS)
+    _, groups = community.agglomerate(s.counts, s.view("taxonomy"), RANKS)
     labels = community.label_catalogue(groups, "genus")
     return rel.count_by(rel.lookup(labels, s.view("genus_class"), [("genus", "genus")]), "class")
 
@@ -776,7 +776,7 @@ WITH c_v AS (SELECT CAST(age_diff AS DOUBLE) AS v FROM c_typed), c_span AS (SELE
 SELECT least(CAST(floor((v - lo) / w) AS BIGINT), 29) AS bin, count(*) AS n, round(min(lo) + least(CAST(floor((v - lo) / w) AS BIGINT), 29) * min(w), 6) AS lower,
   round(min(lo) + (least(CAST(floor((v - lo) / w) AS BIGINT), 29) + 1) * min(w), 6) AS upper FROM c_v, c_span GROUP BY 1""")
 def _(s: Study):
-    return figures.histogram(s.pairs, "age_diff")
+    return figures.histogram(s.written_pairs("age_diff"), "age_diff")
 
 
 @query("v2_box_stats", """
@@ -788,7 +788,7 @@ SELECT t.pair_type, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6)
   count(CASE WHEN age_diff < q1 - (q3 - q1) * 1.5 OR age_diff > q3 + (q3 - q1) * 1.5 THEN 1 END) AS outliers
 FROM c_typed t JOIN c_q q ON t.pair_type = q.pair_type GROUP BY t.pair_type, q1, median, q3""")
 def _(s: Study):
-    return figures.box_stats(s.pairs, "age_diff", "pair_type")
+    return figures.box_stats(s.written_pairs("pair_type", "age_diff"), "age_diff", "pair_type")
 
 
 @query("v3_density", """
@@ -802,7 +802,7 @@ SELECT b.pair_type, CAST(g.point AS INTEGER) AS point, round(min(lo + g.point *
   round(sum(c * exp(pow((lo + g.point * ((hi - lo) / 63) - (lo + (bin + 0.5E0) * ((hi - lo) / 512))) / bw, 2) * -0.5E0) / (n * bw * sqrt(2 * pi()))), 6) AS density
 FROM c_b b JOIN c_s s ON b.pair_type = s.pair_type CROSS JOIN c_g g GROUP BY b.pair_type, g.point""")
 def _(s: Study):
-    return figures.density(s.pairs, "age_diff", "pair_type")
+    return figures.density(s.written_pairs("pair_type", "age_diff"), "age_diff", "pair_type")
 
 
 @query("v4_count_labels", "SELECT relation, count(*) AS count, 0 AS value FROM c_typed GROUP BY relation")
