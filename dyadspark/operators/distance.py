@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from dyadspark.operators.reshape import aligned_arrays
 from dyadspark.session import fan_out
 
 
@@ -65,28 +66,13 @@ def pair_within(
 def profile_arrays(ratios: DataFrame) -> DataFrame:
     """One row per sample: ``lifts``, its ``lift`` of every taxon by taxon number, and their sum.
 
-    Absent taxa hold 0. Taxon numbers come from the distinct taxa, a set
-    bounded by the core filter; ``n_taxa`` is their number.
+    Absent taxa hold 0. The core filter bounds the number of taxa, ``n_taxa``.
     """
-    taxa = ratios.select("taxon_id").distinct()
-    numbered = taxa.withColumn(
-        "__pos", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("taxon_id"))
-    )
-    entries = ratios.join(numbered, "taxon_id").groupBy("sample_id").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("__pos").alias("p"), F.col("lift").alias("v")))).alias("e"),
-        F.sum("lift").alias("lift_sum"),
-    ).withColumn("n_taxa", taxon_count(ratios))
-
-    def padded(entry, i):
-        before = F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("e"), i - 1).getField("p"))
-        gap = entry.getField("p") - before - 1
-        return F.concat(F.array_repeat(F.lit(0.0), gap), F.array(entry.getField("v")))
-
-    last = F.element_at("e", -1).getField("p")
-    tail = F.array_repeat(F.lit(0.0), F.col("n_taxa").cast("int") - last)
-    return entries.select(
-        "sample_id", "lift_sum", "n_taxa", F.concat(F.flatten(F.transform("e", padded)), tail).alias("lifts")
-    )
+    arrays = aligned_arrays(ratios, "sample_id", "taxon_id", F.col("lift"), F.lit(0.0))
+    arrays = arrays.withColumn("n_taxa", taxon_count(ratios))
+    tail = F.array_repeat(F.lit(0.0), F.col("n_taxa").cast("int") - F.col("last"))
+    whole = arrays.select("sample_id", "n_taxa", F.concat("values", tail).alias("lifts"))
+    return whole.withColumn("lift_sum", F.aggregate("lifts", F.lit(0.0), lambda acc, v: acc + v))
 
 
 def array_distance() -> Column:

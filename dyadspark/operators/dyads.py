@@ -169,6 +169,48 @@ def class_sizes(pairs: DataFrame, by: str) -> DataFrame:
     return samples.join(birds, same).select(samples[by], "samples", "birds")
 
 
+def count_pairs(samples: DataFrame, block) -> DataFrame:
+    """Pairs per block, relation and type, without making a single pair.
+
+    The type follows from the two roles and the relation, so products of sample
+    counts per role give the numbers: all pairs of a block, less those within
+    birds, and those within groups. Work is linear in the samples even where
+    one block holds a large part of them.
+    """
+    block = list(block)
+    rows = samples.where(in_set("role", PAIRABLE_ROLES)).select(*block, "group_id", "bird_id", "role")
+
+    def within(keys, in_all, in_group):
+        grain = [*block, *keys]
+        known = rows.dropna(subset=keys) if keys else rows
+        counts = count_by(known, *grain, "role")
+        other = counts.select(
+            *[F.col(c).alias(f"__{c}") for c in grain], F.col("role").alias("role_y"), F.col("n").alias("n_y")
+        )
+        same = F.col("role") <= F.col("role_y")
+        for c in grain:
+            same = (F.col(c) == F.col(f"__{c}")) & same
+        twice = F.col("n") * (F.col("n") - 1)
+        pairs = F.when(F.col("role") == F.col("role_y"), F.shiftright(twice, 1)).otherwise(F.col("n") * F.col("n_y"))
+        return counts.join(other, same).select(
+            *block, F.col("role").alias("role_x"), "role_y", (pairs * in_all).alias("all"), (pairs * in_group).alias("grp")
+        )
+
+    signed = (
+        within([], 1, 0)
+        .unionByName(within(["bird_id"], -1, 0))
+        .unionByName(within(["group_id"], 0, 1))
+        .unionByName(within(["group_id", "bird_id"], 0, -1))
+    )
+    sums = signed.groupBy(*block, "role_x", "role_y").agg(F.sum("all").alias("all"), F.sum("grp").alias("grp"))
+    by_relation = sums.select(*block, "role_x", "role_y", F.inline(F.array(
+        F.struct(F.lit("sameGroup").alias("relation"), F.col("grp").alias("n")),
+        F.struct(F.lit("diffGroup").alias("relation"), (F.col("all") - F.col("grp")).alias("n")),
+    )))
+    typed = with_pair_type(by_relation).where(F.col("n") > 0)
+    return typed.groupBy(*block, "relation", "pair_type").agg(F.sum("n").alias("n"))
+
+
 def unique_dyads(pairs: DataFrame) -> DataFrame:
     """One pair of samples per pair of birds: the earliest."""
     return first_by(pairs, ["bird_a", "bird_b"], ["sample_id_x", "sample_id_y"])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dyadspark.operators.distance import pair_within
 from dyadspark.operators.relational import count_by, share_of_group
-from dyadspark.operators.reshape import interleave, pivot_values
+from dyadspark.operators.reshape import aligned_arrays, interleave, pivot_values
 
 
 def loci_per_method(genotypes: DataFrame) -> DataFrame:
@@ -30,44 +30,36 @@ def allele_frequencies(genotypes: DataFrame) -> DataFrame:
 
 
 def genotype_profiles(genotypes: DataFrame, frequencies: DataFrame | None = None) -> DataFrame:
-    """One row per individual: typed loci in order with alleles, their frequencies summed, homozygosity."""
+    """One row per individual: by locus number its alleles, their summed frequency and homozygosity, NULL if untyped."""
     freqs = allele_frequencies(genotypes) if frequencies is None else frequencies
     typed = genotypes.where(F.col("a").isNotNull() & F.col("b").isNotNull())
     for side in ("a", "b"):
         f = freqs.select("locus", F.col("allele").alias(side), F.col("freq").alias(f"p{side}"))
         typed = typed.join(f, ["locus", side])
     locus = F.struct(
-        F.col("locus"), F.col("a"), F.col("b"),
+        F.col("a"), F.col("b"),
         (F.col("pa") + F.col("pb")).alias("p"),
         (F.col("a") == F.col("b")).cast("double").alias("hom"),
     )
-    return typed.groupBy("ind").agg(F.sort_array(F.collect_list(locus)).alias("loci"))
+    kind = {n: typed.schema[n].dataType.simpleString() for n in ("a", "b")}
+    none = F.lit(None).cast(f"struct<a:{kind['a']},b:{kind['b']},p:double,hom:double>")
+    return aligned_arrays(typed, "ind", "locus", locus, none).select("ind", F.col("values").alias("loci"))
 
 
-def _shared_loci(x: str, y: str) -> Column:
-    """Numerators and denominators of the loci typed in both, per direction."""
-    return F.filter(
-        F.transform(F.col(x), lambda g: F.struct(
-            g.alias("g"), F.get(F.filter(F.col(y), lambda h: h.getField("locus") == g.getField("locus")), F.lit(0)).alias("h")
-        )),
-        lambda s: s.getField("h").isNotNull(),
-    )
-
-
-def _terms(s: Column) -> Column:
-    g, h = s.getField("g"), s.getField("h")
+def _terms(g: Column, h: Column) -> Column:
+    """Numerators and denominators of one locus, per direction; NULL unless typed in both."""
 
     def same(p, q):
         return (g.getField(p) == h.getField(q)).cast("double")
 
     ident = (same("a", "a") + same("a", "b") + same("b", "a") + same("b", "b")) * 0.5
-    return F.struct(
-        g.getField("locus").alias("locus"),
+    terms = F.struct(
         (ident - g.getField("p")).alias("nx"),
         (1.0 + g.getField("hom") - g.getField("p")).alias("dx"),
         (ident - h.getField("p")).alias("ny"),
         (1.0 + h.getField("hom") - h.getField("p")).alias("dy"),
     )
+    return F.when(g.isNotNull() & h.isNotNull(), terms)
 
 
 def relatedness_terms(
@@ -85,7 +77,8 @@ def relatedness_terms(
     """
     profiles = genotype_profiles(genotypes, frequencies).join(blocks, "ind")
     pairs = pair_within(profiles, block, "ind", tile_rows=tile_rows)
-    return pairs.select("ind_x", "ind_y", F.transform(_shared_loci("loci_x", "loci_y"), _terms).alias("terms"))
+    terms = F.filter(F.zip_with("loci_x", "loci_y", _terms), lambda t: t.isNotNull())
+    return pairs.select("ind_x", "ind_y", terms.alias("terms"))
 
 
 def _ratio(terms: Column, pooling: str) -> Column:

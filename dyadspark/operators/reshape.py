@@ -31,10 +31,26 @@ def counts_from_wide(df: DataFrame, taxon: str, samples: Sequence[str] | None =
     return long.where(F.col("n") > 0).select("sample_id", F.col(taxon).alias("taxon_id"), "n")
 
 
-def slots(df: DataFrame, keys: Sequence[str], value: str, name: str = "slot") -> DataFrame:
-    """Number the values of each key 1, 2, ... in value order: a list cell kept long."""
-    order = W.partitionBy(*keys).orderBy(value)
-    return df.withColumn(name, F.row_number().over(order))
+def aligned_arrays(df: DataFrame, key: str, item: str, value: Column, filler: Column) -> DataFrame:
+    """One row per key with ``values``, where position i always means the same item.
+
+    Missing items hold ``filler`` up to the key's ``last`` position. Items are
+    numbered over the whole table, so their number must be bounded (core taxa,
+    the loci of a panel); arrays are as long as that at most.
+    """
+    numbered = df.select(item).distinct().withColumn(
+        "__p", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(item))
+    )
+    cell = F.struct(F.col("__p").alias("p"), value.alias("v"))
+    entries = df.join(numbered, item).groupBy(key).agg(F.sort_array(F.collect_list(cell)).alias("e"))
+
+    def padded(entry, i):
+        before = F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("e"), i - 1).getField("p"))
+        return F.concat(F.array_repeat(filler, entry.getField("p") - before - 1), F.array(entry.getField("v")))
+
+    return entries.select(
+        key, F.flatten(F.transform("e", padded)).alias("values"), F.element_at("e", -1).getField("p").alias("last")
+    )
 
 
 def pivot_lists(
@@ -48,8 +64,8 @@ def pivot_lists(
     """One row per key with one sorted array per listed name (empty where absent).
 
     A list cell is one value, so it has to fit in a row. Cells are counted
-    first and the job stops if one holds more than ``largest`` values: use the
-    long form (``slots``) for such groups, nothing is cut off silently.
+    first and the job stops if one holds more than ``largest`` values: keep such
+    groups in long form, nothing is cut off silently.
     """
     keys = list(keys)
     rows = df.select(*keys, names_from, values_from)

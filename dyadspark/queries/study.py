@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from dyadspark.functions import summarise_columns
 from dyadspark.operators import annotate, community, distance, dyads, figures, genetics, mixed, mixed_fit, roster
 from dyadspark.operators import relational as rel
-from dyadspark.plans import pair_similarity as plan
+from dyadspark.plans import models, pair_similarity as plan
 from dyadspark.queries.registry import Study, query, quoted
 from dyadspark.queries.relational import _INTERLEAVED, _LOCI, _summary_sql
 
@@ -423,6 +423,12 @@ def _(s: Study):
 _DIFFS = ["age_diff", "fridge_diff"]
 
 
+@query("y16_pair_counts_without_pairs", """
+SELECT year, season, relation, pair_type, count(*) AS n FROM c_typed GROUP BY year, season, relation, pair_type""")
+def _(s: Study):
+    return dyads.count_pairs(s.view("samples"), plan.BLOCK)
+
+
 @query("y17_dyad_summary", f"""
 SELECT {_summary_sql(_DIFFS).replace('min(age_diff)', 'round(min(age_diff), 6)').replace('max(age_diff)', 'round(max(age_diff), 6)')} FROM (
 SELECT *, row_number() OVER (PARTITION BY bird_a, bird_b ORDER BY sample_id_x, sample_id_y) AS rn FROM c_typed) d WHERE rn = 1""")
@@ -808,3 +814,27 @@ def _(s: Study):
 @query("v4_count_labels", "SELECT relation, count(*) AS count, 0 AS value FROM c_typed GROUP BY relation")
 def _(s: Study):
     return figures.count_labels(s.pairs, "relation")
+
+
+# ---- the study's comparisons, on pairs with similarity, alpha diversity and natal groups ----
+
+
+def _study_pairs(s: Study):
+    return plan.pair_table(s.rich_samples, s.view("edges"), s.order_ratios)
+
+
+@query("model_shannon_by_type")
+def _(s: Study):
+    return mixed_fit.coefficients(s.spark, models.fit_comparison(_study_pairs(s), "shannon_by_type"))
+
+
+@query("model_similarity_by_type")
+def _(s: Study):
+    return mixed_fit.coefficients(s.spark, models.fit_comparison(_study_pairs(s), "similarity_by_type"))
+
+
+@query("model_similarity_interaction_means", """
+SELECT CASE WHEN pair_type IN ('Dominantpair', 'DomHelp') THEN 'interacting' ELSE 'not' END AS grouping, count(*) AS pairs,
+  round(avg(similarity), 6) AS mean FROM c_similar WHERE relation = 'sameGroup' GROUP BY 1""")
+def _(s: Study):
+    return models.means_by_class(s.similar_pairs, "anaerobic_by_interaction")
