@@ -205,9 +205,14 @@ def aitchison_pairs(
     ratios: DataFrame, samples: DataFrame, block: Sequence[str], order: str = "ord", where: Column | None = None,
     tile_rows: int = 2048,
 ) -> DataFrame:
-    """Pairs of a block with their distance; sample columns ride along as ``_x`` / ``_y``."""
+    """Pairs of a block with their distance; sample columns ride along as ``_x`` / ``_y``.
+
+    The distance is put on the row by a generator. As a plain expression a later
+    filter on it would be pushed into the join condition and be evaluated for
+    every candidate, in interpreted code, and then once more for the output.
+    """
     profiles = profile_arrays(ratios)
     rows = samples.join(profiles, "sample_id")
     pairs = pair_within(rows, block, order, where, tile_rows)
     made = [c + end for c in profiles.columns if c != "sample_id" for end in ("_x", "_y")]
-    return pairs.withColumn("distance", array_distance()).drop(*made)
+    return pairs.select("*", F.explode(F.array(array_distance())).alias("distance")).drop(*made)

@@ -219,3 +219,16 @@ def test_pairs_need_no_shuffle_after_they_are_made(spark):
     assert "Exchange" not in text[:last_join]
     rows = pairs.collect()
     assert rows and all(r.bird_id_x != r.bird_id_y and r.role_x != "CH" and r.sample_id_x < r.sample_id_y for r in rows)
+
+
+def test_pair_counts_without_pairs(spark):
+    roles = dyads.PAIRABLE_ROLES
+    samples = spark.range(400).selectExpr(
+        "id as sample_id", "id as ord", "if(id % 3 = 0, 1, id % 60) as bird_id", "id % 11 as group_id", "id % 11 as territory_id",
+        "2000 + id % 2 as year", "if(id % 5 = 0, 'Major', 'Minor') as season",
+        f"element_at(array({', '.join(repr(r) for r in [*roles, 'CH'])}), int(pmod(hash(id), {len(roles) + 1})) + 1) as role",
+        "id as catch_time", "id as time_in_fridge", "date'2020-01-01' as sample_date", "double(id) as sampling_age", "id % 2 as sex")
+    keys = ["year", "season", "relation", "pair_type"]
+    made = {tuple(r) for r in plan.pair_table(samples).groupBy(*keys).count().collect()}
+    counted = {tuple(r) for r in dyads.count_pairs(samples, plan.BLOCK).select(*keys, "n").collect()}
+    assert made == counted and made
