@@ -17,6 +17,10 @@ SEPARATORS = (0x20, *range(0x09, 0x0E))
 _IS_SEPARATOR = np.zeros(256, dtype=bool)
 _IS_SEPARATOR[list(SEPARATORS)] = True
 
+#: White space and ASCII punctuation.
+PUNCTUATION = _IS_SEPARATOR.copy()
+PUNCTUATION[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
+
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -73,12 +77,17 @@ def text_slices(column: pa.Array, limit: int = _SLICE_BYTES) -> Iterator[tuple[i
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (byte positions) of all words of a slice and the row each is in."""
+def words(
+    data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = _IS_SEPARATOR
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (byte positions) of all words of a slice and the row each is in.
+
+    ``separators`` marks the bytes that part words.
+    """
     if not len(data):
         none = np.zeros(0, dtype=np.int64)
         return none, none, none
-    inside = ~_IS_SEPARATOR[data]
+    inside = ~separators[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     before = np.empty(len(data), dtype=bool)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dyadspark.llm import chat_format, hilbert_shards, piece_codec, token_counts, toxicity, winnowing
+from dyadspark.llm import (
+    chat_format, decontaminate, hilbert_shards, jaccard_join, piece_codec, token_counts, toxicity, unit_dedup, winnowing,
+)
 from dyadspark.llm.tables import documents, table
 from dyadspark.session import fan_out
 
@@ -34,11 +36,27 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, folder), public_tokenizers.path(WORD_BPE))
 
 
+@query
+def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.jaccard_components(documents(spark, folder))
+
+
 @query
 def op4_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return winnowing.compare_with_edits(documents(spark, folder), parts=fan_out(spark))
 
 
+@query
+def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, folder), table(spark, folder, "benchmark"))
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = unit_dedup.dedup_units(documents(spark, folder).select("doc_id", "text", "n_chars"))
+    return cut.select("doc_id", "text", "n_chars", "removed")
+
+
 @query
 def op8_piece_codec(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
