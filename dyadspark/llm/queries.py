@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dyadspark.llm import (
-    chat_format, decontaminate, hilbert_shards, jaccard_join, piece_codec, token_counts, toxicity, unit_dedup, winnowing,
+    chat_format, decontaminate, hilbert_shards, jaccard_join, license_scan, piece_codec, token_counts, toxicity, unit_dedup,
+    winnowing,
 )
 from dyadspark.llm.tables import documents, table
 from dyadspark.session import fan_out
@@ -46,6 +47,11 @@ def op4_winnowing(spark: SparkSession, folder: str) -> DataFrame:
     return winnowing.compare_with_edits(documents(spark, folder), parts=fan_out(spark))
 
 
+@query
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(documents(spark, folder))
+
+
 @query
 def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, folder), table(spark, folder, "benchmark"))
