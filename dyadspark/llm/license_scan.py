@@ -101,9 +101,9 @@ def retrieved(s: Shingles, templates: list[Template]) -> set[tuple[int, int]]:
                     found.update((int(r), i) for r in range(s.row[at], s.row[min(at + width, n) - 1] + 1))
             if width >= max(by_window):
                 break
-            new = low.copy()
-            new[: n - width] = np.minimum(low[: n - width], low[width:]) if width < n else low[:0]
-            low, width = new, width * 2
+            if width < n:
+                low = np.concatenate([np.minimum(low[: n - width], low[width:]), low[n - width :]])
+            width *= 2
     return found
 
 
