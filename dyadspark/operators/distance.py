@@ -92,10 +92,10 @@ def taxon_count(ratios: DataFrame) -> Column:
     return ratios.select("taxon_id").distinct().agg(F.count(F.lit(1)).cast("double").alias("t")).scalar()
 
 
-def similarity(pairs: DataFrame, distance: str = "distance", drop_zero: bool = True, zero_tol: float = 1e-9):
-    """Similarity is minus the distance; coinciding samples are dropped unless told otherwise."""
+def similarity(pairs: DataFrame, distance: str = "distance", drop_zero: bool = True):
+    """Similarity is minus the distance; coinciding samples (distance exactly 0) are dropped unless told otherwise."""
     if drop_zero:
-        pairs = pairs.where(F.col(distance) > zero_tol)
+        pairs = pairs.where(F.col(distance) > 0)
     return pairs.withColumn("similarity", -F.col(distance))
 
 

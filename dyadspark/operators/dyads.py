@@ -116,25 +116,32 @@ def with_relatedness(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 NATAL_COLUMNS = ["BrF_1", "BrM_1", "H_1", "BrF_2", "BrM_2", "H_2", "H_3"]
 
 
-def shared_natal(mode: str = "as_written") -> Column:
-    """``same`` if one bird bred or helped in the natal group of the other.
+def shared_natal() -> Column:
+    """``same`` if one bird bred or helped in the natal group of the other, by the published rule.
 
-    ``as_written`` keeps the published rule, in which only the first breeders
-    of the second bird's natal group are compared with the first bird and the
-    other columns are compared with the second bird itself; ``symmetric``
-    compares every column with the opposite bird.
+    Only the first breeders of the second bird's natal group are compared with the first bird; the
+    other named attendants are compared with the second bird itself.
     """
-    if mode not in ("as_written", "symmetric"):
-        raise ValueError(f"unknown mode {mode!r}")
-    first_breeders = NATAL_COLUMNS[:2]
     hit = F.lit(False)
     for c in NATAL_COLUMNS:
-        other = "bird_id_x" if mode == "symmetric" or c in first_breeders else "bird_id_y"
+        other = "bird_id_x" if c in NATAL_COLUMNS[:2] else "bird_id_y"
         hit = hit | F.coalesce(F.col("bird_id_y") == F.col(f"{c}_x"), F.lit(False))
         hit = hit | F.coalesce(F.col(other) == F.col(f"{c}_y"), F.lit(False))
     return F.when(hit, "same").otherwise("different")
 
 
+def with_shared_natal(pairs: DataFrame, natal: DataFrame) -> DataFrame:
+    """``same`` if either bird bred or helped in the natal group of the other: all attendants, both directions.
+
+    ``natal`` is the long natal table; one join on the dyad key, whatever the number of attendants.
+    """
+    known = natal.where(F.col("attendant").isNotNull()).select(
+        F.least("bird_id", "attendant").alias("__a"), F.greatest("bird_id", "attendant").alias("__b")).distinct()
+    joined = pairs.join(known, (F.col("bird_a") == F.col("__a")) & (F.col("bird_b") == F.col("__b")), "left")
+    return joined.withColumn(
+        "shared_natal", F.when(F.col("__a").isNotNull(), "same").otherwise("different")).drop("__a", "__b")
+
+
 def with_parent(pairs: DataFrame, parents: DataFrame) -> DataFrame:
     return lookup(pairs, parents, [("bird_id_x", "off_id")], "left", ["parent", "spouse_id"])
 
@@ -180,9 +187,10 @@ def count_pairs(samples: DataFrame, block) -> DataFrame:
     block = list(block)
     rows = samples.where(in_set("role", PAIRABLE_ROLES)).select(*block, "group_id", "bird_id", "role")
 
-    def within(keys, in_all, in_group):
+    def within(keys, in_all=0, in_known=0, in_group=0, known_group=False):
         grain = [*block, *keys]
-        known = rows.dropna(subset=keys) if keys else rows
+        needed = [*keys, "group_id"] if known_group else keys
+        known = rows.dropna(subset=needed) if needed else rows
         counts = count_by(known, *grain, "role")
         other = counts.select(
             *[F.col(c).alias(f"__{c}") for c in grain], F.col("role").alias("role_y"), F.col("n").alias("n_y")
@@ -193,19 +201,24 @@ def count_pairs(samples: DataFrame, block) -> DataFrame:
         twice = F.col("n") * (F.col("n") - 1)
         pairs = F.when(F.col("role") == F.col("role_y"), F.shiftright(twice, 1)).otherwise(F.col("n") * F.col("n_y"))
         return counts.join(other, same).select(
-            *block, F.col("role").alias("role_x"), "role_y", (pairs * in_all).alias("all"), (pairs * in_group).alias("grp")
+            *block, F.col("role").alias("role_x"), "role_y", (pairs * in_all).alias("all"),
+            (pairs * in_known).alias("known"), (pairs * in_group).alias("grp")
         )
 
     signed = (
-        within([], 1, 0)
-        .unionByName(within(["bird_id"], -1, 0))
-        .unionByName(within(["group_id"], 0, 1))
-        .unionByName(within(["group_id", "bird_id"], 0, -1))
+        within([], in_all=1)
+        .unionByName(within(["bird_id"], in_all=-1))
+        .unionByName(within([], in_known=1, known_group=True))
+        .unionByName(within(["bird_id"], in_known=-1, known_group=True))
+        .unionByName(within(["group_id"], in_group=1))
+        .unionByName(within(["group_id", "bird_id"], in_group=-1))
     )
-    sums = signed.groupBy(*block, "role_x", "role_y").agg(F.sum("all").alias("all"), F.sum("grp").alias("grp"))
+    sums = signed.groupBy(*block, "role_x", "role_y").agg(*[F.sum(c).alias(c) for c in ("all", "known", "grp")])
+    # a pair of which one group is missing has no relation
     by_relation = sums.select(*block, "role_x", "role_y", F.inline(F.array(
         F.struct(F.lit("sameGroup").alias("relation"), F.col("grp").alias("n")),
-        F.struct(F.lit("diffGroup").alias("relation"), (F.col("all") - F.col("grp")).alias("n")),
+        F.struct(F.lit("diffGroup").alias("relation"), (F.col("known") - F.col("grp")).alias("n")),
+        F.struct(F.lit(None).cast("string").alias("relation"), (F.col("all") - F.col("known")).alias("n")),
     )))
     typed = with_pair_type(by_relation).where(F.col("n") > 0)
     return typed.groupBy(*block, "relation", "pair_type").agg(F.sum("n").alias("n"))

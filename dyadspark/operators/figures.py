@@ -12,17 +12,24 @@ from dyadspark.session import materialise
 
 
 def histogram(df: DataFrame, value: str, bins: int = 30, by: Sequence[str] = ()) -> DataFrame:
-    """Counts in equal bins over the range of a column; empty bins have no row.
+    """Counts in equal bins over the range of a column; empty bins have the count 0.
 
     The bin numbered i covers [lo + i w, lo + (i + 1) w), the last one also its upper edge.
     """
+    by = list(by)
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
     span = rows.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi")).alias("s")).scalar()
     lo, width = span.getField("lo"), (span.getField("hi") - span.getField("lo")) / bins
     raw = F.floor(F.try_divide(F.col("v") - lo, width))
     number = F.coalesce(F.least(raw, F.lit(bins - 1).cast("bigint")), F.lit(0).cast("bigint"))
     counted = rows.groupBy(*by, number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumns({"lower": lo + F.col("bin") * width, "upper": lo + (F.col("bin") + 1) * width})
+    # one 0 for every bin of every class, added to the counts
+    empty = counted.select(*by).distinct() if by else counted.agg(F.count(F.lit(1)).alias("__n")).where("__n > 0")
+    empty = empty.select(
+        *by, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin")
+    ).withColumn("n", F.lit(0))
+    filled = counted.unionByName(empty).groupBy(*by, "bin").agg(F.sum("n").alias("n"))
+    return filled.withColumns({"lower": lo + F.col("bin") * width, "upper": lo + (F.col("bin") + 1) * width})
 
 
 def quantiles(
@@ -96,17 +103,25 @@ def density(
     """Gaussian kernel density per class on a grid of ``points`` over the class's range.
 
     Rows are first counted in ``bins`` bins per class; only bin counts meet the
-    grid, so that step does not grow with the data. Bandwidth: the rule of
-    thumb 0.9 sd n^(-1/5), times ``adjust``.
+    grid, so that step does not grow with the data. Bandwidth: Silverman's rule
+    0.9 min(sd, IQR / 1.34) n^(-1/5), times ``adjust``; where the IQR is 0 the sd
+    stands for the minimum, and where that is 0 too the size of the value, or 1.
+    A class of one row has no density: its rows hold NULL.
     """
     rows = df.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("v"))
     spread = rows.groupBy(by).agg(
         F.min("v").alias("lo"), F.max("v").alias("hi"), F.stddev_samp("v").alias("sd"), F.count(F.lit(1)).alias("n")
-    ).withColumn("bw", F.lit(0.9 * adjust) * F.col("sd") * F.pow(F.col("n"), F.lit(-0.2)))
-    spread = spread.where(F.col("bw") > 0)
+    )
+    quart = quantiles(df, value, by, {"q1": 0.25, "q3": 0.75}).withColumnRenamed(by, "__q")
+    spread = spread.join(quart, F.col(by).eqNullSafe(F.col("__q"))).drop("__q")
+    narrow = F.least("sd", (F.col("q3") - F.col("q1")) / 1.34)
+    scale = F.when(narrow > 0, narrow).when(F.col("sd") > 0, F.col("sd")).when(F.col("lo") != 0, F.abs("lo")).otherwise(1.0)
+    spread = spread.withColumn(
+        "bw", F.when(F.col("n") > 1, F.lit(0.9 * adjust) * scale * F.pow(F.col("n"), F.lit(-0.2)))).drop("q1", "q3", "sd")
     width = (F.col("hi") - F.col("lo")) / bins
     side = spread.withColumnRenamed(by, "__by")
-    number = F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1).cast("bigint"))
+    raw = F.floor(F.try_divide(F.col("v") - F.col("lo"), width))
+    number = F.coalesce(F.least(raw, F.lit(bins - 1).cast("bigint")), F.lit(0).cast("bigint"))
     counts = (
         rows.join(side, F.col(by).eqNullSafe(F.col("__by")))
         .groupBy(by, "lo", "hi", "n", "bw", number.alias("bin"))

@@ -1,10 +1,9 @@
 """Fitting and reading a mixed model from its cross-products.
 
-``fit`` runs the aggregations of ``mixed`` and then works on their small
-results. With at most ``q_max`` random levels (checked first) the restricted
-likelihood is maximised exactly on the collected Gram matrix. With more, the
-variances come from residual moments and the effects from conjugate gradients,
-both on Spark; the ``method`` column of every result says which it was.
+``fit`` is one estimator at every size. Variances come from quadratic forms of the
+least-squares residuals, fixed effects from the absorbed cross-products; everything
+per random level is a Spark aggregation, and the driver sees sums of p x p products.
+Tests and limits of models with random levels use the normal distribution.
 """
 
 from __future__ import annotations
@@ -32,7 +31,6 @@ class Fit:
     xx: np.ndarray
     method: str
     df_of: Callable[[np.ndarray], float] | None = None
-    criterion: float | None = None
 
     @property
     def means(self) -> np.ndarray:
@@ -66,177 +64,21 @@ def least_squares(rows: DataFrame, model: Model) -> Fit:
     return Fit(model, beta, sigma2 * np.linalg.inv(xx), {"residual": sigma2}, n, 0, xx, "least squares", lambda c: n - p)
 
 
-class _Restricted:
-    """Restricted likelihood as a function of log variances, from cross-products only."""
-
-    def __init__(self, xx, xy, yy, n, zx, zy, zz, which):
-        self.xx, self.xy, self.yy, self.n = xx, xy, yy, n
-        self.zx, self.zy, self.zz, self.which = zx, zy, zz, which
-        self.k = int(which.max()) + 1 if len(which) else 0
-
-    def factor(self, theta):
-        """With V = sigma2 (I + Z diag(theta) Z'): log|V/sigma2| and the lower factor of
-        [x y]' V^-1 [x y] times sigma2, both read off one Cholesky factor of the bordered matrix."""
-        s = np.sqrt(np.asarray(theta))[self.which]
-        use = s > 0
-        s, p = s[use], len(self.xy)
-        q = len(s)
-        whole = np.empty((q + p + 1, q + p + 1))
-        whole[:q, :q] = self.zz[np.ix_(use, use)] * np.outer(s, s)
-        whole[np.arange(q), np.arange(q)] += 1.0
-        whole[q:, :q] = (np.column_stack([self.zx[use], self.zy[use]]) * s[:, None]).T
-        whole[:q, q:] = whole[q:, :q].T
-        whole[q:, q:] = np.block([[self.xx, self.xy[:, None]], [self.xy[None, :], np.array([[self.yy]])]])
-        low = np.linalg.cholesky(whole)
-        return 2.0 * np.log(np.diag(low)[:q]).sum(), low[q:, q:]
-
-    def profile(self, theta):
-        """-2 log restricted likelihood (constants dropped) with sigma2 at its best."""
-        logdet, low = self.factor(theta)
-        p = len(self.xy)
-        beta = np.linalg.solve(low[:p, :p].T, low[p, :p])
-        sigma2 = max(low[p, p] ** 2 / (self.n - p), 1e-300)
-        value = (self.n - p) * math.log(sigma2) + logdet + 2 * np.log(np.diag(low)[:p]).sum()
-        return value, beta, sigma2, low[:p, :p] @ low[:p, :p].T
-
-    def full(self, log_var):
-        """-2 log restricted likelihood and covariance of beta at given log variances (residual last)."""
-        var = np.exp(log_var)
-        logdet, low = self.factor(var[:-1] / var[-1])
-        p = len(self.xy)
-        value = (self.n - p) * log_var[-1] + logdet + 2 * np.log(np.diag(low)[:p]).sum() + low[p, p] ** 2 / var[-1]
-        return value, var[-1] * np.linalg.inv(low[:p, :p] @ low[:p, :p].T)
-
-
-def _simplex_search(f, start, step=1.0, tol=1e-7, max_iter=200):
-    """Downhill simplex in a few dimensions."""
-    points = [np.array(start, float)]
-    for i in range(len(start)):
-        p = points[0].copy()
-        p[i] += step
-        points.append(p)
-    values = [f(p) for p in points]
-    for _ in range(max_iter):
-        order = np.argsort(values)
-        points, values = [points[i] for i in order], [values[i] for i in order]
-        size = max(np.abs(p - points[0]).max() for p in points[1:])
-        if values[-1] - values[0] < tol and size < 1e-4:
-            break
-        centre = np.mean(points[:-1], axis=0)
-        away = centre - points[-1]
-        trial = centre + away
-        v = f(trial)
-        if v < values[0]:
-            far = centre + 2 * away
-            vf = f(far)
-            trial, v = (far, vf) if vf < v else (trial, v)
-        elif v >= values[-2]:
-            near = centre + (0.5 if v < values[-1] else -0.5) * away
-            vn = f(near)
-            if vn < min(v, values[-1]):
-                trial, v = near, vn
-            else:
-                points = [points[0]] + [points[0] + 0.5 * (p - points[0]) for p in points[1:]]
-                values = [values[0]] + [f(p) for p in points[1:]]
-                continue
-        points[-1], values[-1] = trial, v
-    best = int(np.argmin(values))
-    return points[best], values[best]
-
-
-def _fit_exact(model, g, n, levels, edges) -> Fit:
-    p = len(model.terms)
-    xx, xy, yy = g[:p, :p], g[:p, p], g[p, p]
-    factors = sorted(levels["factor"].unique())
-    at = {key: i for i, key in enumerate(zip(levels["factor"], levels["level"]))}
-    zz = np.diag(levels["n"].to_numpy(float))
-    i = [at[k] for k in zip(edges["factor"], edges["level"])]
-    j = [at[k] for k in zip(edges["factor_b"], edges["level_b"])]
-    zz[i, j] = edges["w"].to_numpy(float)
-    which = levels["factor"].map({f: k for k, f in enumerate(factors)}).to_numpy()
-    zx = levels[[f"x{k}" for k in range(p)]].to_numpy(float)
-    like = _Restricted(xx, xy, yy, n, zx, levels["y"].to_numpy(float), zz, which)
-
-    floor = math.log(1e-7)
-
-    def ratios(v):
-        return [math.exp(t) if t > floor else 0.0 for t in v]
-
-    best, value = _simplex_search(lambda v: like.profile(ratios(v))[0], [math.log(0.1)] * len(factors))
-    theta = ratios(best)
-    for k in range(len(factors)):  # a variance of exactly 0 may do as well
-        trial = list(theta)
-        trial[k] = 0.0
-        v = like.profile(trial)[0]
-        if v <= value + 1e-7:
-            theta, value = trial, v
-    value, beta, sigma2, xvx = like.profile(theta)
-    variances = {f: t * sigma2 for f, t in zip(factors, theta)}
-    variances["residual"] = sigma2
-    fit = Fit(model, beta, sigma2 * np.linalg.inv(xvx), variances, n, len(levels), xx, "reml", None, value)
-    fit.df_of = _satterthwaite(like, theta, sigma2)
-    return fit
-
-
-def _satterthwaite(like: _Restricted, theta, sigma2):
-    """Degrees of freedom of a contrast from the curvature of the restricted likelihood."""
-    live = [k for k, t in enumerate(theta) if t > 0]
-    base = [math.log(theta[k] * sigma2) for k in live] + [math.log(sigma2)]
-    m, h = len(base), 1e-3
-
-    def at(v):
-        full = np.full(len(theta) + 1, -np.inf)
-        full[live] = v[:-1]
-        full[-1] = v[-1]
-        return like.full(full)
-
-    def moved(*steps):
-        v = np.array(base)
-        for k, s in steps:
-            v[k] += s
-        return at(v)
-
-    centre = at(np.array(base))[0]
-    up = [moved((k, h)) for k in range(m)]
-    down = [moved((k, -h)) for k in range(m)]
-    curve = np.zeros((m, m))
-    for a in range(m):
-        curve[a, a] = (up[a][0] - 2 * centre + down[a][0]) / h**2
-        for b in range(a):
-            corners = [moved((a, sa * h), (b, sb * h))[0] * sa * sb for sa in (1, -1) for sb in (1, -1)]
-            curve[a, b] = curve[b, a] = sum(corners) / (4 * h**2)
-    spread = 2.0 * np.linalg.pinv(curve)
-    slopes = [(u[1] - d[1]) / (2 * h) for u, d in zip(up, down)]
-    cov = at(np.array(base))[1]
-
-    def df_of(c):
-        c = np.asarray(c, float)
-        grad = np.array([c @ s @ c for s in slopes])
-        denominator = grad @ spread @ grad
-        return float(2 * (c @ cov @ c) ** 2 / denominator) if denominator > 0 else float("inf")
-
-    return df_of
-
-
-def fit(df: DataFrame, model: Model, q_max: int = 3000) -> Fit:
+def fit(df: DataFrame, model: Model) -> Fit:
     """Fit the model to a pair table; the complete design rows are written once and read a few times."""
     rows = mixed.design(df, model)
     if not model.members and not model.group:
         return least_squares(rows, model)
     rows = materialise(rows)
     g = _fixed_matrix(rows, model)
-    p = len(model.terms)
-    xx, n = g[:p, :p], int(round(g[0, 0]))
-    _independent(xx)
+    _independent(g[: len(model.terms), : len(model.terms)])
     by_fixed = materialise(mixed.random_by_fixed(rows, model))
-    levels = by_fixed.limit(q_max + 1).toPandas()  # never more than q_max + 1 rows
-    edges = mixed.random_gram(rows)
-    if len(levels) <= q_max:
-        return _fit_exact(model, g, n, levels, edges.toPandas())  # at most q_max squared entries
-    return _fit_distributed(model, g, n, by_fixed, materialise(edges))
+    return fit_levels(model, g, by_fixed, materialise(mixed.random_gram(rows)))
 
 
-def _fit_distributed(model, g, n, by_fixed, edges, variances: dict[str, float] | None = None) -> Fit:
+def fit_levels(model, g, by_fixed, edges, variances: dict[str, float] | None = None) -> Fit:
+    """The fit from cross-products; ``variances`` are estimated from residual moments unless they are given."""
+    n = int(round(g[0, 0]))
     p = len(model.terms)
     xx, xy, yy = g[:p, :p], g[:p, p], g[p, p]
     if variances is None:
@@ -327,9 +169,7 @@ def _test(fit: Fit, tails: Tails, c: np.ndarray):
 
 
 def _df(fit: Fit) -> str:
-    if fit.df_of is None:
-        return "normal"
-    return "residual" if fit.method == "least squares" else "satterthwaite"
+    return "normal" if fit.df_of is None else "residual"
 
 
 def coefficients(spark: SparkSession, fit: Fit) -> DataFrame:

@@ -59,26 +59,35 @@ def pivot_lists(
     names_from: str,
     values_from: str,
     names: Sequence[str],
-    largest: int = 10_000,
+    largest: int | None = None,
 ) -> DataFrame:
     """One row per key with one sorted array per listed name (empty where absent).
 
-    A list cell is one value, so it has to fit in a row. Cells are counted
-    first and the job stops if one holds more than ``largest`` values: keep such
-    groups in long form, nothing is cut off silently.
+    A list cell is one value, so it has to fit in a row; groups without such a bound are kept in long form
+    (``roster.group_slots``). With ``largest`` cells are counted first and the job stops if one is longer.
     """
     keys = list(keys)
     rows = df.select(*keys, names_from, values_from)
+    lists = F.sort_array(F.collect_list(values_from))
+    if largest is None:
+        return rows.groupBy(*keys).pivot(names_from, list(names)).agg(lists)
     cells = rows.groupBy(*keys, names_from).agg(F.count(values_from).alias("__n"))
     ok = F.when(F.col("__n") <= largest, F.lit(True)).otherwise(
         F.raise_error(F.lit(f"a list cell holds more than {largest} values")).cast("boolean")
     )
     checked = rows.join(cells.where(ok).drop("__n"), [*keys, names_from])
-    return checked.groupBy(*keys).pivot(names_from, list(names)).agg(F.sort_array(F.collect_list(values_from)))
+    return checked.groupBy(*keys).pivot(names_from, list(names)).agg(lists)
 
 
-def spread_lists(df: DataFrame, widths: dict[str, int]) -> DataFrame:
-    """Array columns as numbered columns ``<name>_1 .. <name>_width``."""
+def list_widths(df: DataFrame, names: Sequence[str]) -> dict[str, int]:
+    """Length of the longest list of each column, at least 1: one row of counts."""
+    longest = df.agg(*[F.max(F.size(n)).alias(n) for n in names]).first()
+    return {n: max(1, longest[n] or 0) for n in names}
+
+
+def spread_lists(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Array columns as numbered columns ``<name>_1 ..``, as many as the longest list has."""
+    widths = list_widths(df, names)
     kept = [c for c in df.columns if c not in widths]
     cells = [
         F.get(F.col(name), F.lit(i)).alias(f"{name}_{i + 1}") for name, width in widths.items() for i in range(width)

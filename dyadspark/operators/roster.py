@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from dyadspark.functions import in_set, level_rank
-from dyadspark.operators.relational import first_by, first_k, merge_tables, running_number
+from dyadspark.operators.relational import first_by, merge_tables, running_number
 from dyadspark.operators.reshape import pivot_lists, spread_lists, spread_slots
 
 # Role codes in order of priority, and the eight roles a group roster shows.
@@ -20,6 +20,8 @@ ROLE_PRIORITY = [
 ]
 ROSTER_ROLES = ["BrM", "BrF", "H", "CH", "ABX", "AB", "OFL", "FL"]
 NATAL_ROLES = ["BrM", "BrF", "H"]
+# The attendants the published rule reads.
+NAMED_SLOTS = {"BrF": 2, "BrM": 2, "H": 3}
 
 
 def best_roles(status: DataFrame, groups: DataFrame, roles: Sequence[str] = ROSTER_ROLES) -> DataFrame:
@@ -40,10 +42,16 @@ def group_lists(best: DataFrame, roles: Sequence[str] = ROSTER_ROLES) -> DataFra
     return pivot_lists(best, ["group_id", "period_id", "territory_id"], "role", "bird_id", roles)
 
 
-def group_wide(lists: DataFrame, width: int = 3, roles: Sequence[str] = ROSTER_ROLES) -> DataFrame:
-    """The arrays as ``<role>_1 .. <role>_width``; ``<role>_n`` tells how many there are in all."""
-    sized = lists.withColumns({f"{r}_n": F.size(r) for r in roles})
-    return spread_lists(sized, {r: width for r in roles})
+def group_wide(lists: DataFrame, roles: Sequence[str] = ROSTER_ROLES) -> DataFrame:
+    """The arrays as ``<role>_1 ..`` up to the longest; ``<role>_n`` tells how many there are in all."""
+    return spread_lists(lists.withColumns({f"{r}_n": F.size(r) for r in roles}), roles)
+
+
+def group_slots(best: DataFrame) -> DataFrame:
+    """The roster in long form: every bird with its number within group and role, in bird order."""
+    return running_number(best, ["group_id", "role"], "bird_id", "slot").select(
+        "group_id", "period_id", "territory_id", "role", "slot", "bird_id"
+    )
 
 
 def group_dimension(best: DataFrame, extra_nonnull_cols: int = 0) -> DataFrame:
@@ -65,8 +73,13 @@ def group_dimension(best: DataFrame, extra_nonnull_cols: int = 0) -> DataFrame:
         has("H").alias("helper_present"),
         has("FL", "OFL").alias("fledgling_present"),
     )
-    numbered = running_number(wide, ["male", "female"], "group_id", "seasons_together")
     unpaired = F.col("male").isNull() | F.col("female").isNull() | (F.col("male") == 0) | (F.col("female") == 0)
+    # groups without a pair are not numbered: each is a key of its own, so they do not meet in one
+    wide = wide.withColumns({
+        "__m": F.when(unpaired, F.col("group_id")).otherwise(F.col("male")),
+        "__f": F.when(unpaired, F.lit(-1)).otherwise(F.col("female")),
+    })
+    numbered = running_number(wide, ["__m", "__f"], "group_id", "seasons_together")
     return numbered.withColumn(
         "seasons_together", F.when(unpaired, F.lit(0).cast("bigint")).otherwise(F.col("seasons_together"))
     ).select(
@@ -80,25 +93,26 @@ def first_records(status: DataFrame, groups: DataFrame) -> DataFrame:
     return merge_tables(first, groups, ["group_id"], "inner", null_safe=False)
 
 
-def natal_attendants(
-    first: DataFrame, status: DataFrame, widths: dict[str, int] | None = None
-) -> DataFrame:
-    """Breeders and helpers of every natal group as numbered columns, in bird order."""
-    widths = widths or {"BrF": 2, "BrM": 2, "H": 3}
-    present = status.where(in_set("role", list(widths))).select("group_id", "role", "bird_id").distinct()
-    natal = first.select("group_id").distinct()
-    rows = present.join(natal, "group_id", "left_semi")
-    numbered = first_k(rows, ["group_id", "role"], ["bird_id"], max(widths.values()))
-    return spread_slots(numbered, ["group_id"], "role", "bird_id", widths)
+def natal_attendants(first: DataFrame, status: DataFrame, roles: Sequence[str] = NATAL_ROLES) -> DataFrame:
+    """Breeders and helpers of every natal group, all of them, numbered in bird order: group_id, role, slot, bird_id."""
+    present = status.where(in_set("role", roles)).select("group_id", "role", "bird_id").distinct()
+    rows = present.join(first.select("group_id").distinct(), "group_id", "left_semi")
+    return running_number(rows, ["group_id", "role"], "bird_id", "slot").select("group_id", "role", "slot", "bird_id")
 
 
-def natal_table(status: DataFrame, groups: DataFrame, widths: dict[str, int] | None = None) -> DataFrame:
-    """Per bird: natal territory and the natal group's breeders and helpers."""
+def natal_table(status: DataFrame, groups: DataFrame) -> DataFrame:
+    """Natal territory and natal breeders and helpers of each bird, a row each; birds without any have one row."""
     first = first_records(status, groups)
-    attendants = natal_attendants(first, status, widths)
+    attendants = natal_attendants(first, status).select(
+        "group_id", F.col("role").alias("attendant_role"), "slot", F.col("bird_id").alias("attendant"))
     joined = merge_tables(first, attendants, ["group_id"], "left", null_safe=False)
-    numbered = [c for c in attendants.columns if c != "group_id"]
-    return joined.select("bird_id", F.col("territory_id").alias("first_territory_id"), *numbered)
+    return joined.select(
+        "bird_id", F.col("territory_id").alias("first_territory_id"), "attendant_role", "slot", "attendant")
+
+
+def natal_slots(natal: DataFrame, widths: dict[str, int] = NAMED_SLOTS) -> DataFrame:
+    """One row per bird with the numbered attendants that the published rule names, as ``<role>_<slot>``."""
+    return spread_slots(natal, ["bird_id", "first_territory_id"], "attendant_role", "attendant", widths)
 
 
 def genetic_parents(offspring: DataFrame, min_confidence: float = 80, order: str = "file_row") -> DataFrame:

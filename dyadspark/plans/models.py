@@ -63,10 +63,10 @@ def rows_of(pairs: DataFrame, comparison: Comparison) -> DataFrame:
     return dyads.within_group(pairs).withColumn("grouping", dyads.interacting())
 
 
-def fit_comparison(pairs: DataFrame, name: str, factors: dict | None = None, q_max: int = 3000) -> Fit:
+def fit_comparison(pairs: DataFrame, name: str, factors: dict | None = None) -> Fit:
     """Fit one of the comparisons to its pair table."""
     comparison = COMPARISONS[name]
-    return fit(rows_of(pairs, comparison), model_of(comparison, factors), q_max)
+    return fit(rows_of(pairs, comparison), model_of(comparison, factors))
 
 
 def means_by_class(pairs: DataFrame, name: str) -> DataFrame:

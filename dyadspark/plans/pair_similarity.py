@@ -70,16 +70,18 @@ def pair_table(
     ratios: DataFrame | None = None,
     block=BLOCK,
     signed_age: bool = False,
-    natal_mode: str = "as_written",
+    natal: DataFrame | None = None,
     drop_zero: bool = True,
     tile_rows: int = 2048,
+    alpha_as_similarity: bool = True,
 ) -> DataFrame:
     """Classified pairs of the same block; with ``ratios`` also distance and similarity.
 
     Pairs of one bird with itself are ruled out in the join, the role filter
     runs on single samples. Optional sample columns switch on what they allow:
-    natal columns the shared-natal class, alpha columns the alpha similarity,
-    ``seasons_together`` the shared tenure.
+    natal columns the shared-natal class by the published rule, alpha columns the alpha similarity
+    (or difference), ``seasons_together`` the shared tenure. The long table ``natal`` gives the shared-natal
+    class over all attendants instead.
     """
     rows = pairable(samples)
     distinct_birds = F.coalesce(F.col("bird_id_x") != F.col("bird_id_y"), F.lit(True))
@@ -91,10 +93,12 @@ def pair_table(
     pairs = classify(pairs, signed_age)
     if "seasons_together" in samples.columns:
         pairs = pairs.withColumn("shared_tenure", dyads.shared_tenure())
-    if "BrF_1" in samples.columns:
-        pairs = pairs.withColumn("shared_natal", dyads.shared_natal(natal_mode))
+    if natal is not None:
+        pairs = dyads.with_shared_natal(pairs, natal)
+    elif "BrF_1" in samples.columns:
+        pairs = pairs.withColumn("shared_natal", dyads.shared_natal())
     if "shannon" in samples.columns:
-        pairs = dyads.alpha_similarity(pairs)
+        pairs = dyads.alpha_similarity(pairs, alpha_as_similarity)
     return pairs if edges is None else dyads.with_relatedness(pairs, edges)
 
 

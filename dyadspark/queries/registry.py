@@ -11,6 +11,9 @@ from dyadspark.plans import pair_similarity as plan
 from dyadspark.queries import views
 from dyadspark.session import materialise
 
+#: Reads an order is rarefied to; smaller orders have no alpha diversity.
+ORDER_DEPTH = 60
+
 QUERIES: dict = {}
 CHECKS: dict[str, str] = {}
 
@@ -35,13 +38,26 @@ class Study:
     def natal(self) -> DataFrame:
         return roster.natal_table(self.view("status"), self.view("groups"))
 
+    @cached_property
+    def natal_slots(self) -> DataFrame:
+        return roster.natal_slots(self.natal)
+
+    @cached_property
+    def alpha(self) -> DataFrame:
+        """Alpha diversity of the rarefied order-level community."""
+        return community.alpha_diversity(community.rarefy(self.order_counts, ORDER_DEPTH))
+
+    @cached_property
+    def order_counts(self) -> DataFrame:
+        return materialise(self.view("order_abund"))
+
     @cached_property
     def parents(self) -> DataFrame:
         return roster.genetic_parents(self.view("offspring"))
 
     @cached_property
     def order_ratios(self) -> DataFrame:
-        return plan.core_log_ratios(materialise(self.view("order_abund")))
+        return plan.core_log_ratios(self.order_counts)
 
     @cached_property
     def counts(self) -> DataFrame:
@@ -60,8 +76,7 @@ class Study:
     @cached_property
     def rich_samples(self) -> DataFrame:
         dim = roster.group_dimension(self.best).select("group_id", "seasons_together")
-        alpha = community.alpha_diversity(self.view("order_abund"))
-        return plan.enrich_samples(self.view("samples"), dim, self.natal, alpha, self.parents)
+        return plan.enrich_samples(self.view("samples"), dim, self.natal_slots, self.alpha, self.parents)
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -164,14 +179,20 @@ FROM (SELECT group_id, territory_id, count(bird_id) AS n_members,
 SELECT f.bird_id, f.group_id, f.role, f.status_id, g.period_id, g.territory_id FROM (
 SELECT *, row_number() OVER (PARTITION BY bird_id ORDER BY status_id) AS rn FROM status) f
 JOIN groups g ON f.group_id = g.group_id WHERE rn = 1""",
+    "c_attendants": """
+SELECT group_id, role, row_number() OVER (PARTITION BY group_id, role ORDER BY bird_id) AS slot, bird_id
+FROM (SELECT DISTINCT s.group_id, s.role, s.bird_id FROM status s JOIN c_first f ON s.group_id = f.group_id
+      WHERE s.role IN ('BrM', 'BrF', 'H')) u""",
+    "c_natal_all": """
+SELECT f.bird_id, f.territory_id AS first_territory_id, a.role AS attendant_role, a.slot, a.bird_id AS attendant
+FROM c_first f LEFT JOIN c_attendants a ON f.group_id = a.group_id""",
+    # the numbered attendants the published rule names
     "c_attend": """
 SELECT group_id, """ + ", ".join(
         f"max(CASE WHEN role = '{r}' AND slot = {i} THEN bird_id END) AS {r}_{i}"
         for r, w in (("BrF", 2), ("BrM", 2), ("H", 3)) for i in range(1, w + 1)
     ) + """
-FROM (SELECT group_id, role, bird_id, row_number() OVER (PARTITION BY group_id, role ORDER BY bird_id) AS slot
-  FROM (SELECT DISTINCT s.group_id, s.role, s.bird_id FROM status s JOIN c_first f ON s.group_id = f.group_id
-        WHERE s.role IN ('BrM', 'BrF', 'H')) u) n GROUP BY group_id""",
+FROM c_attendants GROUP BY group_id""",
     "c_natal": """
 SELECT f.bird_id, f.territory_id AS first_territory_id, a.BrF_1, a.BrF_2, a.BrM_1, a.BrM_2, a.H_1, a.H_2, a.H_3
 FROM c_first f LEFT JOIN c_attend a ON f.group_id = a.group_id""",
@@ -222,7 +243,7 @@ WHERE t.genus IS NOT NULL) r WHERE rn = 1""",
 SELECT a.sample_id, g.taxon_id, g.genus, CAST(sum(a.n) AS BIGINT) AS n
 FROM abund a JOIN taxonomy t ON a.taxon_id = t.taxon_id
 JOIN c_glom g ON t.family = g.family AND t.genus = g.genus GROUP BY a.sample_id, g.taxon_id, g.genus""",
-    # order-level community, all 25 taxa being core
+    # order-level community
     "c_oshare": "SELECT sample_id, taxon_id, n / sum(n) OVER (PARTITION BY sample_id) AS share FROM order_abund",
     "c_ocore": """
 SELECT taxon_id FROM c_oshare GROUP BY taxon_id
@@ -250,5 +271,13 @@ SELECT sample_id, count(*) AS observed, -sum(n / total * ln(n / total)) AS shann
 FROM (SELECT sample_id, n, sum(n) OVER (PARTITION BY sample_id) AS total FROM abund WHERE n > 0) p GROUP BY sample_id""",
     "c_oalpha": """
 SELECT sample_id, count(*) AS observed, -sum(n / total * ln(n / total)) AS shannon
-FROM (SELECT sample_id, n, sum(n) OVER (PARTITION BY sample_id) AS total FROM order_abund WHERE n > 0) p GROUP BY sample_id""",
+FROM (SELECT sample_id, n, sum(n) OVER (PARTITION BY sample_id) AS total FROM c_orare WHERE n > 0) p GROUP BY sample_id""",
+    "c_ounits": f"""
+SELECT a.sample_id, a.taxon_id, unnest(range(1, a.n + 1)) AS i FROM order_abund a
+JOIN (SELECT sample_id FROM order_abund GROUP BY sample_id HAVING sum(n) >= {ORDER_DEPTH}) d ON a.sample_id = d.sample_id""",
+    "c_orare": f"""
+SELECT sample_id, taxon_id, count(*) AS n FROM (
+SELECT sample_id, taxon_id, row_number() OVER (PARTITION BY sample_id ORDER BY
+  md5('88|' || sample_id || '|' || taxon_id || '|' || i)) AS rn FROM c_ounits) r
+WHERE rn <= {ORDER_DEPTH} GROUP BY sample_id, taxon_id""",
 }

@@ -54,23 +54,31 @@ def _(s: Study):
     return community.melt_community(loaded).select("sample_id", "taxon_id", "n", "genus", "age_class")
 
 
-_LOCI = list(range(1, 8))
-_GENO_SQL = """
-SELECT ind, CAST(locus AS VARCHAR) AS locus, CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b FROM genotypes WHERE a IS NOT NULL"""
+# every individual at every locus; untyped loci have missing alleles
+_GRID_SQL = """
+FROM (SELECT DISTINCT ind FROM genotypes) i CROSS JOIN (SELECT DISTINCT locus FROM genotypes) l
+LEFT JOIN genotypes g ON g.ind = i.ind AND g.locus = l.locus"""
 
 
-def _genotype_text(s: Study):
+def _values(df, column: str) -> list:
+    """The distinct values of a column that names columns, in order; their number is that of the columns made."""
+    return [r[0] for r in df.select(column).distinct().orderBy(column).collect()]
+
+
+def _write_genotypes(s: Study):
+    """The genotypes written as headerless text; the path and the loci."""
     from dyadspark.operators.genetics import genotypes_wide
 
-    path = shared_folder(s.spark)
-    writers.write_delimited(genotypes_wide(s.view("genotypes"), _LOCI), path, " ", False)
-    read = readers.read_genotype_text(s.spark, path, [str(l) for l in _LOCI])
-    return read.where(F.col("a").isNotNull())
+    path, loci = shared_folder(s.spark), _values(s.view("genotypes"), "locus")
+    writers.write_delimited(genotypes_wide(s.view("genotypes"), loci), path, " ", False)
+    return path, loci
 
 
-@query("a5_genotype_text_scan", _GENO_SQL)
+@query("a5_genotype_text_scan", f"""
+SELECT i.ind, CAST(l.locus AS VARCHAR) AS locus, CAST(g.a AS INTEGER) AS a, CAST(g.b AS INTEGER) AS b {_GRID_SQL}""")
 def _(s: Study):
-    return _genotype_text(s)
+    path, loci = _write_genotypes(s)
+    return readers.read_genotype_text(s.spark, path, [str(l) for l in loci])
 
 
 @query("a6_wide_counts_to_long", """
@@ -78,7 +86,7 @@ SELECT CAST(l_linenumber AS VARCHAR) AS sample_id, l_partkey AS taxon_id, CAST(s
 FROM lineitem GROUP BY l_linenumber, l_partkey""")
 def _(s: Study):
     lines = s.table("lineitem")
-    wide = lines.groupBy("l_partkey").pivot("l_linenumber", _LOCI).agg(F.sum("l_quantity").cast("bigint"))
+    wide = lines.groupBy("l_partkey").pivot("l_linenumber", _values(lines, "l_linenumber")).agg(F.sum("l_quantity").cast("bigint"))
     return reshape.counts_from_wide(wide, "l_partkey")
 
 
@@ -96,19 +104,22 @@ def _(s: Study):
     return readers.read_tsv(s.spark, path, [(c, c, "string") for c in ("taxon_id", "family", "genus")])
 
 
-@query("a9_headerless_sink", _GENO_SQL + " AND b IS NOT NULL")
+@query("a9_headerless_sink", f"""
+SELECT ind || ' ' || string_agg(coalesce(CAST(a AS VARCHAR), 'NA') || ' ' || coalesce(CAST(b AS VARCHAR), 'NA'), ' ' ORDER BY locus)
+  AS line FROM (SELECT i.ind, l.locus, g.a, g.b {_GRID_SQL}) t GROUP BY ind""")
 def _(s: Study):
-    return _genotype_text(s).where(F.col("b").isNotNull())
+    path, _ = _write_genotypes(s)
+    return s.spark.read.text(path).select(F.col("value").alias("line"))
 
 
 @query("a10_pair_table_store", """
 SELECT year, season, pair_type, CAST(list_position(['diffGroup', 'Dominantpair', 'DomHelp', 'DomSub', 'HelpSub', 'SubSub',
   'sameTerrothers', 'sameBird'], pair_type) AS INTEGER) AS level, count(*) AS n
-FROM c_typed WHERE season = 'Major' GROUP BY year, season, pair_type""")
+FROM c_typed GROUP BY year, season, pair_type""")
 def _(s: Study):
     path = shared_folder(s.spark)
-    writers.write_pair_table(s.pairs, path, ["season"])
-    back = writers.read_pair_table(s.spark, path, {"pair_type": dyads.PAIR_TYPES}).where(F.col("season") == "Major")
+    writers.write_pair_table(s.pairs, path)
+    back = writers.read_pair_table(s.spark, path, {"pair_type": dyads.PAIR_TYPES})
     return rel.count_by(back, F.col("year").cast("bigint").alias("year"), "season", "pair_type", F.col("pair_type_rank").alias("level"))
 
 
@@ -139,14 +150,16 @@ def _(s: Study):
 
 
 _INTERLEAVED = ", ".join(
-    f"max(CASE WHEN locus = {l} THEN {p} END) AS \"{l}_{p}\"" for l in _LOCI for p in ("a", "b")
+    f"max(CASE WHEN locus = {l} THEN {p} END) AS \"{l}_{p}\"" for l in range(1, 8) for p in ("a", "b")
 )
 
 
 @query("b5_interleave_columns", f"SELECT ind, {_INTERLEAVED} FROM genotypes GROUP BY ind")
 def _(s: Study):
-    wide = reshape.pivot_values(s.view("genotypes"), ["ind"], "locus", _LOCI, {"b": "b", "a": "a"})
-    return wide.select(*reshape.interleave(["ind"], ["a", "b"], [str(l) for l in _LOCI]))
+    genotypes = s.view("genotypes")
+    loci = _values(genotypes, "locus")
+    wide = reshape.pivot_values(genotypes, ["ind"], "locus", loci, {"b": "b", "a": "a"})
+    return wide.select(*reshape.interleave(["ind"], ["a", "b"], [str(l) for l in loci]))
 
 
 @query("b6_rename", "SELECT genus, label1 AS machine FROM machine1")
@@ -193,14 +206,15 @@ def _(s: Study):
     return s.view("samples").select("sample_id", fx.level_rank("role", roster.ROSTER_ROLES).alias("level"))
 
 
-_BRANDS = [f"Brand#{i}" for i in range(1, 26)]
+_BRANDS = [f"Brand#{i}" for i in range(26)]
 
 
 @query("b12_sample_matrix", "SELECT sample_id, " + ", ".join(
     f"coalesce(max(CASE WHEN taxon_id = '{b}' THEN n END), 0) AS \"{b}\"" for b in _BRANDS
 ) + " FROM order_abund GROUP BY sample_id")
 def _(s: Study):
-    return community.sample_matrix(s.view("order_abund"), _BRANDS)
+    counts = s.view("order_abund")
+    return community.sample_matrix(counts, _values(counts, "taxon_id"))
 
 
 # ---- filters ----
@@ -243,7 +257,7 @@ def _(s: Study):
     return kept
 
 
-@query("c7_keep_taxa", "SELECT a.sample_id, a.taxon_id, a.n FROM abund a JOIN c_core c ON a.taxon_id = c.taxon_id")
+@query("c7_keep_taxa", "SELECT sample_id, taxon_id, n FROM abund WHERE taxon_id IN (SELECT taxon_id FROM c_core)")
 def _(s: Study):
     return s.core
 
@@ -291,7 +305,7 @@ SELECT e.bird_a, e.bird_b, a.first_territory_id AS first_territory_id_x, b.first
 FROM edges e LEFT JOIN c_natal a ON e.bird_a = a.bird_id LEFT JOIN c_natal b ON e.bird_b = b.bird_id""")
 def _(s: Study):
     ends = s.view("edges").select("bird_a", "bird_b")
-    return rel.attach_both_ends(ends, s.natal, "bird_id", ("bird_a", "bird_b"), ["first_territory_id"])
+    return rel.attach_both_ends(ends, s.natal_slots, "bird_id", ("bird_a", "bird_b"), ["first_territory_id"])
 
 
 @query("d7_null_safe_keys", """
@@ -542,17 +556,13 @@ def _(s: Study):
     return lists.select("group_id", *[F.array_join(F.transform(r, lambda b: b.cast("string")), ",").alias(r) for r in _ROLES3])
 
 
-_SPREAD_SQL = ", ".join(
-    f"max(CASE WHEN role = '{r}' AND slot = {i} THEN bird_id END) AS {r}_{i}" for r in _ROLES3 for i in (1, 2, 3)
-)
-
-
 @query("p2_spread_lists", f"""
-SELECT group_id, {_SPREAD_SQL} FROM (
-SELECT *, row_number() OVER (PARTITION BY group_id, role ORDER BY bird_id) AS slot FROM c_best) n GROUP BY group_id""")
+SELECT group_id, role || '_' || row_number() OVER (PARTITION BY group_id, role ORDER BY bird_id) AS cell, bird_id
+FROM c_best WHERE role IN ({quoted(_ROLES3)})""")
 def _(s: Study):
     lists = reshape.pivot_lists(s.best, ["group_id"], "role", "bird_id", _ROLES3)
-    return reshape.spread_lists(lists, {r: 3 for r in _ROLES3})
+    wide = reshape.spread_lists(lists, _ROLES3)
+    return reshape.melt(wide, ["group_id"], [c for c in wide.columns if c != "group_id"], "cell", "bird_id", drop_null=True)
 
 
 @query("p3_wide_to_long", """
@@ -564,7 +574,8 @@ def _(s: Study):
 
 @query("p4_pivot_two_values", f"SELECT ind, {_INTERLEAVED} FROM genotypes GROUP BY ind")
 def _(s: Study):
-    return reshape.pivot_values(s.view("genotypes"), ["ind"], "locus", _LOCI, {"a": "a", "b": "b"})
+    genotypes = s.view("genotypes")
+    return reshape.pivot_values(genotypes, ["ind"], "locus", _values(genotypes, "locus"), {"a": "a", "b": "b"})
 
 
 @query("p5_matrix_to_triples", """

@@ -8,8 +8,9 @@ from dyadspark.functions import summarise_columns
 from dyadspark.operators import annotate, community, distance, dyads, figures, genetics, mixed, mixed_fit, roster
 from dyadspark.operators import relational as rel
 from dyadspark.plans import models, pair_similarity as plan
-from dyadspark.queries.registry import Study, query, quoted
-from dyadspark.queries.relational import _INTERLEAVED, _LOCI, _summary_sql
+from dyadspark.queries.registry import ORDER_DEPTH, Study, query, quoted
+from dyadspark.queries.relational import _INTERLEAVED, _summary_sql, _values
+from dyadspark.session import materialise
 
 RANKS = ["family", "genus"]
 
@@ -118,7 +119,7 @@ def _(s: Study):
 SELECT sample_id_x, sample_id_y, round(-similarity, 6) AS distance FROM c_similar WHERE relation = 'sameGroup'""")
 def _(s: Study):
     pairs = dyads.within_group(s.pairs).select("sample_id_x", "sample_id_y")
-    return distance.distance_long(s.order_ratios, pairs).where(F.col("distance") > 1e-9)
+    return distance.distance_long(s.order_ratios, pairs).where(F.col("distance") > 0)
 
 
 @query("k8_similarity", """
@@ -223,17 +224,11 @@ def _(s: Study):
     return s.best.select("bird_id", "period_id", "group_id", "territory_id", "role")
 
 
-_ROSTER_SPREAD = ", ".join(
-    f"max(CASE WHEN role = '{r}' AND slot = {i} THEN bird_id END) AS {r}_{i}" for r in roster.ROSTER_ROLES for i in (1, 2, 3)
-) + ", " + ", ".join(f"CAST(count(CASE WHEN role = '{r}' THEN 1 END) AS INTEGER) AS {r}_n" for r in roster.ROSTER_ROLES)
-
-
-@query("r2_group_roster", f"""
-SELECT group_id, period_id, territory_id, {_ROSTER_SPREAD} FROM (
-SELECT *, row_number() OVER (PARTITION BY group_id, role ORDER BY bird_id) AS slot FROM c_best) n
-GROUP BY group_id, period_id, territory_id""")
+@query("r2_group_roster", """
+SELECT group_id, period_id, territory_id, role, row_number() OVER (PARTITION BY group_id, role ORDER BY bird_id) AS slot, bird_id
+FROM c_best""")
 def _(s: Study):
-    return roster.group_wide(roster.group_lists(s.best))
+    return roster.group_slots(s.best)
 
 
 @query("r3_group_size", "SELECT group_id, n_members FROM c_dim")
@@ -263,12 +258,12 @@ def _(s: Study):
     return first.select("bird_id", "group_id", "role", "status_id", "territory_id")
 
 
-@query("r8_natal_attendants", "SELECT * FROM c_attend")
+@query("r8_natal_attendants", "SELECT * FROM c_attendants")
 def _(s: Study):
     return roster.natal_attendants(roster.first_records(s.view("status"), s.view("groups")), s.view("status"))
 
 
-@query("r9_natal_table", "SELECT * FROM c_natal")
+@query("r9_natal_table", "SELECT * FROM c_natal_all")
 def _(s: Study):
     return s.natal
 
@@ -364,14 +359,12 @@ def _(s: Study):
 
 
 @query("y10_shared_natal_symmetric", """
-SELECT t.sample_id_x, t.sample_id_y, CASE WHEN bird_id_y = nx.BrF_1 OR bird_id_y = nx.BrM_1 OR bird_id_y = nx.H_1
-   OR bird_id_y = nx.BrF_2 OR bird_id_y = nx.BrM_2 OR bird_id_y = nx.H_2 OR bird_id_y = nx.H_3 OR bird_id_x = ny.BrF_1
-   OR bird_id_x = ny.BrM_1 OR bird_id_x = ny.H_1 OR bird_id_x = ny.BrF_2 OR bird_id_x = ny.BrM_2 OR bird_id_x = ny.H_2
-   OR bird_id_x = ny.H_3 THEN 'same' ELSE 'different' END AS shared_natal
-FROM c_typed t LEFT JOIN c_natal nx ON t.bird_id_x = nx.bird_id LEFT JOIN c_natal ny ON t.bird_id_y = ny.bird_id""")
+SELECT t.sample_id_x, t.sample_id_y, CASE WHEN EXISTS (SELECT 1 FROM c_natal_all n WHERE
+    (n.bird_id = t.bird_id_x AND n.attendant = t.bird_id_y) OR (n.bird_id = t.bird_id_y AND n.attendant = t.bird_id_x))
+  THEN 'same' ELSE 'different' END AS shared_natal FROM c_typed t""")
 def _(s: Study):
-    rows = plan.enrich_samples(s.view("samples"), natal=s.natal)
-    return plan.pair_table(rows, natal_mode="symmetric").select("sample_id_x", "sample_id_y", "shared_natal")
+    pairs = plan.pair_table(s.view("samples"), natal=s.natal)
+    return pairs.select("sample_id_x", "sample_id_y", "shared_natal")
 
 
 @query("y11_parent", """
@@ -607,7 +600,8 @@ def _(s: Study):
 
 @query("g2_genotypes_wide", f"SELECT ind, {_INTERLEAVED} FROM genotypes GROUP BY ind")
 def _(s: Study):
-    return genetics.genotypes_wide(s.view("genotypes"), _LOCI)
+    genotypes = s.view("genotypes")
+    return genetics.genotypes_wide(genotypes, _values(genotypes, "locus"))
 
 
 _FREQ_SQL = """
@@ -778,9 +772,10 @@ def _(s: Study):
 
 
 @query("v1_histogram", """
-WITH c_v AS (SELECT CAST(age_diff AS DOUBLE) AS v FROM c_typed), c_span AS (SELECT min(v) AS lo, (max(v) - min(v)) / 30 AS w FROM c_v)
-SELECT least(CAST(floor((v - lo) / w) AS BIGINT), 29) AS bin, count(*) AS n, round(min(lo) + least(CAST(floor((v - lo) / w) AS BIGINT), 29) * min(w), 6) AS lower,
-  round(min(lo) + (least(CAST(floor((v - lo) / w) AS BIGINT), 29) + 1) * min(w), 6) AS upper FROM c_v, c_span GROUP BY 1""")
+WITH c_v AS (SELECT CAST(age_diff AS DOUBLE) AS v FROM c_typed), c_span AS (SELECT min(v) AS lo, (max(v) - min(v)) / 30 AS w FROM c_v),
+c_n AS (SELECT least(CAST(floor((v - lo) / w) AS BIGINT), 29) AS bin, count(*) AS n FROM c_v, c_span GROUP BY 1)
+SELECT b.bin, coalesce(n, 0) AS n, round(lo + b.bin * w, 6) AS lower, round(lo + (b.bin + 1) * w, 6) AS upper
+FROM (SELECT unnest(range(0, 30)) AS bin) b CROSS JOIN c_span LEFT JOIN c_n ON c_n.bin = b.bin""")
 def _(s: Study):
     return figures.histogram(s.written_pairs("age_diff"), "age_diff")
 
@@ -799,8 +794,9 @@ def _(s: Study):
 
 @query("v3_density", """
 WITH c_v AS (SELECT pair_type, CAST(age_diff AS DOUBLE) AS v FROM c_typed),
-c_s AS (SELECT pair_type, min(v) AS lo, max(v) AS hi, count(*) AS n, 0.45E0 * stddev_samp(v) * pow(count(*), -0.2E0) AS bw
-  FROM c_v GROUP BY pair_type HAVING stddev_samp(v) > 0),
+c_s AS (SELECT pair_type, min(v) AS lo, max(v) AS hi, count(*) AS n,
+  0.45E0 * least(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34E0) * pow(count(*), -0.2E0) AS bw
+  FROM c_v GROUP BY pair_type),
 c_b AS (SELECT v.pair_type, least(CAST(floor((v - lo) / ((hi - lo) / 512)) AS BIGINT), 511) AS bin, count(*) AS c
   FROM c_v v JOIN c_s s ON v.pair_type = s.pair_type GROUP BY 1, 2),
 c_g AS (SELECT unnest(range(0, 64)) AS point)
@@ -816,25 +812,90 @@ def _(s: Study):
     return figures.count_labels(s.pairs, "relation")
 
 
-# ---- the study's comparisons, on pairs with similarity, alpha diversity and natal groups ----
+# ---- pair tables of functional subsets ----
+
+
+def _subset_pairs_sql(classes) -> str:
+    """Similarity, signed age and alpha differences of all classified pairs, over the taxa of some classes."""
+    return f"""
+WITH c_keep AS (SELECT genus FROM genus_class WHERE class IN ({quoted(classes)})),
+c_sub AS (SELECT sample_id, taxon_id, n FROM order_abund WHERE taxon_id IN (SELECT genus FROM c_keep)),
+c_subshare AS (SELECT sample_id, taxon_id, n, n / sum(n) OVER (PARTITION BY sample_id) AS share FROM c_sub),
+c_subcore AS (SELECT taxon_id FROM c_subshare GROUP BY taxon_id
+  HAVING count(CASE WHEN share > 0.00001 THEN 1 END) / (SELECT count(DISTINCT sample_id) FROM c_subshare) > 0.01),
+c_subgrid AS (SELECT s.sample_id, c.taxon_id, coalesce(a.n, 0) AS n
+  FROM (SELECT DISTINCT o.sample_id FROM c_sub o JOIN c_subcore k ON o.taxon_id = k.taxon_id) s CROSS JOIN c_subcore c
+  LEFT JOIN c_sub a ON a.sample_id = s.sample_id AND a.taxon_id = c.taxon_id),
+c_subgs AS (SELECT sample_id, taxon_id, n / sum(n) OVER (PARTITION BY sample_id) AS share FROM c_subgrid),
+c_sublog AS (SELECT sample_id, taxon_id, ln(share + (SELECT min(share) / 2 FROM c_subgs WHERE share > 0)) AS v FROM c_subgs),
+c_subclr AS (SELECT sample_id, taxon_id, v - avg(v) OVER (PARTITION BY sample_id) AS clr FROM c_sublog),
+c_subalpha AS (SELECT sample_id, count(*) AS observed, -sum(n / total * ln(n / total)) AS shannon FROM (
+  SELECT sample_id, n, sum(n) OVER (PARTITION BY sample_id) AS total FROM c_orare WHERE taxon_id IN (SELECT genus FROM c_keep)) p
+  GROUP BY sample_id),
+c_near AS (SELECT t.sample_id_x, t.sample_id_y, t.pair_type, t.sampling_age_x - t.sampling_age_y AS age_diff,
+  -sqrt(sum((a.clr - b.clr) * (a.clr - b.clr))) AS similarity FROM c_typed t JOIN c_subclr a ON t.sample_id_x = a.sample_id
+  JOIN c_subclr b ON t.sample_id_y = b.sample_id AND a.taxon_id = b.taxon_id
+  GROUP BY t.sample_id_x, t.sample_id_y, t.pair_type, t.sampling_age_x, t.sampling_age_y)
+SELECT n.sample_id_x, n.sample_id_y, n.pair_type, round(n.similarity, 6) AS similarity, round(n.age_diff, 6) AS age_diff,
+  abs(ax.observed - ay.observed) AS observed_diff, round(abs(ax.shannon - ay.shannon), 6) AS shannon_diff
+FROM c_near n LEFT JOIN c_subalpha ax ON n.sample_id_x = ax.sample_id LEFT JOIN c_subalpha ay ON n.sample_id_y = ay.sample_id
+WHERE n.similarity < -0.000000001"""
+
+
+SUBSETS = {"aerobic": _AEROBIC, "anaerobic": ["Anaerobic"]}
 
 
-def _study_pairs(s: Study):
-    return plan.pair_table(s.rich_samples, s.view("edges"), s.order_ratios)
+def subset_pairs(s: Study, name: str, samples=None, **options):
+    """The pair table over the order-level taxa of one functional subset."""
+    wanted = s.view("genus_class").where(F.col("class").isin(SUBSETS[name])).select(F.col("genus").alias("taxon_id"))
+    counts = materialise(community.keep_taxa(s.order_counts, wanted))
+    rarefied = community.keep_taxa(community.rarefy(s.order_counts, ORDER_DEPTH), wanted)
+    samples = s.view("samples") if samples is None else samples
+    rows = plan.enrich_samples(samples, alpha=community.alpha_diversity(rarefied))
+    return plan.pair_table(rows, s.view("edges"), plan.core_log_ratios(counts, 1e-5, 0.01), **options)
 
 
-@query("model_shannon_by_type")
+def _subset_columns(pairs):
+    return pairs.select(
+        "sample_id_x", "sample_id_y", "pair_type", "similarity", "age_diff", "observed_diff", "shannon_diff")
+
+
+@query("y24_aerobic_pairs", _subset_pairs_sql(SUBSETS["aerobic"]))
 def _(s: Study):
-    return mixed_fit.coefficients(s.spark, models.fit_comparison(_study_pairs(s), "shannon_by_type"))
+    return _subset_columns(subset_pairs(s, "aerobic", signed_age=True, alpha_as_similarity=False))
 
 
-@query("model_similarity_by_type")
+@query("y25_anaerobic_pairs", _subset_pairs_sql(SUBSETS["anaerobic"]))
 def _(s: Study):
-    return mixed_fit.coefficients(s.spark, models.fit_comparison(_study_pairs(s), "similarity_by_type"))
+    return _subset_columns(subset_pairs(s, "anaerobic", signed_age=True, alpha_as_similarity=False))
+
+
+# ---- the study's comparisons, on pairs with similarity, alpha diversity and natal groups ----
+
+
+def _pairs_of(s: Study, name: str):
+    """The pair table a comparison is made on: the whole community's or a functional subset's."""
+    subset = models.COMPARISONS[name].pairs
+    if subset == "whole":
+        return plan.pair_table(s.rich_samples, s.view("edges"), s.order_ratios)
+    return subset_pairs(s, subset, plan.enrich_samples(s.view("samples"), natal=s.natal_slots))
 
 
-@query("model_similarity_interaction_means", """
+def _register_comparison(name: str) -> None:
+    @query(f"model_{name}")
+    def _(s: Study):
+        return mixed_fit.coefficients(s.spark, models.fit_comparison(_pairs_of(s, name), name))
+
+
+for _name in models.COMPARISONS:
+    _register_comparison(_name)
+
+
+_MEANS_SQL = _subset_pairs_sql(SUBSETS["anaerobic"]).rsplit("SELECT n.sample_id_x", 1)[0] + """
 SELECT CASE WHEN pair_type IN ('Dominantpair', 'DomHelp') THEN 'interacting' ELSE 'not' END AS grouping, count(*) AS pairs,
-  round(avg(similarity), 6) AS mean FROM c_similar WHERE relation = 'sameGroup' GROUP BY 1""")
+  round(avg(similarity), 6) AS mean FROM c_near WHERE similarity < -0.000000001 AND pair_type <> 'diffGroup' GROUP BY 1"""
+
+
+@query("model_anaerobic_interaction_means", _MEANS_SQL)
 def _(s: Study):
-    return models.means_by_class(s.similar_pairs, "anaerobic_by_interaction")
+    return models.means_by_class(subset_pairs(s, "anaerobic"), "anaerobic_by_interaction")

@@ -66,12 +66,13 @@ FROM (SELECT DISTINCT least(a.cohort * 30 + a.place, b.cohort * 30 + b.place) AS
                       greatest(a.cohort * 30 + a.place, b.cohort * 30 + b.place) AS bird_b
       FROM order_rows a JOIN order_rows b ON b.o_orderkey = a.o_orderkey + 1) e
 """,
-    # order-level community: few taxa per sample
+    # order-level community: few taxa per sample; Brand#0 stands in few orders and is not core
     "order_abund": """
-SELECT l_orderkey AS sample_id, p_brand AS taxon_id, CAST(sum(l_quantity) AS BIGINT) AS n
-FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY l_orderkey, p_brand
+SELECT sample_id, taxon_id, CAST(sum(l_quantity) AS BIGINT) AS n FROM (
+SELECT l_orderkey AS sample_id, CASE WHEN (l_orderkey * 7 + l_linenumber) % 200 = 3 THEN 'Brand#0' ELSE p_brand END AS taxon_id, l_quantity
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey) t GROUP BY sample_id, taxon_id
 """,
-    # supplier-level community: many taxa per sample, 50 consecutive suppliers to a period
+    # supplier-level community: many taxa per sample, 50 consecutive suppliers to a period; one taxon of few suppliers
     "sites": """
 SELECT s_suppkey AS sample_id, s_suppkey AS ord,
        CAST(floor(s_suppkey / 2) AS BIGINT) AS bird_id,
@@ -86,15 +87,18 @@ FROM {supplier}
 """,
     "abund": """
 SELECT l_suppkey AS sample_id,
-       p_type || '/' || p_brand || '/' || CAST(p_size % 3 AS VARCHAR(3)) AS taxon_id,
+       CASE WHEN l_suppkey % 40 = 3 AND l_linenumber > 5 THEN 'RARE/Brand#1/0'
+            ELSE p_type || '/' || p_brand || '/' || CAST(p_size % 3 AS VARCHAR(3)) END AS taxon_id,
        CAST(sum(l_quantity) AS BIGINT) AS n
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey
-GROUP BY l_suppkey, p_type || '/' || p_brand || '/' || CAST(p_size % 3 AS VARCHAR(3))
+GROUP BY l_suppkey, CASE WHEN l_suppkey % 40 = 3 AND l_linenumber > 5 THEN 'RARE/Brand#1/0'
+                         ELSE p_type || '/' || p_brand || '/' || CAST(p_size % 3 AS VARCHAR(3)) END
 """,
     "taxonomy": """
 SELECT DISTINCT p_type || '/' || p_brand || '/' || CAST(p_size % 3 AS VARCHAR(3)) AS taxon_id,
        p_type AS family, nullif(p_brand, 'Brand#13') AS genus
 FROM {part}
+UNION ALL SELECT 'RARE/Brand#1/0', 'RARE', 'Brand#1'
 """,
     "genus_class": """
 SELECT DISTINCT CASE WHEN p_brand = 'Brand#20' THEN 'Brand#0' ELSE p_brand END AS genus,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,20 +37,29 @@ def fan_out(spark: SparkSession) -> int:
     return max(configured, spark.sparkContext.defaultParallelism)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where jobs may write tables they read back.
+def run_folder(spark: SparkSession) -> str:
+    """The session's own folder for intermediates, in ``spark.checkpoint.dir``; it is deleted when the session's JVM ends.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Where that is
-    unset, a session on one machine gets a fresh temporary folder and any other
-    session uses its warehouse.
+    A session whose executors are other machines or processes has to name a folder they share. Only a session
+    inside one process (``local[...]``) may do without and then uses the temporary folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if spark.sparkContext.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="run-")
-        else:
-            folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-    return f"{folder}/{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
+    folder = f"{base}/dyadspark-{sc.applicationId}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh path where a job may write a table it reads back."""
+    return f"{run_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ instead of a failed job. There is no schema inference, hence no extra pass.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -32,27 +33,48 @@ def _typed(c: Column, kind: str) -> Column:
     return c.try_cast(kind)
 
 
+def header_of(spark: SparkSession, path: str, options: dict) -> list[str]:
+    """Column names of a delimited file as its first line has them."""
+    return spark.read.options(**options).csv(path).columns
+
+
 def read_delimited(
-    spark: SparkSession, path: str, columns: Sequence[tuple[str, str, str]], sep: str = ",", row_number: str | None = None
+    spark: SparkSession, path: str, columns: Sequence[tuple[str, str, str]], sep: str = ",", row_number: str | None = None,
+    by_position: bool = False,
 ) -> DataFrame:
-    """A delimited file with header; ``columns`` lists (file name, own name, type) in file order.
+    """A delimited file with header; ``columns`` lists (file name, own name, type).
 
-    ``row_number`` adds the position of a row in the file, for rules that
-    depend on file order. It is increasing, not consecutive.
+    Columns are found by the names in the header, in any order; a missing one is an error, and so is a further file of
+    the path with another header. With ``by_position`` the names are the caller's and the file's order counts.
+    ``row_number`` adds a column that orders rows by file, then place in the file, for rules that depend on file order.
     """
-    raw = (
-        spark.read.schema(text_schema(columns))
-        .option("header", True)
-        .option("sep", sep)
-        .option("ignoreLeadingWhiteSpace", True)
-        .option("ignoreTrailingWhiteSpace", True)
-        .option("enforceSchema", True)
-        .csv(path)
-    )
+    names = [c for c, _, _ in columns]
+    options = {"header": True, "sep": sep, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+    if by_position:
+        schema, options["enforceSchema"] = text_schema(columns), True
+    else:
+        found = header_of(spark, path, options)
+        clean = [c.lstrip("\ufeff").strip() for c in found]
+        missing = [n for n in names if n not in clean]
+        if missing:
+            raise ValueError(f"{path} has no columns {missing}")
+        # names Spark makes up for empty header cells cannot be compared with the header
+        options["enforceSchema"] = any(re.fullmatch(r"_c\d+", c) for c in found)
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in found])
+    raw = spark.read.schema(schema).options(**options).csv(path)
     if row_number:
-        raw = raw.withColumn(row_number, F.monotonically_increasing_id())
-    out = [_typed(clean_text(file_name), kind).alias(name) for file_name, name, kind in columns]
-    return raw.select(*out, *([row_number] if row_number else []))
+        place = F.struct(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"))
+        raw = raw.select("*", place.alias("__row_number"))
+    at = {n: i for i, n in enumerate(names if by_position else clean)}
+    if not by_position:
+        raw = raw.toDF(*[f"__c{i}" for i in range(len(found))], *(["__row_number"] if row_number else []))
+    out = [
+        _typed(clean_text(file_name if by_position else f"__c{at[file_name]}"), kind).alias(name)
+        for file_name, name, kind in columns
+    ]
+    return raw.select(*out, *([F.col("__row_number").alias(row_number)] if row_number else []))
 
 
 def read_csv(spark: SparkSession, path: str, columns, row_number: str | None = None) -> DataFrame:
@@ -69,7 +91,7 @@ def read_sample_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 def read_annotation(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
     """An annotation CSV, all text, with the given column names in file order."""
-    return read_csv(spark, path, [(n, n, "string") for n in names])
+    return read_delimited(spark, path, [(n, n, "string") for n in names], by_position=True)
 
 
 def read_genotype_text(spark: SparkSession, path: str, loci: Sequence[str], sep: str = " ") -> DataFrame:
@@ -87,7 +109,7 @@ def read_genotype_text(spark: SparkSession, path: str, loci: Sequence[str], sep:
 def read_wide_counts(spark: SparkSession, path: str, taxon: str, samples: Sequence[str], sep: str = "\t") -> DataFrame:
     """A taxon-by-sample count file as long non-zero counts; sample columns are named by the caller."""
     columns = [(taxon, taxon, "string")] + [(s, s, "bigint") for s in samples]
-    return counts_from_wide(read_delimited(spark, path, columns, sep), taxon, samples)
+    return counts_from_wide(read_delimited(spark, path, columns, sep, by_position=True), taxon, samples)
 
 
 def read_community(spark: SparkSession, folder: str) -> Community:

@@ -1,4 +1,4 @@
-"""Mixed models: cross-products, both fitting routes, tail areas."""
+"""Mixed models: cross-products, fits, tail areas."""
 
 import numpy as np
 import pytest
@@ -53,51 +53,38 @@ def test_gram_is_complete(df, frame):
                 assert g[(name[i], name[j])] == zz[i, j]
 
 
-def restricted(theta, frame):
+def generalised(variances, frame):
+    """Effects and their covariance at given variances, from dense matrices."""
     x, z, y = dense(frame)
-    v = np.eye(len(y)) + z[:, :40] @ z[:, :40].T * theta[0] + z[:, 40:] @ z[:, 40:].T * theta[1]
+    v = variances["residual"] * np.eye(len(y)) + variances["member"] * z[:, :40] @ z[:, :40].T
+    v += variances["group"] * z[:, 40:] @ z[:, 40:].T
     vi = np.linalg.inv(v)
-    xvx = x.T @ vi @ x
-    beta = np.linalg.solve(xvx, x.T @ vi @ y)
-    r = y - x @ beta
-    n, p = x.shape
-    return (n - p) * np.log(r @ vi @ r / (n - p)) + np.linalg.slogdet(v)[1] + np.linalg.slogdet(xvx)[1], beta, xvx
+    cov = np.linalg.inv(x.T @ vi @ x)
+    return cov @ x.T @ vi @ y, cov
 
 
-def test_restricted_likelihood_is_at_its_maximum(df, frame):
+def test_fit_is_generalised_least_squares_at_moment_variances(df, frame):
     fit = mixed_fit.fit(df, MODEL)
-    s2 = fit.variances["residual"]
-    theta = np.array([fit.variances["member"] / s2, fit.variances["group"] / s2])
-    value, beta, xvx = restricted(theta, frame)
-    assert fit.method == "reml" and fit.n == 900 and fit.levels == 48
-    assert fit.criterion == pytest.approx(value, abs=1e-6)
-    assert fit.beta == pytest.approx(beta, abs=1e-8)
-    assert fit.cov == pytest.approx(s2 * np.linalg.inv(xvx), abs=1e-8)
-    for k in range(2):
-        for f in (0.97, 1.03):
-            moved = theta.copy()
-            moved[k] *= f
-            assert restricted(moved, frame)[0] >= value - 1e-6
-    assert 3 < fit.df_of(np.eye(4)[0]) < 900
-
-
-def test_distributed_route_agrees_at_equal_variances(spark, df, frame):
-    exact = mixed_fit.fit(df, MODEL)
-    rows = mixed.design(df, MODEL).cache()
-    g = mixed_fit._fixed_matrix(rows, MODEL)
-    by_fixed, edges = mixed.random_by_fixed(rows, MODEL).cache(), mixed.random_gram(rows).cache()
-    far = mixed_fit._fit_distributed(MODEL, g, 900, by_fixed, edges, exact.variances)
-    assert far.beta == pytest.approx(exact.beta, abs=1e-7)
-    assert far.cov == pytest.approx(exact.cov, rel=1e-6, abs=1e-9)
     x, z, y = dense(frame)
     inv = np.linalg.inv(x.T @ x)
     m = np.eye(900) - x @ inv @ x.T
     parts = [z[:, :40] @ z[:, :40].T, z[:, 40:] @ z[:, 40:].T, np.eye(900)]
     lhs = np.array([[np.trace(m @ a @ m @ b) for b in parts] for a in parts])
     want = np.linalg.solve(lhs, [(m @ y) @ a @ (m @ y) for a in parts])
-    got = mixed.moment_variances(by_fixed, edges, g[:4, :4], g[:4, 4], g[4, 4], 900)
-    assert [got["member"], got["group"], got["residual"]] == pytest.approx(list(want), rel=1e-8)
-    assert mixed_fit.fit(df, MODEL, q_max=10).method == "moments"
+    assert [fit.variances[k] for k in ("member", "group", "residual")] == pytest.approx(list(want), rel=1e-8)
+    beta, cov = generalised(fit.variances, frame)
+    assert fit.method == "moments" and fit.n == 900 and fit.levels == 48 and fit.df_of is None
+    assert fit.beta == pytest.approx(beta, abs=1e-7) and fit.cov == pytest.approx(cov, rel=1e-6, abs=1e-9)
+
+
+def test_effects_at_given_variances(df, frame):
+    rows = mixed.design(df, MODEL).cache()
+    given = {"member": 1.2, "group": 0.0, "residual": 0.9}
+    fit = mixed_fit.fit_levels(
+        MODEL, mixed_fit._fixed_matrix(rows, MODEL), mixed.random_by_fixed(rows, MODEL).cache(),
+        mixed.random_gram(rows).cache(), given)
+    beta, cov = generalised(given, frame)
+    assert fit.beta == pytest.approx(beta, abs=1e-7) and fit.cov == pytest.approx(cov, rel=1e-6, abs=1e-9)
 
 
 def test_without_random_part_it_is_least_squares(df, frame):

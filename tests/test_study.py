@@ -90,10 +90,25 @@ def test_histogram_and_density(spark):
     df = spark.createDataFrame([("k", float(x)) for x in v], "g string, v double")
     hist = {r.bin: r.n for r in figures.histogram(df, "v").collect()}
     want, _ = np.histogram(v, 30)
-    assert hist == {i: int(n) for i, n in enumerate(want) if n}
+    assert hist == {i: int(n) for i, n in enumerate(want)} and 0 in hist.values()
     grid = sorted((r.at, r.density) for r in figures.density(df, "v", "g").collect())
     area = np.trapezoid([d for _, d in grid], [a for a, _ in grid])
     assert len(grid) == 64 and area == pytest.approx(1, abs=0.05)
+    q1, q3 = np.quantile(v, [0.25, 0.75])
+    width = 0.45 * min(v.std(ddof=1), (q3 - q1) / 1.34) * len(v) ** -0.2
+    middle = grid[32]
+    exact = np.exp(-0.5 * ((middle[0] - v) / width) ** 2).sum() / (len(v) * width * np.sqrt(2 * np.pi))
+    assert middle[1] == pytest.approx(exact, rel=1e-2)
+
+
+def test_small_classes_keep_their_rows(spark):
+    df = spark.createDataFrame([("one", 3.0), ("same", 4.0), ("same", 4.0), ("two", 1.0), ("two", 9.0)], "g string, v double")
+    rows = figures.density(df, "v", "g").collect()
+    by = {g: [r.density for r in rows if r.g == g] for g in ("one", "same", "two")}
+    assert {g: len(d) for g, d in by.items()} == {"one": 64, "same": 64, "two": 64}
+    assert set(by["one"]) == {None} and all(d > 0 for d in by["same"] + by["two"])
+    bins = figures.histogram(df, "v", 4, ["g"]).collect()
+    assert len(bins) == 12 and sum(r.n for r in bins) == 5
 
 
 # ---- roster and dyads ----
@@ -132,18 +147,61 @@ def test_pair_type_does_not_depend_on_order(spark):
     assert got["OFL", "BrM", "diffGroup"] == "diffGroup"
 
 
-def test_natal_rule_modes(spark):
+def test_natal_rules(spark):
     base = {f"{c}_{e}": None for c in dyads.NATAL_COLUMNS for e in "xy"}
     schema = "bird_id_x bigint, bird_id_y bigint, " + ", ".join(f"{c} bigint" for c in base)
 
-    def label(mode, **hit):
+    def published(**hit):
         row = {"bird_id_x": 1, "bird_id_y": 2, **base, **hit}
-        return spark.createDataFrame([tuple(row.values())], schema).select(dyads.shared_natal(mode)).first()[0]
+        return spark.createDataFrame([tuple(row.values())], schema).select(dyads.shared_natal()).first()[0]
+
+    assert published(H_3_x=2) == "same" and published(BrM_1_y=1) == "same" and published(BrF_2_y=2) == "same"
+    assert published(H_1_y=1) == "different" and published() == "different"
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (4, 5), (None, 2)], "bird_a bigint, bird_b bigint")
+    natal = spark.createDataFrame(
+        [(1, 2), (1, 2), (5, 4), (3, 3), (2, None)], "bird_id bigint, attendant bigint")
+    both = {(r.bird_a, r.bird_b): r.shared_natal for r in dyads.with_shared_natal(pairs, natal).collect()}
+    assert both == {(1, 2): "same", (1, 3): "different", (2, 4): "different", (4, 5): "same", (None, 2): "different"}
+
 
-    assert label("as_written", H_3_x=2) == "same" and label("as_written", BrM_1_y=1) == "same"
-    assert label("as_written", H_1_y=1) == "different" and label("symmetric", H_1_y=1) == "same"
-    assert label("as_written", BrF_2_y=2) == "same" and label("symmetric", BrF_2_y=2) == "different"
-    assert label("as_written") == "different"
+def test_no_attendant_or_roster_bird_is_cut(spark):
+    status = spark.createDataFrame(
+        [(1, b, "H", b) for b in range(3, 9)] + [(1, 1, "BrM", 1), (1, 2, "BrF", 2), (1, 20, "OFL", 20), (2, 20, "AB", 30)],
+        "group_id bigint, bird_id bigint, role string, status_id bigint")
+    groups = spark.createDataFrame([(1, 1, 7), (2, 2, 8)], "group_id bigint, period_id bigint, territory_id bigint")
+    natal = roster.natal_table(status, groups)
+    mine = {(r.attendant_role, r.slot): r.attendant for r in natal.where("bird_id = 20").collect()}
+    assert {v for (role, _), v in mine.items() if role == "H"} == set(range(3, 9)) and len(mine) == 8
+    named = roster.natal_slots(natal).where("bird_id = 20").first()
+    assert (named.H_1, named.H_3, named.BrM_1, named.BrF_2) == (3, 5, 1, None)
+    best = roster.best_roles(status, groups)
+    slots = {(r.group_id, r.role, r.slot): r.bird_id for r in roster.group_slots(best).collect()}
+    assert slots[1, "H", 6] == 8 and slots[1, "BrM", 1] == 1 and len(slots) == 10
+    wide = {r.group_id: r for r in roster.group_wide(roster.group_lists(best)).collect()}
+    assert wide[1].H_6 == 8 and wide[1].H_n == 6 and wide[2].AB_1 == 20
+
+
+def test_groups_without_a_pair_are_not_numbered(spark):
+    status = spark.createDataFrame(
+        [(g, 5, "BrM", g) for g in range(1, 40)] + [(g, 6, "BrF", 100 + g) for g in (3, 9, 30)],
+        "group_id bigint, bird_id bigint, role string, status_id bigint")
+    groups = spark.createDataFrame([(g, g, 1) for g in range(1, 40)], "group_id bigint, period_id bigint, territory_id bigint")
+    dim = {r.group_id: r.seasons_together for r in roster.group_dimension(roster.best_roles(status, groups)).collect()}
+    assert [dim[3], dim[9], dim[30]] == [1, 2, 3] and sum(dim.values()) == 6
+
+
+def test_pair_counts_with_missing_groups(spark):
+    rows = [(1, i, i, b, g, r) for i, (b, g, r) in enumerate(
+        [(1, 1, "BrM"), (2, 1, "H"), (3, None, "H"), (4, 2, "BrM"), (4, None, "AB"), (5, None, "BrM"), (None, 1, "H"), (2, 1, "H")])]
+    samples = spark.createDataFrame(
+        rows, "year int, ord bigint, sample_id bigint, bird_id bigint, group_id bigint, role string")
+    for c, kind in (("territory_id", "bigint"), ("catch_time", "bigint"), ("time_in_fridge", "bigint"), ("sample_date", "date"),
+                    ("sampling_age", "double"), ("sex", "bigint"), ("season", "string")):
+        samples = samples.withColumn(c, F.lit(None).cast(kind))
+    pairs = plan.pair_table(samples, block=["year"])
+    want = {(r.relation, r.pair_type): r.n for r in pairs.groupBy("relation", "pair_type").agg(F.count(F.lit(1)).alias("n")).collect()}
+    got = {(r.relation, r.pair_type): r.n for r in dyads.count_pairs(samples, ["year"]).collect()}
+    assert got == want and (None, None) in got
 
 
 def test_dyad_helpers(spark):
