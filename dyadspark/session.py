@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -66,8 +68,14 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write a step's result to the shared folder and go on from the written table.
 
     Used where a result is read several times or a loop would grow its plan. The
-    table outlives lost executors, and Spark knows its size and columns.
+    table outlives lost executors, and Spark knows its size and columns. The step's shuffle files are
+    removed as soon as its table is written, so a job of many steps holds those of one.
     """
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = shared_folder(spark), spark.conf.get(REMOVE_SHUFFLES, "false")
+    spark.conf.set(REMOVE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(REMOVE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
