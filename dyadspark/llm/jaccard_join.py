@@ -162,14 +162,13 @@ def postings(docs: DataFrame, loads: Broadcast) -> DataFrame:
 
 
 def shared_entries(docs: DataFrame, loads: Broadcast) -> DataFrame:
-    """entry, key, size, place (-1 for pairs) of the entries that at least two different sets have."""
-    hubs = (
-        postings(docs, loads).groupBy("entry").agg(F.min("key").alias("low"), F.max("key").alias("high"))
-        .where(F.col("low") != F.col("high")).select("entry")
-    )
-    rows = postings(docs, loads).join(hubs, "entry").distinct()
-    return rows.select(
-        "entry", "key", F.shiftright("at", 32).cast("int").alias("size"),
+    """entry, key, members, size, place (-1 for pairs) of the entries that at least two different sets have."""
+    # counted without the key, so that little is shuffled; entries of equal sets alone go below
+    often = postings(docs, loads).groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entry")
+    rows = materialise(postings(docs, loads).join(often, "entry").distinct())
+    members = rows.groupBy("entry").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    return rows.join(members, "entry").select(
+        "entry", "key", "members", F.shiftright("at", 32).cast("int").alias("size"),
         (F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)) - 1).cast("int").alias("place"))
 
 
@@ -236,7 +235,7 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     x = texts.select(F.col("key").alias("a"), F.col("text").alias("x"))
     y = texts.select(F.col("key").alias("b"), F.col("text").alias("y"))
-    return pairs.join(x, "a").join(y, "b").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").mapInArrow(run, "a long, b long").distinct()
 
 
 def _split(rows: np.ndarray, tokens: np.ndarray, n: int) -> list[np.ndarray]:
@@ -249,35 +248,37 @@ def jaccard_components(docs: DataFrame, limit: float | None = None) -> DataFrame
 
     Tokens whose counter is above ``limit`` are the frequent class (default ``frequent_from``); it decides speed alone.
     """
+    spark = docs.sparkSession
     sets, counts = digests_and_counts(docs)
-    loads = docs.sparkSession.sparkContext.broadcast((counts, frequent_from(counts) if limit is None else limit))
-    shared = materialise(shared_entries(docs, loads))
-    members = shared.groupBy("entry").agg(F.count(F.lit(1)).alias("members"))
-    index = materialise(shared.join(members, "entry").withColumn("level", level(F.col("key"))))
-    lists = materialise(shared.groupBy("key").agg(
+    loads = spark.sparkContext.broadcast((counts, frequent_from(counts) if limit is None else limit))
+    index = materialise(shared_entries(docs, loads).withColumn("level", level(F.col("key"))))
+    lists = materialise(index.groupBy("key").agg(
         F.first("size").alias("size"), F.collect_list("entry").alias("entries"), (F.min("place") < 0).alias("paired")))
     # one document for each set that shares an entry; equal ids with other texts are told apart by the set's key
     chosen = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc")).join(lists.select("key"), "key")
     texts = materialise(_with_key(
         docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("doc"))).select("key", "text")))
-    largest = index.agg(F.max("members")).first()[0] or 0
     labels = lists.select("key", F.col("key").alias("label"))
-    for turn in range(math.ceil(math.log2(max(largest, 1)) / GROWTH) + 1):
-        if not largest:
-            break
-        labelled = index.join(labels, "key")
-        spans = labelled.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(
-            F.col("lo") != F.col("hi")).select("entry")
-        pairs = materialise(_likely(_candidates(labelled.join(spans, "entry"), turn), lists))
+    live = index.withColumn("label", F.col("key"))
+    largest = index.agg(F.max("members")).first()[0] or 0
+    turns = math.ceil(math.log2(largest) / GROWTH) + 1 if largest else 0
+    for turn in range(turns):
+        pairs = materialise(_likely(_candidates(live, turn), lists))
         links = materialise(_linked(pairs, texts))
-        if links.isEmpty():
-            continue
+        if turn == turns - 1 and links.isEmpty():
+            break
         merged = links.join(labels.select(F.col("key").alias("a"), F.col("label").alias("la")), "a").join(
             labels.select(F.col("key").alias("b"), F.col("label").alias("lb")), "b")
         found = components(merged.select(F.col("la").alias("a"), F.col("lb").alias("b")))
         labels = materialise(
             labels.join(found.withColumnRenamed("label", "new"), F.col("label") == F.col("node"), "left")
             .select("key", F.coalesce("new", "label").alias("label")))
+        if turn < turns - 1:
+            # entries whose sets are of one component are done
+            now = live.drop("label").join(labels, "key")
+            open_ = now.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(
+                F.col("lo") != F.col("hi")).select("entry")
+            live = materialise(now.join(open_, "entry"))
     placed = sets.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = placed.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "label", "left").select(
@@ -286,15 +287,21 @@ def jaccard_components(docs: DataFrame, limit: float | None = None) -> DataFrame
 
 
 def _with_key(rows: DataFrame) -> DataFrame:
-    """One row for each key, with a text whose set has that key."""
+    """Of rows (key, text) those whose text's set has the key. Repeats of a row, which come one after another, are
+    dropped; a repeat in another task stays and only doubles a comparison."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             keys = [key for *_, key in _sets(batch.column("text"))]
             own = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
-            yield batch.filter(pa.array(own == batch.column("key").to_numpy(zero_copy_only=False)))
+            wanted = batch.column("key").to_numpy(zero_copy_only=False)
+            keep = own == wanted
+            for i in np.flatnonzero(keep).tolist():
+                keep[i], last = wanted[i] != last, wanted[i]
+            yield batch.filter(pa.array(keep))
 
-    return rows.mapInArrow(run, "key long, text string").dropDuplicates(["key"])
+    return rows.mapInArrow(run, "key long, text string")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

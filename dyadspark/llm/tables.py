@@ -1,8 +1,8 @@
-"""Reading input tables and moving Arrow batches through tasks."""
+"""Reading input tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -11,8 +11,3 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")
-
-
-def code_points(text: Column) -> Column:
-    """Number of code points; null counts as empty."""
-    return F.coalesce(F.char_length(text), F.lit(0)).cast("long")
