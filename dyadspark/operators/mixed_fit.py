@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dyadspark.operators import mixed
 from dyadspark.operators.mixed import Model
@@ -48,20 +48,39 @@ def _fixed_matrix(rows: DataFrame, model: Model) -> np.ndarray:
     return out
 
 
-def _independent(gram: np.ndarray) -> None:
+def _independent(gram: np.ndarray) -> list[int]:
+    """Columns that do not depend on the ones before them, by steps of a Cholesky factorisation of the scaled products."""
     scale = np.sqrt(np.diag(gram))
-    if np.any(scale == 0) or np.linalg.cond(gram / np.outer(scale, scale)) > 1e12:
-        raise ValueError("the fixed-effect columns are not independent in these rows")
+    scaled = gram / np.outer(np.where(scale > 0, scale, 1.0), np.where(scale > 0, scale, 1.0))
+    kept: list[int] = []
+    for i in range(len(gram)):
+        own = scaled[i, i]
+        if kept:
+            cross = scaled[np.ix_(kept, [i])][:, 0]
+            own -= cross @ np.linalg.solve(scaled[np.ix_(kept, kept)], cross)
+        if own > 1e-10:
+            kept.append(i)
+    return kept
+
+
+def _spread(kept: list[int], p: int, beta: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates in their places among all p terms; a term that depends on earlier ones has none (NaN)."""
+    whole, square = np.full(p, np.nan), np.full((p, p), np.nan)
+    whole[kept] = beta
+    square[np.ix_(kept, kept)] = cov
+    return whole, square
 
 
 def least_squares(rows: DataFrame, model: Model) -> Fit:
     g = _fixed_matrix(rows, model)
     p = len(model.terms)
-    xx, xy, yy, n = g[:p, :p], g[:p, p], g[p, p], int(round(g[0, 0]))
-    _independent(xx)
+    whole, yy, n = g[:p, :p], g[p, p], int(round(g[0, 0]))
+    kept = _independent(whole)
+    xx, xy, rest = whole[np.ix_(kept, kept)], g[kept, p], n - len(kept)
     beta = np.linalg.solve(xx, xy)
-    sigma2 = max(yy - beta @ xy, 0.0) / (n - p)
-    return Fit(model, beta, sigma2 * np.linalg.inv(xx), {"residual": sigma2}, n, 0, xx, "least squares", lambda c: n - p)
+    sigma2 = max(yy - beta @ xy, 0.0) / rest
+    beta, cov = _spread(kept, p, beta, sigma2 * np.linalg.inv(xx))
+    return Fit(model, beta, cov, {"residual": sigma2}, n, 0, whole, "least squares", lambda c: rest)
 
 
 def fit(df: DataFrame, model: Model) -> Fit:
@@ -71,16 +90,18 @@ def fit(df: DataFrame, model: Model) -> Fit:
         return least_squares(rows, model)
     rows = materialise(rows)
     g = _fixed_matrix(rows, model)
-    _independent(g[: len(model.terms), : len(model.terms)])
     by_fixed = materialise(mixed.random_by_fixed(rows, model))
     return fit_levels(model, g, by_fixed, materialise(mixed.random_gram(rows)))
 
 
 def fit_levels(model, g, by_fixed, edges, variances: dict[str, float] | None = None) -> Fit:
     """The fit from cross-products; ``variances`` are estimated from residual moments unless they are given."""
-    n = int(round(g[0, 0]))
-    p = len(model.terms)
-    xx, xy, yy = g[:p, :p], g[:p, p], g[p, p]
+    n, terms = int(round(g[0, 0])), len(model.terms)
+    whole, kept = g[:terms, :terms], _independent(g[:terms, :terms])
+    by_fixed = by_fixed.select(
+        "factor", "level", "n", *[F.col(f"x{k}").alias(f"x{i}") for i, k in enumerate(kept)], "y")
+    p = len(kept)
+    xx, xy, yy = whole[np.ix_(kept, kept)], g[kept, terms], g[terms, terms]
     if variances is None:
         variances = mixed.moment_variances(by_fixed, edges, xx, xy, yy, n)
     sigma2 = variances["residual"]
@@ -91,8 +112,8 @@ def fit_levels(model, g, by_fixed, edges, variances: dict[str, float] | None = N
         solved = mixed.solve_levels(by_fixed, edges, names, ridge)
         taken = mixed.absorbed_products(by_fixed, solved, names)
     xvx, xvy = xx - taken[:p, :p], xy - taken[:p, p]
-    beta = np.linalg.solve(xvx, xvy)
-    return Fit(model, beta, sigma2 * np.linalg.inv(xvx), variances, n, by_fixed.count(), xx, "moments")
+    beta, cov = _spread(kept, terms, np.linalg.solve(xvx, xvy), sigma2 * np.linalg.inv(xvx))
+    return Fit(model, beta, cov, variances, n, by_fixed.count(), whole, "moments")
 
 
 # ---------------------------------------------------------------------------

@@ -93,6 +93,15 @@ def test_without_random_part_it_is_least_squares(df, frame):
     assert fit.beta == pytest.approx(np.linalg.lstsq(x, y, rcond=None)[0])
 
 
+def test_dependent_terms_have_no_estimate(df, frame):
+    doubled = df.withColumn("twice", df.a * 2)
+    whole = mixed_fit.fit(df, Model("y", ["a"], {"kind": ["p", "q", "r"]}))
+    fit = mixed_fit.fit(doubled, Model("y", ["a", "twice"], {"kind": ["p", "q", "r", "absent"]}))
+    have = dict(zip(fit.model.terms, fit.beta))
+    assert np.isnan(have["kind=absent"]) and sum(map(np.isnan, have.values())) == 2
+    assert have["kind=q"] == pytest.approx(dict(zip(whole.model.terms, whole.beta))["kind=q"])
+
+
 def test_reading_a_fit(spark, df):
     fit = mixed_fit.fit(df, MODEL)
     table = {r.term: r for r in mixed_fit.coefficients(spark, fit).collect()}
