@@ -19,7 +19,8 @@ stands far above the mean are the frequent class, the others the rare class.
 Candidates. An index entry of m sets is not expanded into m * m pairs. In round r the about 16**r sets of each entry with the
 highest hash levels are compared with the others; links merge components after each round, and only sets of different
 components are compared later. The last round has level 0, all sets, so no pair of different components is left out. Sizes and places
-of the shared token rule out pairs first, then the number of shared entries (a bound on the overlap), then the texts are compared whole.
+of the shared token rule out pairs first, then the number of shared entries (a bound on the overlap), then the texts are compared
+whole. Entries held by the same sets are merged before, so a shared passage is one entry and not one for each of its shingles.
 
 Null and empty texts and texts without words have no shingle, link with nothing and are their own component. Rows with equal doc_id are told
 apart by their texts. A null doc_id takes part; a component of null ids alone has component_id null. Extra columns are ignored.
@@ -162,14 +163,22 @@ def postings(docs: DataFrame, loads: Broadcast) -> DataFrame:
 
 
 def shared_entries(docs: DataFrame, loads: Broadcast) -> DataFrame:
-    """entry, key, members, size, place (-1 for pairs) of the entries that at least two different sets have."""
+    """entry, key, members, size, place (-1 for pairs), weight of the entries that at least two different sets have.
+
+    Entries with the same sets, such as all shingles of a passage that the same documents share, become one entry: its
+    weight is their number, and a set's place in it the first of its places in them.
+    """
     # counted without the key, so that little is shuffled; entries of equal sets alone go below
     often = postings(docs, loads).groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entry")
     rows = materialise(postings(docs, loads).join(often, "entry").distinct())
-    members = rows.groupBy("entry").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    return rows.join(members, "entry").select(
-        "entry", "key", "members", F.shiftright("at", 32).cast("int").alias("size"),
-        (F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)) - 1).cast("int").alias("place"))
+    held = rows.groupBy("entry").agg(
+        F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("key")).alias("who"),
+        F.bit_xor(F.xxhash64("key", F.lit(1))).alias("who_too")).where("members > 1")
+    merged = rows.join(held, "entry").groupBy("who", "who_too", "members", "key").agg(
+        F.count(F.lit(1)).cast("int").alias("weight"),
+        F.first(F.shiftright("at", 32)).cast("int").alias("size"),
+        F.min(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)) - 1).cast("int").alias("place"))
+    return merged.select(F.xxhash64("who", "who_too", "members").alias("entry"), "key", "members", "size", "place", "weight")
 
 
 def level(key: Column) -> Column:
@@ -207,15 +216,20 @@ def _candidates(live: DataFrame, turn: int) -> DataFrame:
 def _likely(pairs: DataFrame, lists: DataFrame) -> DataFrame:
     """Pairs whose shared entries leave the overlap possible.
 
-    Beyond the prefix that ends first all tokens may be shared, in it those of shared entries only. With pairs of
-    tokens among the entries the count is no bound and the pair stays.
+    Let x be the set whose prefix ends first. All its tokens behind the prefix may be shared, of the prefix's rare tokens
+    those that are shared entries, and of each group of frequent ones at most one more than it has shared pairs. As the
+    prefix has one token more for each group, the groups cancel out, and the overlap is at most the number of shared
+    entries plus size - floor(size / 4) - 1.
     """
-    x = lists.select(F.col("key").alias("a"), F.struct("size", "entries", "paired").alias("x"))
-    y = lists.select(F.col("key").alias("b"), F.struct("size", "entries", "paired").alias("y"))
+    columns = F.struct("size", "entries", "weights")
+    x = lists.select(F.col("key").alias("a"), columns.alias("x"))
+    y = lists.select(F.col("key").alias("b"), columns.alias("y"))
     n, m = F.col("x.size"), F.col("y.size")
     behind = F.greatest(n - F.floor(n / 4) - 1, m - F.floor(m / 4) - 1)
-    enough = F.size(F.array_intersect("x.entries", "y.entries")) >= least_overlap(n, m) - behind
-    return pairs.join(x, "a").join(y, "b").where(F.col("x.paired") | F.col("y.paired") | enough).select("a", "b")
+    shared = F.aggregate(
+        F.array_intersect("x.entries", "y.entries"), F.lit(0),
+        lambda total, e: total + F.element_at(F.col("x.weights"), F.array_position(F.col("x.entries"), e).cast("int")))
+    return pairs.join(x, "a").join(y, "b").where(shared >= least_overlap(n, m) - behind).select("a", "b")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -252,8 +266,10 @@ def jaccard_components(docs: DataFrame, limit: float | None = None) -> DataFrame
     sets, counts = digests_and_counts(docs)
     loads = spark.sparkContext.broadcast((counts, frequent_from(counts) if limit is None else limit))
     index = materialise(shared_entries(docs, loads).withColumn("level", level(F.col("key"))))
-    lists = materialise(index.groupBy("key").agg(
-        F.first("size").alias("size"), F.collect_list("entry").alias("entries"), (F.min("place") < 0).alias("paired")))
+    lists = materialise(
+        index.groupBy("key").agg(
+            F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("entry", "weight"))).alias("e"))
+        .select("key", "size", F.col("e.entry").alias("entries"), F.col("e.weight").alias("weights")))
     # one document for each set that shares an entry; equal ids with other texts are told apart by the set's key
     chosen = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc")).join(lists.select("key"), "key")
     texts = materialise(_with_key(
