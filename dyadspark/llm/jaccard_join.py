@@ -15,11 +15,14 @@ stands far above the mean are the frequent class, the others the rare class.
 - The prefix is extended until its count is e + 1. Of two linked sets, take the one whose prefix ends first: dropping the at most e
   tokens its partner lacks leaves a count of at least 1, so a rare token or a pair is in both prefixes. Sets of a band below
   ``PAIRED_FROM`` tokens use single tokens only.
+- The sizes x and y of a pair ask for an overlap of o = ceil(3 (x + y) / 7), so that x lacks at most x - o tokens, which is
+  mostly far less than e. The same argument with prefixes of this length holds, so one shared entry stands behind a count
+  of at most x - o in the one set and y - o in the other. Entries carry the count before them as their place.
 
 Candidates. An index entry of m sets is not expanded into m * m pairs. In round r the about 16**r sets of each entry with the
 highest hash levels are compared with the others; links merge components after each round, and only sets of different
 components are compared later. The last round has level 0, all sets, so no pair of different components is left out. Sizes and places
-of the shared token rule out pairs first, then the number of shared entries (a bound on the overlap), then the texts are compared
+of the shared entry rule out pairs first, then the number of shared entries (a bound on the overlap), then the texts are compared
 whole. Entries held by the same sets are merged before, so a shared passage is one entry and not one for each of its shingles.
 
 Null and empty texts and texts without words have no shingle, link with nothing and are their own component. Rows with equal doc_id are told
@@ -104,7 +107,7 @@ def bands(n: int) -> list[int]:
 
 
 def signatures(tokens: np.ndarray, counts: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """(entry, place) of one set; the place is the token's in the order, -1 for a pair."""
+    """(entry, place) of one set; the place is the count that stands before the token, of a pair before its later one."""
     n = len(tokens)
     load = counts[_bucket(tokens)]
     order = np.lexsort((tokens, load))
@@ -125,21 +128,21 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, limit: float) -> tuple[np
         # a group's first token counts 0, each further one 1
         further = np.ones(len(rest), dtype=bool)
         further[np.unique(group, return_index=True)[1]] = False
-        stop = int(np.searchsorted(np.cumsum(further), need - rare)) + 1
-        rest, group = rest[:stop], group[:stop]
-        order = np.argsort(group, kind="stable")
-        rest, group = rest[order], group[order]
+        count = np.cumsum(further)
+        stop = int(np.searchsorted(count, need - rare)) + 1
+        order = np.argsort(group[:stop], kind="stable")
+        rest, group, count = rest[order], group[order], count[order]
         edges = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             if b - a > 1:
                 x, y = np.triu_indices(b - a, 1)
                 out.append(mix(rest[a:b][x] + mix(rest[a:b][y] + np.uint64(band))))
-    pairs = np.concatenate([*out, np.zeros(0, dtype=np.uint64)])
-    return np.concatenate([tokens[:single], pairs]), np.concatenate([np.arange(single), np.full(len(pairs), -1)])
+                places.append(rare + count[a:b][y] - 1)
+    return np.concatenate([tokens[:single], *out]), np.concatenate([np.arange(single), *places])
 
 
 def postings(docs: DataFrame, loads: Broadcast) -> DataFrame:
-    """``loads``: the sketch and the limit of its rare class. Returns entry, key, at: the index entries of every row's set; ``at`` packs the set's size and the place plus one."""
+    """``loads``: the sketch and the limit of its rare class. Returns entry, key, at: the index entries of every row's set; ``at`` packs the set's size and the place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, limit = loads.value
@@ -152,7 +155,7 @@ def postings(docs: DataFrame, loads: Broadcast) -> DataFrame:
                     if size:
                         e, p = signatures(tokens[edges[r] : edges[r + 1]], counts, limit)
                         entries.append(e)
-                        ats.append((size << 32) | (p + 1))
+                        ats.append((size << 32) | p)
                         keys.append(np.full(len(e), key[r]))
                 if entries:
                     yield pa.RecordBatch.from_arrays(
@@ -163,7 +166,7 @@ def postings(docs: DataFrame, loads: Broadcast) -> DataFrame:
 
 
 def shared_entries(docs: DataFrame, loads: Broadcast) -> DataFrame:
-    """entry, key, members, size, place (-1 for pairs), weight of the entries that at least two different sets have.
+    """entry, key, members, size, place, weight of the entries that at least two different sets have.
 
     Entries with the same sets, such as all shingles of a passage that the same documents share, become one entry: its
     weight is their number, and a set's place in it the first of its places in them.
@@ -177,7 +180,7 @@ def shared_entries(docs: DataFrame, loads: Broadcast) -> DataFrame:
     merged = rows.join(held, "entry").groupBy("who", "who_too", "members", "key").agg(
         F.count(F.lit(1)).cast("int").alias("weight"),
         F.first(F.shiftright("at", 32)).cast("int").alias("size"),
-        F.min(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)) - 1).cast("int").alias("place"))
+        F.min(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))).cast("int").alias("place"))
     return merged.select(F.xxhash64("who", "who_too", "members").alias("entry"), "key", "members", "size", "place", "weight")
 
 
@@ -207,7 +210,7 @@ def _candidates(live: DataFrame, turn: int) -> DataFrame:
         (F.col("label_m") != F.col("label_p"))
         & ((F.col("level_m") < F.col("low")) | (F.col("key_m") < F.col("key_p")))
         & (4 * F.least("size_m", "size_p") >= 3 * F.greatest("size_m", "size_p"))
-        # the first shared token leaves room for the overlap behind it in both sets
+        # some shared entry stands behind no more tokens than either set may lack
         & (F.col("place_m") <= F.col("size_m") - need) & (F.col("place_p") <= F.col("size_p") - need))
     return pairs.select(
         F.least("key_m", "key_p").alias("a"), F.greatest("key_m", "key_p").alias("b")).distinct()
