@@ -3,9 +3,10 @@
 A text is cut into units: a unit ends with its line, or with a word that ends in ``.``, ``!`` or ``?``, so that a passage set into the
 middle of a line is found too. Units are normalised (A-Z lowered, white space collapsed) and hashed; digests are grouped over
 all documents, and the occurrence with the smallest doc_id, in it the first, is kept. A later occurrence is removed if the run of
-neighbouring repeated units it stands in has at least ``min_words`` words, so chance repeats of a word or two stay.
+neighbouring repeated units it stands in has at least ``min_words`` words, so chance repeats of a word or two inside a line stay.
+A whole line that an earlier line equals is removed whatever its length: lines of fewer words have a digest of their own.
 
-Only (digest, doc_id) pairs are shuffled, one for each distinct unit of a document; a digest's pairs are pre-aggregated
+Only (digest, doc_id) pairs are shuffled, one for each distinct unit and short line of a document; a digest's pairs are pre-aggregated
 before the shuffle, so a line that a third of all documents share is no hot group.
 
 Removed spans are reported in code points of the original text; the rest stays as it was. Null texts stay null and have no
@@ -24,41 +25,55 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from dyadspark.llm.hashing import mix, powers, span_hashes, text_slices, words
 
 _DROPS, _REMOVED = "__unit_drops", "__unit_removed"
+#: Tells a line's digest from that of a unit with the same words.
+_LINE = np.uint64(0xA0761D6478BD642F)
 _SENTENCE_ENDS = np.frombuffer(b".!?", dtype=np.uint8)
 
 
 class Units:
-    """Units of a slice: row, byte span, digest and word count of each, in text order."""
+    """Units and whole lines of a slice in text order, and the digests a document is known by.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        starts, ends, rows = words(data, offsets)
+    ``row``, ``digest`` list what is compared: all units, then the lines of fewer than ``min_words`` words.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, min_words: int):
+        self.starts, self.ends, self.rows = starts, ends, rows = words(data, offsets)
         n = len(starts)
+        none = np.zeros(0, dtype=np.int64)
+        self.first = self.last = self.line_first = self.line_last = self.row = none
+        self.digest = none.astype(np.uint64)
         if not n:
-            self.row = self.start = self.end = self.words = np.zeros(0, dtype=np.int64)
-            self.digest = np.zeros(0, dtype=np.uint64)
             return
         lines = np.concatenate([[0], np.cumsum(data == 10)])
-        closes = np.ones(n, dtype=bool)
-        closes[:-1] = (
-            (rows[1:] != rows[:-1]) | (lines[starts[1:]] > lines[ends[:-1]]) | np.isin(data[ends[:-1] - 1], _SENTENCE_ENDS))
-        last = np.flatnonzero(closes)
-        first = np.concatenate([[0], last[:-1] + 1])
+        line_ends = np.ones(n, dtype=bool)
+        line_ends[:-1] = (rows[1:] != rows[:-1]) | (lines[starts[1:]] > lines[ends[:-1]])
         up, down = powers(n + 1)
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(span_hashes(data, starts, ends) * up[:-1], out=sums[1:])
-        self.words = last - first + 1
-        self.digest = mix((sums[last + 1] - sums[first]) * down[first] + self.words.astype(np.uint64))
-        self.row, self.start, self.end = rows[first], starts[first], ends[last]
+
+        def spans(closes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            last = np.flatnonzero(closes)
+            return np.concatenate([[0], last[:-1] + 1]), last
+
+        def digests(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+            return mix((sums[last + 1] - sums[first]) * down[first] + (last - first + 1).astype(np.uint64))
+
+        self.first, self.last = spans(line_ends | np.isin(data[ends - 1], _SENTENCE_ENDS))
+        a, b = spans(line_ends)
+        short = b - a + 1 < min_words
+        self.line_first, self.line_last = a[short], b[short]
+        self.digest = np.concatenate([digests(self.first, self.last), mix(digests(a[short], b[short]) + _LINE)])
+        self.row = rows[np.concatenate([self.first, a[short]])]
 
 
-def _digests(docs: DataFrame) -> DataFrame:
-    """(digest, doc_id), one row for each distinct unit of each document."""
+def _digests(docs: DataFrame, min_words: int) -> DataFrame:
+    """(digest, doc_id), one row for each distinct unit and short line of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
             for first, data, offsets in text_slices(batch.column("text")):
-                u = Units(data, offsets)
+                u = Units(data, offsets, min_words)
                 order = np.lexsort((u.digest, u.row))
                 row, digest = u.row[order], u.digest[order]
                 new = np.ones(len(row), dtype=bool)
@@ -70,18 +85,35 @@ def _digests(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"digest long, doc_id {kind}")
 
 
-def repeated_units(docs: DataFrame) -> DataFrame:
-    """doc_id and the digests of its units whose kept occurrence is in an earlier document."""
-    pairs = _digests(docs)
+def repeated_units(docs: DataFrame, min_words: int = 10) -> DataFrame:
+    """doc_id and the digests of its units and short lines whose kept occurrence is in an earlier document."""
+    pairs = _digests(docs, min_words)
     first = pairs.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     later = pairs.join(first.where((F.col("n") > 1) & F.col("first_id").isNotNull()).drop("n"), "digest").where(
         F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first_id")))
     return later.groupBy("doc_id").agg(F.collect_set("digest").alias(_DROPS))
 
 
+def _marks(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """Which of n words lie in one of the spans; ``last`` is inclusive."""
+    step = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(step, first, 1)
+    np.add.at(step, last + 1, -1)
+    return np.cumsum(step[:-1]) > 0
+
+
+def _stretches(marked: np.ndarray, rows: np.ndarray) -> list[tuple[int, int]]:
+    """(first, after the last) of the longest stretches of marked words, none beyond its row."""
+    edge = np.ones(len(marked) + 1, dtype=bool)
+    edge[1:-1] = (marked[1:] != marked[:-1]) | (rows[1:] != rows[:-1])
+    edges = np.flatnonzero(edge)
+    own = marked[edges[:-1]] if len(marked) else np.zeros(0, dtype=bool)
+    return list(zip(edges[:-1][own].tolist(), edges[1:][own].tolist()))
+
+
 def _cut(data: np.ndarray, offsets: np.ndarray, drops: list, min_words: int) -> tuple[list[bytes], list[list]]:
     """Texts without the removed runs, and the removed spans in code points."""
-    u = Units(data, offsets)
+    u = Units(data, offsets, min_words)
     flat = np.concatenate([*(np.asarray(d, dtype=np.int64) for d in drops), np.zeros(0, dtype=np.int64)]).view(np.uint64)
     of = np.repeat(np.arange(len(drops)), [len(d) for d in drops])
     # (row, digest) pairs are compared as one mixed number
@@ -91,23 +123,24 @@ def _cut(data: np.ndarray, offsets: np.ndarray, drops: list, min_words: int) ->
     again = np.ones(len(key), dtype=bool)
     again[np.unique(key, return_index=True)[1]] = False
     repeated |= again
-    runs = np.flatnonzero(repeated & np.concatenate([[True], ~repeated[:-1] | (u.row[1:] != u.row[:-1])])) if len(key) else []
+    units, n = len(u.first), len(u.starts)
+    # runs of repeated units, then whole lines, as marks on words
+    gone = np.zeros(n, dtype=bool)
+    if n:
+        covered = _marks(u.first[repeated[:units]], u.last[repeated[:units]], n)
+        for a, b in _stretches(covered, u.rows):
+            gone[a:b] = b - a >= min_words
+        gone |= _marks(u.line_first[repeated[units:]], u.line_last[repeated[units:]], n)
     texts = [None] * (len(offsets) - 1)
     spans: list[list] = [[] for _ in texts]
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     cuts: list[list] = [[] for _ in texts]
-    total = np.concatenate([[0], np.cumsum(u.words)])
-    for a in np.asarray(runs).tolist():
-        b = a
-        while b < len(key) and repeated[b] and u.row[b] == u.row[a]:
-            b += 1
-        if total[b] - total[a] < min_words:
-            continue
-        row = int(u.row[a])
-        stop = int(u.start[b]) if b < len(key) and u.row[b] == row else int(offsets[row + 1])
-        cuts[row].append((int(u.start[a]), stop))
+    for a, b in _stretches(gone, u.rows):
+        row = int(u.rows[a])
+        stop = int(u.starts[b]) if b < n and u.rows[b] == row else int(offsets[row + 1])
+        cuts[row].append((int(u.starts[a]), stop))
         base = chars[offsets[row]]
-        spans[row].append({"start": int(chars[u.start[a]] - base), "end": int(chars[stop] - base)})
+        spans[row].append({"start": int(chars[u.starts[a]] - base), "end": int(chars[stop] - base)})
     raw = data.tobytes()
     for row in range(len(texts)):
         at, parts = int(offsets[row]), []
@@ -126,7 +159,7 @@ def dedup_units(docs: DataFrame, min_words: int = 10, spans_column: str | None =
     """
     if spans_column in docs.columns:
         raise ValueError(f"{spans_column} is a column of the documents")
-    drops = repeated_units(docs).withColumnRenamed("doc_id", "__unit_doc")
+    drops = repeated_units(docs, min_words).withColumnRenamed("doc_id", "__unit_doc")
     joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("__unit_doc")), "left").drop("__unit_doc")
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
