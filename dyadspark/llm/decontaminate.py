@@ -1,10 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
-Texts and test items are read as words (runs of bytes other than white space and ASCII punctuation, A-Z lowered). An item's
-seeds are its ``n``-word runs that few documents hold; an item with fewer than ``min_seeds`` such runs is seeded by all its
-runs, so a test item that has spread through the corpus is still searched for. Every seed found in a document names a
+Texts and test items are read as words (runs of bytes other than white space and ASCII punctuation, A-Z lowered). Every
+``n``-word run of an item is a seed, however many documents hold it: edits can leave a spread-out test item with frequent runs alone,
+and a score of 0.5 implies no number of shared runs above one (two matches to one edit reach it), so a pair may not be
+ruled out by their count. Every seed found in a document names a
 region of it; the item is aligned with each region (word by word, local alignment: ``MATCH``, ``MISMATCH``, ``GAP``), and the
 score is the alignment's share of the best possible one, 1 for a whole exact copy. Edited and partial copies score less.
+Pairs in which fewer of the item's words occur in the document than the least score needs are passed over, which is exact.
 
 Documents' runs pass a bitmap of fixed size of the benchmark's runs before they are joined, so what is broadcast does not
 grow with either table; the join afterwards is exact. Hot seeds are joined by Spark with its skew handling, and candidates are one
@@ -77,7 +79,7 @@ def bitmap(runs: DataFrame) -> np.ndarray:
 
 
 def document_hits(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """doc_id, run, place, new (the run's first place in the document) of documents' runs that items have, and some others."""
+    """doc_id, run, place of documents' runs that items have, and some others."""
     sizes = sorted(r["size"] for r in runs.select("size").distinct().collect())
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(runs))
 
@@ -92,35 +94,19 @@ def document_hits(docs: DataFrame, runs: DataFrame) -> DataFrame:
                     if not hit.any():
                         continue
                     row, hashes, place = row[hit], hashes[hit], place[hit]
-                    _, at = np.unique(np.stack([row.astype(np.uint64), hashes]), axis=1, return_index=True)
-                    new = np.zeros(len(row), dtype=bool)
-                    new[at] = True
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(first + row)), pa.array(hashes.view(np.int64)), pa.array(place.astype(np.int32)),
-                         pa.array(new)], names=["doc_id", "run", "place", "new"])
+                        [ids.take(pa.array(first + row)), pa.array(hashes.view(np.int64)), pa.array(place.astype(np.int32))],
+                        names=["doc_id", "run", "place"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, run long, place int, new boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, run long, place int")
 
 
-def candidates(
-    docs: DataFrame, items: DataFrame, n: int, rare_share: float, rare_least: int, min_seeds: int
-) -> DataFrame:
-    """doc_id, item_id, region of all pairs that share a seed; a region is a stretch of STRIDE diagonals."""
+def candidates(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """doc_id, item_id, region of all pairs that share a run; a region is a stretch of STRIDE diagonals."""
     runs = materialise(item_runs(items, n))
-    hits = materialise(document_hits(docs, runs).join(runs.select("run").distinct(), "run", "left_semi"))
-    held = hits.groupBy("run").agg(F.sum(F.col("new").cast("long")).alias("docs"))
-    most = rare_least + rare_share * docs.count()
-    counted = runs.join(held, "run", "left").withColumn(
-        "rare", (F.coalesce("docs", F.lit(0)) <= most).cast("int"))
-    rare = counted.groupBy(F.col("item_id").alias("rare_item")).agg(F.sum("rare").alias("n_rare"))
-    seeds = (
-        counted.join(rare, F.col("item_id").eqNullSafe(F.col("rare_item")))
-        .where((F.col("rare") == 1) | (F.col("n_rare") < min_seeds))
-        .select("run", "item_id", F.col("place").alias("item_place"))
-    )
     return (
-        hits.join(seeds, "run")
+        document_hits(docs, runs).join(runs.select("run", "item_id", F.col("place").alias("item_place")), "run")
         .select("doc_id", "item_id", F.floor((F.col("place") - F.col("item_place")) / STRIDE).cast("int").alias("region"))
         .distinct()
     )
@@ -162,8 +148,11 @@ def leaks(
     docs: DataFrame, items: DataFrame, n: int = 3, threshold: float = 0.5, rare_share: float = 0.001, rare_least: int = 20,
     min_seeds: int = 8,
 ) -> DataFrame:
-    """doc_id, item_id, score, start, end (code points of the document) of all pairs that score ``threshold`` or more."""
-    found = candidates(docs, items, n, rare_share, rare_least, min_seeds)
+    """doc_id, item_id, score, start, end (code points of the document) of all pairs that score ``threshold`` or more.
+
+    ``rare_share``, ``rare_least`` and ``min_seeds`` are accepted for callers that pass them; rarity decides nothing any more.
+    """
+    found = candidates(docs, items, n)
     grouped = found.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_set("region")).alias("regions"))
     with_items = grouped.join(
         items.select(F.col("item_id").alias("own_item"), F.col("text").alias("item_text")),
@@ -194,7 +183,8 @@ def leaks(
                 for doc_id, item_id, regions, (t, starts, ends), (q, _, _) in zip(
                         batch.column("doc_id").to_pylist(), batch.column("item_id").to_pylist(),
                         batch.column("regions").to_pylist(), texts, own_items):
-                    if not len(q) or not len(t):
+                    # no alignment matches more words of the item than the document holds
+                    if not len(q) or not len(t) or np.isin(q, t).sum() < threshold * len(q):
                         continue
                     score, first, last = max((align(q, t, r) for r in regions), key=lambda x: (x[0], -x[1]))
                     if score >= threshold:
