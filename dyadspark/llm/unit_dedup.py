@@ -1,4 +1,4 @@
-"""Substring dedup by hashes of lines and sentences.
+"""Substring dedup by hashes of lines, sentences and content-defined stretches.
 
 A text is cut into units: a unit ends with its line, or with a word that ends in ``.``, ``!`` or ``?``, so that a passage set into the
 middle of a line is found too. Units are normalised (A-Z lowered, white space collapsed) and hashed; digests are grouped over
@@ -6,7 +6,13 @@ all documents, and the occurrence with the smallest doc_id, in it the first, is
 neighbouring repeated units it stands in has at least ``min_words`` words, so chance repeats of a word or two inside a line stay.
 A whole line that an earlier line equals is removed whatever its length: lines of fewer words have a digest of their own.
 
-Only (digest, doc_id) pairs are shuffled, one for each distinct unit and short line of a document; a digest's pairs are pre-aggregated
+Passages whose edges are no unit's edges are found by chains: words whose hash is a local minimum are anchors, wherever they
+stand, and a chain goes from an anchor to the first one that gives it ``CHAIN`` words, across lines. All words of a chain that an
+earlier document holds are removed, but where it reaches fewer than ``EDGE`` words into a sentence these stay. Anchors depend
+on the words beside them alone, so of a passage only the few words before its first and after its last anchor stay. Chains inside one
+document are not compared.
+
+Only (digest, doc_id) pairs are shuffled, one for each distinct unit, short line and chain of a document; a digest's pairs are pre-aggregated
 before the shuffle, so a line that a third of all documents share is no hot group.
 
 Removed spans are reported in code points of the original text; the rest stays as it was. Null texts stay null and have no
@@ -25,22 +31,26 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from dyadspark.llm.hashing import mix, powers, span_hashes, text_slices, words
 
 _DROPS, _REMOVED = "__unit_drops", "__unit_removed"
-#: Tells a line's digest from that of a unit with the same words.
-_LINE = np.uint64(0xA0761D6478BD642F)
+#: Words a chain has at least.
+CHAIN = 25
+#: Fewer words of a sentence than these stay when a chain reaches into it.
+EDGE = 4
+#: Tell the digests of lines and chains from those of units with the same words.
+_LINE, _CHAIN = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 _SENTENCE_ENDS = np.frombuffer(b".!?", dtype=np.uint8)
 
 
 class Units:
-    """Units and whole lines of a slice in text order, and the digests a document is known by.
+    """Units, whole lines and chains of a slice, and the digests a document is known by.
 
-    ``row``, ``digest`` list what is compared: all units, then the lines of fewer than ``min_words`` words.
+    ``row``, ``digest`` list what is compared: all units, then the lines of fewer than ``min_words`` words, then the chains.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, min_words: int):
         self.starts, self.ends, self.rows = starts, ends, rows = words(data, offsets)
         n = len(starts)
         none = np.zeros(0, dtype=np.int64)
-        self.first = self.last = self.line_first = self.line_last = self.row = none
+        self.first = self.last = self.line_first = self.line_last = self.chain_first = self.chain_last = self.row = none
         self.digest = none.astype(np.uint64)
         if not n:
             return
@@ -49,7 +59,8 @@ class Units:
         line_ends[:-1] = (rows[1:] != rows[:-1]) | (lines[starts[1:]] > lines[ends[:-1]])
         up, down = powers(n + 1)
         sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(span_hashes(data, starts, ends) * up[:-1], out=sums[1:])
+        hashes = span_hashes(data, starts, ends)
+        np.cumsum(hashes * up[:-1], out=sums[1:])
 
         def spans(closes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             last = np.flatnonzero(closes)
@@ -62,12 +73,26 @@ class Units:
         a, b = spans(line_ends)
         short = b - a + 1 < min_words
         self.line_first, self.line_last = a[short], b[short]
-        self.digest = np.concatenate([digests(self.first, self.last), mix(digests(a[short], b[short]) + _LINE)])
-        self.row = rows[np.concatenate([self.first, a[short]])]
+        # anchors: words whose hash neither neighbour's is below; the ends of a text have no neighbour
+        anchor = np.ones(n, dtype=bool)
+        if n > 1:
+            within = rows[1:] == rows[:-1]
+            anchor[1:] &= ~within | (hashes[1:] <= hashes[:-1])
+            anchor[:-1] &= ~within | (hashes[:-1] <= hashes[1:])
+        anchors = np.flatnonzero(anchor)
+        to = np.searchsorted(anchors, anchors + CHAIN - 1)
+        whole = to < len(anchors)
+        a, b = anchors[whole], anchors[to[whole]]
+        own = rows[a] == rows[b]
+        self.chain_first, self.chain_last = a[own], b[own]
+        self.digest = np.concatenate([
+            digests(self.first, self.last), mix(digests(self.line_first, self.line_last) + _LINE),
+            mix(digests(self.chain_first, self.chain_last) + _CHAIN)])
+        self.row = rows[np.concatenate([self.first, self.line_first, self.chain_first])]
 
 
 def _digests(docs: DataFrame, min_words: int) -> DataFrame:
-    """(digest, doc_id), one row for each distinct unit and short line of each document."""
+    """(digest, doc_id), one row for each distinct unit, short line and chain of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,7 +111,7 @@ def _digests(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def repeated_units(docs: DataFrame, min_words: int = 10) -> DataFrame:
-    """doc_id and the digests of its units and short lines whose kept occurrence is in an earlier document."""
+    """doc_id and the digests of its units, short lines and chains whose kept occurrence is in an earlier document."""
     pairs = _digests(docs, min_words)
     first = pairs.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     later = pairs.join(first.where((F.col("n") > 1) & F.col("first_id").isNotNull()).drop("n"), "digest").where(
@@ -120,17 +145,23 @@ def _cut(data: np.ndarray, offsets: np.ndarray, drops: list, min_words: int) ->
     key = mix(u.digest + mix(u.row.astype(np.uint64) + np.uint64(1)))
     wanted = mix(flat + mix(of.astype(np.uint64) + np.uint64(1)))
     repeated = np.isin(key, wanted)
-    again = np.ones(len(key), dtype=bool)
-    again[np.unique(key, return_index=True)[1]] = False
-    repeated |= again
     units, n = len(u.first), len(u.starts)
-    # runs of repeated units, then whole lines, as marks on words
+    chains = units + len(u.line_first)
+    # chains of one text overlap, so only those of earlier documents count
+    again = np.ones(chains, dtype=bool)
+    again[np.unique(key[:chains], return_index=True)[1]] = False
+    repeated[:chains] |= again
+    # runs of repeated units, whole lines, then chains, as marks on words
     gone = np.zeros(n, dtype=bool)
     if n:
         covered = _marks(u.first[repeated[:units]], u.last[repeated[:units]], n)
         for a, b in _stretches(covered, u.rows):
             gone[a:b] = b - a >= min_words
-        gone |= _marks(u.line_first[repeated[units:]], u.line_last[repeated[units:]], n)
+        gone |= _marks(u.line_first[repeated[units:chains]], u.line_last[repeated[units:chains]], n)
+        inside = _marks(u.chain_first[repeated[chains:]], u.chain_last[repeated[chains:]], n)
+        unit = np.repeat(np.arange(units), u.last - u.first + 1)
+        for a, b in _stretches(inside, unit):
+            gone[a:b] |= b - a >= EDGE or b - a == u.last[unit[a]] - u.first[unit[a]] + 1
     texts = [None] * (len(offsets) - 1)
     spans: list[list] = [[] for _ in texts]
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])

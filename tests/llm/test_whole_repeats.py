@@ -1,5 +1,7 @@
 """Repeats that must go whole: lines of any length, passages wherever they stand."""
 
+import random
+
 import brute
 from dyadspark.llm import unit_dedup as ud
 from dyadspark.llm.queries import QUERIES
@@ -50,3 +52,26 @@ def test_no_later_whole_line_of_the_corpus_stays(spark, folder, corpus_rows):
             kept = kept[:s] + kept[e:]
         assert got[d][0] == (None if text is None else kept)
     assert short
+
+
+def test_passage_without_sentence_ends_is_cut_inside_lines(make):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10 ** 6)}"
+    for length in (51, 60, 120):
+        passage = " ".join(word() for _ in range(length))
+        texts = [(" ".join(word() for _ in range(150)), " ".join(word() for _ in range(150))) for _ in range(40)]
+        rows = [(i, f"{a} {passage} {b}.") for i, (a, b) in enumerate(texts)]
+        got = cut(ud.dedup_units(make(rows)))
+        assert got[0] == (rows[0][1], [])
+        for d, t in rows[1:]:
+            a, b = texts[d]
+            assert got[d][0].startswith(a) and got[d][0].endswith(f"{b}.")
+            assert len(got[d][0].split()) - 300 <= 20
+
+
+def test_words_a_chain_shares_with_a_next_sentence_stay(make):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"Own start {i} ends so. {passage} last. And own {i} goes on.") for i in range(2, 30)]
+    got = cut(ud.dedup_units(make(rows)))
+    for d, t in rows[1:]:
+        assert got[d][0] == f"Own start {d} ends so. And own {d} goes on."
