@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dyadspark.llm import (
-    chat_format, decontaminate, hilbert_shards, jaccard_join, license_scan, piece_codec, token_counts, toxicity, unit_dedup,
-    winnowing,
+    chat_format, decontaminate, hilbert_shards, jaccard_join, license_scan, pattern_pack, piece_codec, token_counts, toxicity,
+    unit_dedup, winnowing,
 )
 from dyadspark.llm.tables import documents, table
 from dyadspark.session import fan_out
@@ -17,6 +17,7 @@ CHECKS: dict[str, str] = {}
 
 PIECES = "piece_bpe_32k.model"
 WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE = "byte_bpe_50k.json"
 
 
 def query(fn):
@@ -144,3 +145,8 @@ LEFT JOIN opened o ON w.conv_id IS NOT DISTINCT FROM o.conv_id"""
 @query
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, folder), table(spark, folder, "labels"))
+
+
+@query
+def op11_pattern_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return pattern_pack.pack(documents(spark, folder), public_tokenizers.path(BYTE_BPE))
