@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dyadspark.llm import (
-    chat_format, decontaminate, hilbert_shards, jaccard_join, license_scan, pattern_pack, piece_codec, token_counts, toxicity,
-    unit_dedup, winnowing,
+    chat_format, decontaminate, hilbert_shards, jaccard_join, license_scan, merkle_manifest, pattern_pack, periodic_runs,
+    piece_codec, token_counts, toxicity, unit_dedup, winnowing,
 )
 from dyadspark.llm.tables import documents, table
 from dyadspark.session import fan_out
@@ -150,3 +150,76 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_pattern_pack(spark: SparkSession, folder: str) -> DataFrame:
     return pattern_pack.pack(documents(spark, folder), public_tokenizers.path(BYTE_BPE))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    changed = [*fields[:3], F.col("n_chars") + 1, fields[4]]
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    rows = documents(spark, folder).select(
+        "doc_id", "lang", merkle_manifest.leaf_digest(*fields).alias("leaf"),
+        F.when(hit, merkle_manifest.leaf_digest(*changed)).alias("tampered"))
+    leaves, nodes, trees = merkle_manifest.manifest(rows, group="lang", key="doc_id")
+    proofs = merkle_manifest.whole_proofs(leaves.drop("lang", "leaf"), leaves, nodes, trees)
+    folded = merkle_manifest.fold(F.coalesce("tampered", "digest"), F.col("siblings"))
+    return proofs.select(
+        "doc_id", F.col("digest").alias("leaf"), "subroot", "root",
+        F.sha2(F.array_join("siblings.digest", "").cast("binary"), 256).alias("proof_sha256"),
+        folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+CHECKS["op12_merkle_manifest"] = """
+WITH RECURSIVE told AS (
+  SELECT doc_id, lang, n_chars,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM documents),
+hashed AS (
+  SELECT doc_id, lang,
+    sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+    sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) AS tampered,
+    xor(4294967295, list_reduce(
+      list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) AS crc
+  FROM told),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    row_number() OVER (ORDER BY doc_id, leaf) AS num
+  FROM hashed),
+nodes(lang, level, idx, h, n) AS (
+  SELECT lang, 0, pos, leaf, count(*) OVER (PARTITION BY lang) FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2
+  FROM nodes WHERE n > 1 GROUP BY lang, level, idx // 2, n),
+subroots AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM nodes WHERE n = 1),
+tops(level, idx, h, n) AS (
+  SELECT 0, pos, h, count(*) OVER () FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (n + 1) // 2 FROM tops WHERE n > 1 GROUP BY level, idx // 2, n),
+steps AS (
+  SELECT l.num, k.level, (l.pos >> k.level) % 2 = 1 AS on_left, s.h AS sibling
+  FROM leaves l JOIN (SELECT DISTINCT lang, level FROM nodes WHERE n > 1) k ON l.lang IS NOT DISTINCT FROM k.lang
+  LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM l.lang AND s.level = k.level AND s.idx = xor(l.pos >> k.level, 1)
+  UNION ALL
+  SELECT l.num, 1000 + k.level, (r.pos >> k.level) % 2 = 1, s.h
+  FROM leaves l JOIN subroots r ON l.lang IS NOT DISTINCT FROM r.lang, (SELECT DISTINCT level FROM tops WHERE n > 1) k
+  LEFT JOIN tops s ON s.level = k.level AND s.idx = xor(r.pos >> k.level, 1)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY num ORDER BY level) AS step FROM steps),
+folds(num, step, h) AS (
+  SELECT num, 0::BIGINT, CASE WHEN crc % 7 = 0 THEN tampered ELSE leaf END FROM leaves
+  UNION ALL
+  SELECT f.num, f.step + 1, sha256(CASE WHEN o.sibling IS NULL THEN f.h WHEN o.on_left THEN o.sibling || f.h ELSE f.h || o.sibling END)
+  FROM folds f JOIN ordered o ON o.num = f.num AND o.step = f.step + 1),
+ended AS (SELECT num, arg_max(h, step) AS folded FROM folds GROUP BY num),
+proofs AS (SELECT num, sha256(coalesce(string_agg(sibling, '' ORDER BY level), '')) AS proof FROM steps GROUP BY num)
+SELECT l.doc_id, l.leaf, r.h AS subroot, t.h AS root, coalesce(p.proof, sha256('')) AS proof_sha256,
+  e.folded AS folded_root, e.folded = t.h AS verified
+FROM leaves l JOIN subroots r ON l.lang IS NOT DISTINCT FROM r.lang JOIN (SELECT h FROM tops WHERE n = 1) t ON true
+JOIN ended e ON e.num = l.num LEFT JOIN proofs p ON p.num = l.num"""
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.find_runs(documents(spark, folder), prepare=periodic_runs.repeat_tail, texts=False)
