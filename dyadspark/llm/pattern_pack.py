@@ -15,7 +15,7 @@ Padding is what space no shorter piece is left for; with the usual number of sho
 are longer than half a sequence, nothing fits beside them and they are padded, since pieces are cut at multiples of ``capacity`` only.
 
 Ids are those of the library: a text's pre-tokens, cut by the tokenizer's own pattern, are looked up in a cache whose misses the library
-encodes; ids of pre-tokens do not depend on one another. Texts with characters beyond U+024F are cut by the library's own
+encodes (its model alone, on the byte characters of the pre-token); ids of pre-tokens do not depend on one another. Texts with characters beyond U+024F are cut by the library's own
 pre-tokenizer. Strings of special tokens inside a text become their id, the library's default.
 
 Null and empty texts hold the end token alone; rows with one doc_id are documents of their own (their pieces share it); equal rows give
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -69,6 +70,7 @@ class Encoder(dict):
     def __init__(self, definition: str, cache_size: int):
         super().__init__()
         self._tokenizer, self._half, self._old = Tokenizer.from_str(definition), cache_size // 2, {}
+        self._model = self._tokenizer.model
         self._special = {t["content"]: _packed([t["id"]]) for t in json.loads(definition)["added_tokens"]}
         longest_first = sorted(self._special, key=len, reverse=True)
         self._cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
@@ -76,7 +78,8 @@ class Encoder(dict):
     def __missing__(self, pre_token: str) -> bytes:
         ids = self._old.pop(pre_token, None)
         if ids is None:
-            ids = _packed(self._tokenizer.encode(pre_token, add_special_tokens=False).ids)
+            tokens = self._model.tokenize(pre_token.encode().decode("latin-1").translate(_BYTE_CHARACTERS))
+            ids = _packed([t.id for t in tokens])
         if len(pre_token) <= _LONGEST:
             if len(self) >= self._half:
                 self._old = dict(self)
@@ -103,11 +106,22 @@ def encoder(definition: str, cache_size: int) -> Encoder:
 
 
 def _packed(ids: list[int]) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def byte_characters() -> dict[int, int]:
+    """The characters that stand for bytes in a byte-level vocabulary: visible Latin-1 characters for themselves, the others, in
+    ascending order, by U+0100 and on."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: b for b in visible} | {b: 0x100 + i for i, b in enumerate(hidden)}
+
+
+_BYTE_CHARACTERS = byte_characters()
 
 
 def cut_documents(
-    docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False, cache_size: int = 1 << 18
+    docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False, cache_size: int = 1 << 20
 ) -> DataFrame:
     """The pieces of all documents: doc_id, start (ids before it), length, ids_crc32 (of little-endian 32-bit ids), doc_tokens, and,
     where asked for, ids (those bytes). ``path`` is the definition of a byte-level tokenizer with the pattern above."""
@@ -214,7 +228,7 @@ def stretches(patterns: list, histogram: dict[int, int]) -> np.ndarray:
 
 
 def pack(
-    docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, with_ids: bool = False, cache_size: int = 1 << 18
+    docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, with_ids: bool = False, cache_size: int = 1 << 20
 ) -> DataFrame:
     """All pieces of all documents with sequence_id and offset (0.. without gaps in its sequence); columns of ``cut_documents``."""
     pieces = materialise(cut_documents(docs, path, end_id, capacity, with_ids, cache_size))
