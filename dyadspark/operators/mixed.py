@@ -140,7 +140,7 @@ def gram(rows: DataFrame, model: Model) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Beyond the size a driver should hold: everything per level stays on Spark
+# Everything per level stays on Spark
 
 
 def _sums(df: DataFrame, products: dict[str, F.Column]) -> dict[str, float]:

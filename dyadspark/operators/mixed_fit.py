@@ -1,9 +1,9 @@
 """Fitting and reading a mixed model from its cross-products.
 
-``fit`` is one estimator at every size. Variances come from quadratic forms of the
-least-squares residuals, fixed effects from the absorbed cross-products; everything
-per random level is a Spark aggregation, and the driver sees sums of p x p products.
-Tests and limits of models with random levels use the normal distribution.
+``fit`` is one estimator at every size: restricted maximum likelihood by ``reml``, whose
+work per random level is Spark's, with Satterthwaite degrees of freedom. Groups (the random
+intercepts) are dense columns there, so they should be few. ``method`` "moments" takes the variances from quadratic
+forms of the least-squares residuals instead, for any number of groups; its tests use the normal distribution.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dyadspark.operators import mixed
-from dyadspark.operators.mixed import Model
-from dyadspark.session import materialise
+from dyadspark.operators import mixed, reml
+from dyadspark.operators.mixed import GROUP, MEMBER, Model
+from dyadspark.session import materialise, release
 
 
 @dataclass
@@ -31,6 +31,7 @@ class Fit:
     xx: np.ndarray
     method: str
     df_of: Callable[[np.ndarray], float] | None = None
+    p_method: str = "normal"
 
     @property
     def means(self) -> np.ndarray:
@@ -80,10 +81,10 @@ def least_squares(rows: DataFrame, model: Model) -> Fit:
     beta = np.linalg.solve(xx, xy)
     sigma2 = max(yy - beta @ xy, 0.0) / rest
     beta, cov = _spread(kept, p, beta, sigma2 * np.linalg.inv(xx))
-    return Fit(model, beta, cov, {"residual": sigma2}, n, 0, whole, "least squares", lambda c: rest)
+    return Fit(model, beta, cov, {"residual": sigma2}, n, 0, whole, "least squares", lambda c: rest, "residual")
 
 
-def fit(df: DataFrame, model: Model) -> Fit:
+def fit(df: DataFrame, model: Model, method: str = "reml") -> Fit:
     """Fit the model to a pair table; the complete design rows are written once and read a few times."""
     rows = mixed.design(df, model)
     if not model.members and not model.group:
@@ -91,7 +92,41 @@ def fit(df: DataFrame, model: Model) -> Fit:
     rows = materialise(rows)
     g = _fixed_matrix(rows, model)
     by_fixed = materialise(mixed.random_by_fixed(rows, model))
-    return fit_levels(model, g, by_fixed, materialise(mixed.random_gram(rows)))
+    edges = materialise(mixed.random_gram(rows))
+    release(rows)
+    fitted = {"reml": fit_reml, "moments": fit_levels}[method](model, g, by_fixed, edges)
+    release(by_fixed, edges)
+    return fitted
+
+
+def fit_reml(model: Model, g: np.ndarray, by_fixed: DataFrame, edges: DataFrame) -> Fit:
+    """The fit from cross-products by restricted maximum likelihood."""
+    n, terms = int(round(g[0, 0])), len(model.terms)
+    whole, kept = g[:terms, :terms], _independent(g[:terms, :terms])
+    p, main = len(kept), MEMBER if model.members else GROUP
+    names = [f"x{k}" for k in kept] + ["y"]
+    products = g[np.ix_([*kept, terms], [*kept, terms])]
+    start = by_fixed.where(F.col("factor") == main).select("level", "n", *names)
+    groups = []
+    if main == MEMBER and model.group:
+        rows = by_fixed.where(F.col("factor") == GROUP).orderBy("level").collect()  # the few groups
+        groups = [r["level"] for r in rows]
+        cross = np.array([[r[c] for c in names] for r in rows]).reshape(len(rows), len(names))
+        products = np.block([[products, cross.T], [cross, np.diag([r["n"] for r in rows])]])
+        met = edges.where((F.col("factor") == MEMBER) & (F.col("factor_b") == GROUP)).groupBy("level").agg(
+            *[F.sum(F.when(F.col("level_b") == v, F.col("w")).otherwise(0.0)).alias(f"g{i}") for i, v in enumerate(groups)])
+        start = start.join(met, "level", "left").fillna(0.0, [f"g{i}" for i in range(len(groups))])
+    own = edges.where((F.col("factor") == main) & (F.col("factor_b") == main)).select("level", "level_b", "w")
+    projection = reml.krylov(start, own, [*names, *[f"g{i}" for i in range(len(groups))]])
+    criterion = reml.Criterion(products, p, n, projection)
+    theta = reml.estimate(criterion)
+    beta = criterion.pieces(theta[0] / theta[2], theta[1] / theta[2])[0]
+    df_kept = reml.satterthwaite(criterion, theta)
+    beta, cov = _spread(kept, terms, beta, criterion.covariance(theta))
+    variances = {main: float(theta[0])} | ({GROUP: float(theta[1])} if groups else {}) | {"residual": float(theta[2])}
+    return Fit(
+        model, beta, cov, variances, n, projection.levels + len(groups), whole, "reml",
+        lambda c: df_kept(np.asarray(c)[kept]), "satterthwaite")
 
 
 def fit_levels(model, g, by_fixed, edges, variances: dict[str, float] | None = None) -> Fit:
@@ -189,13 +224,9 @@ def _test(fit: Fit, tails: Tails, c: np.ndarray):
     return est, se, df, est / se, tails.t_two_sided(est / se, df)
 
 
-def _df(fit: Fit) -> str:
-    return "normal" if fit.df_of is None else "residual"
-
-
 def coefficients(spark: SparkSession, fit: Fit) -> DataFrame:
     tails, eye = Tails(spark), np.eye(len(fit.beta))
-    rows = [(t, *_test(fit, tails, eye[i]), fit.n, fit.method, _df(fit)) for i, t in enumerate(fit.model.terms)]
+    rows = [(t, *_test(fit, tails, eye[i]), fit.n, fit.method, fit.p_method) for i, t in enumerate(fit.model.terms)]
     return _frame(spark, rows, "term string, estimate double, std_error double, df double, statistic double, "
                                "p_value double, nobs bigint, method string, p_method string")
 

@@ -64,18 +64,35 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{run_folder(spark)}/{uuid.uuid4().hex}"
 
 
+_WRITTEN = "_dyadspark_table"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a step's result to the shared folder and go on from the written table.
 
     Used where a result is read several times or a loop would grow its plan. The
-    table outlives lost executors, and Spark knows its size and columns. The step's shuffle files are
-    removed as soon as its table is written, so a job of many steps holds those of one.
+    table outlives lost executors, and Spark knows its size and columns. The session's shuffle files are
+    removed as soon as the execution that made them ends, so a job of many steps holds those of one.
     """
     spark = df.sparkSession
-    path, before = shared_folder(spark), spark.conf.get(REMOVE_SHUFFLES, "false")
-    spark.conf.set(REMOVE_SHUFFLES, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(REMOVE_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    path = shared_folder(spark)
+    if spark.conf.get(REMOVE_SHUFFLES, "false") != "true":
+        spark.conf.set(REMOVE_SHUFFLES, "true")  # from the first written step on, for the whole session
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    setattr(table, _WRITTEN, path)
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing reads any more: call it when their successors are written.
+
+    Other DataFrames are ignored, also those derived from such a table.
+    """
+    for table in tables:
+        path = getattr(table, _WRITTEN, None)
+        if path is not None:
+            sc = table.sparkSession.sparkContext
+            folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+            setattr(table, _WRITTEN, None)

@@ -64,7 +64,7 @@ def generalised(variances, frame):
 
 
 def test_fit_is_generalised_least_squares_at_moment_variances(df, frame):
-    fit = mixed_fit.fit(df, MODEL)
+    fit = mixed_fit.fit(df, MODEL, "moments")
     x, z, y = dense(frame)
     inv = np.linalg.inv(x.T @ x)
     m = np.eye(900) - x @ inv @ x.T
@@ -77,6 +77,93 @@ def test_fit_is_generalised_least_squares_at_moment_variances(df, frame):
     assert fit.beta == pytest.approx(beta, abs=1e-7) and fit.cov == pytest.approx(cov, rel=1e-6, abs=1e-9)
 
 
+def dense_criterion(x, y, parts):
+    """-2 restricted log likelihood of variances (a part each, then the residual), from dense matrices."""
+
+    def deviance(theta):
+        v = theta[-1] * np.eye(len(y)) + sum(t * m for t, m in zip(theta, parts))
+        vi = np.linalg.inv(v)
+        xvx = x.T @ vi @ x
+        r = y - x @ np.linalg.solve(xvx, x.T @ vi @ y)
+        return np.linalg.slogdet(v)[1] + np.linalg.slogdet(xvx)[1] + r @ vi @ r
+
+    return deviance
+
+
+def scoring(x, y, parts, theta):
+    """Restricted likelihood estimates by Fisher scoring, and the inverse information."""
+    matrices = [*parts, np.eye(len(y))]
+    for _ in range(40):
+        vi = np.linalg.inv(sum(t * m for t, m in zip(theta, matrices)))
+        p = vi - vi @ x @ np.linalg.solve(x.T @ vi @ x, x.T @ vi)
+        pm = [p @ m for m in matrices]
+        score = np.array([0.5 * (y @ a @ p @ y - np.trace(a)) for a in pm])
+        info = np.array([[0.5 * np.trace(a @ b) for b in pm] for a in pm])
+        theta = np.maximum(theta + np.linalg.solve(info, score), 1e-8)
+    return theta
+
+
+def test_reml_equals_dense_reml(df, frame):
+    fit = mixed_fit.fit(df, MODEL)
+    x, z, y = dense(frame)
+    parts = [z[:, :40] @ z[:, :40].T, z[:, 40:] @ z[:, 40:].T]
+    theta = scoring(x, y, parts, np.array([1.0, 1.0, 1.0]))
+    got = [fit.variances[k] for k in ("member", "group", "residual")]
+    assert fit.method == "reml" and fit.n == 900 and fit.levels == 48
+    assert got == pytest.approx(list(theta), rel=1e-4)
+    beta, cov = generalised(dict(zip(("member", "group", "residual"), theta)), frame)
+    assert fit.beta == pytest.approx(beta, abs=1e-4) and fit.cov == pytest.approx(cov, rel=1e-3, abs=1e-6)
+
+
+def test_degrees_of_freedom_equal_dense_computation(df, frame):
+    fit = mixed_fit.fit(df, MODEL)
+    x, z, y = dense(frame)
+    parts = [z[:, :40] @ z[:, :40].T, z[:, 40:] @ z[:, 40:].T]
+    theta = np.array([fit.variances[k] for k in ("member", "group", "residual")])
+    deviance, eye = dense_criterion(x, y, parts), np.eye(3)
+    h = 1e-3 * theta
+    hessian = np.array([[
+        sum(s * t * deviance(theta + s * h * eye[i] + t * h * eye[j]) for s in (1, -1) for t in (1, -1)) / (4 * h[i] * h[j])
+        for j in range(3)] for i in range(3)])
+
+    def cov(th):
+        return generalised(dict(zip(("member", "group", "residual"), th)), frame)[1]
+
+    slopes = [(cov(theta + h * e) - cov(theta - h * e)) / (2 * h @ e) for e in eye]
+    for c in (*np.eye(4), np.array([0, 1.0, -1.0, 0])):
+        slope = np.array([c @ s @ c for s in slopes])
+        want = 2 * (c @ cov(theta) @ c) ** 2 / (slope @ (2 * np.linalg.inv(hessian)) @ slope)
+        assert fit.df_of(c) == pytest.approx(want, rel=1e-2)
+
+
+def test_many_levels_beyond_the_basis(spark, monkeypatch):
+    monkeypatch.setattr(mixed_fit.reml, "MAX_STEPS", 4)  # 4 steps of 26 columns for 300 levels
+    rng = np.random.default_rng(11)
+    birds, rows = rng.normal(0, 0.8, 300), []
+    for _ in range(1500):
+        i, j = rng.choice(300, 2, replace=False)
+        a = float(rng.normal())
+        rows.append((int(i), int(j), a, float(1 + 0.5 * a + birds[i] + birds[j] + rng.normal())))
+    df = spark.createDataFrame(rows, "b1 bigint, b2 bigint, a double, y double")
+    fit = mixed_fit.fit(df, Model("y", ["a"], {}, ["b1", "b2"]))
+    x, z = np.array([[1, r[2]] for r in rows]), np.zeros((1500, 300))
+    for k, r in enumerate(rows):
+        z[k, r[0]] = z[k, r[1]] = 1
+    theta = scoring(x, np.array([r[3] for r in rows]), [z @ z.T], np.array([1.0, 1.0]))
+    assert [fit.variances["member"], fit.variances["residual"]] == pytest.approx(list(theta), rel=5e-3)
+
+
+def test_component_without_support_is_zero(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k % 30, (k * 7 + 1) % 30, float(rng.normal()), float(rng.normal())) for k in range(600)]
+    df = spark.createDataFrame(rows, "b1 bigint, b2 bigint, a double, y double").where("b1 <> b2")
+    noise = df.withColumn("y", df.y - 0.0)
+    fit = mixed_fit.fit(noise, Model("y", ["a"], {}, ["b1", "b2"]))
+    assert fit.variances["member"] >= 0 and np.isfinite(fit.df_of(np.array([0.0, 1.0])))
+    table = {r.term: r for r in mixed_fit.coefficients(spark, fit).collect()}
+    assert table["a"].p_method == "satterthwaite" and table["a"].df > 100
+
+
 def test_effects_at_given_variances(df, frame):
     rows = mixed.design(df, MODEL).cache()
     given = {"member": 1.2, "group": 0.0, "residual": 0.9}
