@@ -112,28 +112,39 @@ def log_ratio(abundance: DataFrame, zero_policy: str = "shift_all") -> DataFrame
     )
 
 
-def rarefy(abundance: DataFrame, depth: int = 8000, seed: int = 88, digits: int = 2) -> DataFrame:
+#: Reads listed from one row, and reads a slice of tickets holds at most on average.
+_RUN, _SLICE = 1 << 14, 1 << 12
+
+
+def rarefy(abundance: DataFrame, depth: int = 8000, seed: int = 88) -> DataFrame:
     """Draw ``depth`` reads per sample without replacement; shallower samples go.
 
     Every read gets the hash of (seed, sample, taxon, number) as its ticket and
     each sample keeps its ``depth`` smallest, so the draw repeats exactly and
     does not depend on partitioning. Reads are not sorted for that: counts per
     leading ticket digits tell in which slice the last kept ticket lies. Lower
-    slices are kept whole and only the reads of that slice (1 in 256) are ranked.
+    slices are kept whole and only the reads of that slice are ranked, about 4,096 or fewer,
+    since samples with more reads take more digits. A large count is listed in runs of reads dealt to all tasks;
+    where reads are too many to list at all, ``rarefy_deep`` divides counts instead.
     """
     totals = abundance.groupBy("sample_id").agg(F.sum("n").alias("__total"))
-    deep = abundance.join(totals.where(F.col("__total") >= depth), "sample_id", "left_semi")
+    finer = F.greatest(F.ceil(F.log(16.0, F.col("__total") / _SLICE)), F.lit(2)).cast("int")
+    deep = abundance.join(totals.where(F.col("__total") >= depth).select("sample_id", finer.alias("digits")), "sample_id")
     parts = fan_out(abundance.sparkSession)
 
     def tickets(counts: DataFrame) -> DataFrame:
         # rows become reads: spread them by a stated number, not by the bytes they have now
-        spread = counts.where(F.col("n") > 0).repartition(parts, "sample_id", "taxon_id")
         kept = [c for c in counts.columns if c != "n"]
-        reads = spread.select(*kept, F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"))
+        n, run = F.col("n").cast("bigint"), F.col("run")
+        runs = counts.where(F.col("n") > 0).withColumn(
+            "run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / _RUN))))
+        spread = runs.repartition(parts, "sample_id", "taxon_id", "run")
+        reads = spread.select(
+            *kept, F.explode(F.sequence(run * _RUN + 1, F.least(n, (run + 1) * _RUN))).alias("i"))
         ticket = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("sample_id"), F.col("taxon_id"), F.col("i")))
         return reads.select(*kept, ticket.alias("ticket"))
 
-    piece = F.substring("ticket", 1, digits)
+    piece = F.substring("ticket", 1, F.col("digits"))
     slices = tickets(deep).groupBy("sample_id", piece.alias("slice")).agg(F.count(F.lit(1)).alias("c"))
     upto = W.partitionBy("sample_id").orderBy("slice").rowsBetween(W.unboundedPreceding, W.currentRow)
     last = slices.withColumn("reach", F.sum("c").over(upto)).where(

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from dyadspark.functions import days_apart, either_order, in_set, not_in_set, strict_greatest, strict_least
 from dyadspark.functions.aggregates import summarise_columns
 from dyadspark.operators.relational import count_by, distinct_at_ends, distinct_over, first_by, lookup
+from dyadspark.session import materialise
 
 # Role sets and class labels.
 DOMINANT = ["BrM", "BrF"]
@@ -176,6 +177,19 @@ def class_sizes(pairs: DataFrame, by: str) -> DataFrame:
     return samples.join(birds, same).select(samples[by], "samples", "birds")
 
 
+def sizes_with_total(pairs: DataFrame, by: str, total: str = "all") -> DataFrame:
+    """Pairs, samples and birds of each class and of all classes (``total``), pairs made once.
+
+    What is counted twice is one row for each class and sample, so the distinct counts see no quadratic table.
+    """
+    ends = [F.struct(F.col(f"sample_id_{e}").alias("sample"), F.col(f"bird_id_{e}").alias("bird")) for e in ("x", "y")]
+    met = pairs.select(by, F.inline(F.array(*ends))).groupBy(by, "sample", "bird").agg(F.count(F.lit(1)).alias("n"))
+    sizes = met.rollup(by).agg(
+        F.grouping(by).alias("__all"), F.expr("sum(n) div 2").alias("pairs"),
+        F.count_distinct("sample").alias("samples"), F.count_distinct("bird").alias("birds"))
+    return sizes.select(F.when(F.col("__all") == 1, total).otherwise(F.col(by)).alias(by), "pairs", "samples", "birds")
+
+
 def count_pairs(samples: DataFrame, block) -> DataFrame:
     """Pairs per block, relation and type, without making a single pair.
 
@@ -234,6 +248,18 @@ def dyad_summary(pairs: DataFrame, cols, na_policy: str = "propagate") -> DataFr
     return summarise_columns(unique_dyads(slim), cols, na_policy=na_policy)
 
 
+def dyad_summaries(pairs: DataFrame, cols, by: str, total: str = "all", na_policy: str = "propagate") -> DataFrame:
+    """Summaries over unique dyads of each class and over all (``total``); pairs are made once.
+
+    The earliest pair of a dyad in each class is found first, of these the earliest of all.
+    """
+    order = ["sample_id_x", "sample_id_y"]
+    slim = pairs.select(by, "bird_a", "bird_b", *order, *cols)
+    in_class = materialise(first_by(slim, [by, "bird_a", "bird_b"], order))
+    whole = unique_dyads(in_class).withColumn(by, F.lit(total))
+    return summarise_columns(in_class.unionByName(whole), cols, [by], na_policy=na_policy)
+
+
 def seasons_per_dominant_dyad(pairs: DataFrame) -> DataFrame:
     """In how many seasons each dominant pair was sampled together."""
     dominant = pairs.where(in_set("relation", ["sameGroup"]) & in_set("pair_type", ["Dominantpair"]))

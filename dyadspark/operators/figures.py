@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from dyadspark.operators.ranking import running_sum
 from dyadspark.operators.relational import count_by
 from dyadspark.session import materialise
 
@@ -32,49 +33,28 @@ def histogram(df: DataFrame, value: str, bins: int = 30, by: Sequence[str] = ())
     return filled.withColumns({"lower": lo + F.col("bin") * width, "upper": lo + (F.col("bin") + 1) * width})
 
 
-def quantiles(
-    df: DataFrame, value: str, by: str, probs: dict[str, float], bins: int = 4096
-) -> DataFrame:
+def quantiles(df: DataFrame, value: str, by: str, probs: dict[str, float]) -> DataFrame:
     """Exact quantiles per class with linear interpolation, one column per name.
 
-    A class may hold a third of all rows, so its values are never collected or
-    sorted in one place. Equal values are counted first; bin counts tell which
-    few bins hold the wanted ranks; only these bins are sorted.
+    Equal values are counted first; the distinct values of all classes are sorted by ranges together, and running sums of the counts
+    tell which of them hold the wanted ranks. Neither a class with most rows nor an outlying value makes a task larger.
     """
     values = materialise(
         df.where(F.col(value).isNotNull())
         .groupBy(F.col(by).alias("g"), F.col(value).cast("double").alias("v"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    span = values.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
-    place = F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * bins), F.lit(0))
-    span = span.withColumnRenamed("g", "rg")
-    binned = values.join(span, F.col("g").eqNullSafe(F.col("rg"))).select("g", "v", "c", place.alias("bin"))
-
-    def before(window):
-        return F.coalesce(F.sum("c").over(window.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-
-    starts = binned.groupBy("g", "bin").agg(F.sum("c").alias("c"))
-    starts = starts.withColumn("start", before(W.partitionBy("g").orderBy("bin")))
+    placed = running_sum(values, "c", F.col("g").asc_nulls_first(), "v")
+    span = placed.groupBy(F.col("g").alias("rg")).agg(F.sum("c").alias("n"), F.min("before").alias("base"))
     wanted = []
     for name, p in probs.items():
         h = (F.col("n") - 1) * p
         for rank, weight in ((F.floor(h), 1 - (h - F.floor(h))), (F.floor(h) + 1, h - F.floor(h))):
-            wanted.append(
-                F.struct(F.lit(name).alias("name"), F.least(rank, F.col("n") - 1).alias("rank"), weight.alias("w"))
-            )
-    ranks = span.select("rg", F.inline(F.array(*wanted)))
-    hit = F.col("g").eqNullSafe(F.col("rg")) & (F.col("rank") >= F.col("start"))
-    places = starts.join(ranks, hit & (F.col("rank") < F.col("start") + F.col("c"))).select(
-        "rg", F.col("bin").alias("rbin"), "start", "name", "rank", "w"
-    )
-    chosen = places.select("rg", "rbin", "start").distinct()
-    in_bin = F.col("g").eqNullSafe(F.col("rg")) & (F.col("bin") == F.col("rbin"))
-    sorted_bins = binned.join(chosen, in_bin).select("g", "bin", "v", "c", "start")
-    sorted_bins = sorted_bins.withColumn("first", F.col("start") + before(W.partitionBy("g", "bin").orderBy("v")))
-    found = sorted_bins.drop("start").join(
-        places, in_bin & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("c"))
-    )
+            place = F.col("base") + F.least(rank, F.col("n") - 1)
+            wanted.append(F.struct(F.lit(name).alias("name"), place.alias("place"), weight.alias("w")))
+    places = span.select("rg", F.inline(F.array(*wanted)))
+    hit = (F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("c"))
+    found = placed.join(places, F.col("g").eqNullSafe(F.col("rg")) & hit)
     cells = [F.sum(F.when(F.col("name") == n, F.col("v") * F.col("w"))).alias(n) for n in probs]
     return found.groupBy(F.col("g").alias(by)).agg(*cells)
 

@@ -117,15 +117,14 @@ def fit_reml(model: Model, g: np.ndarray, by_fixed: DataFrame, edges: DataFrame)
             *[F.sum(F.when(F.col("level_b") == v, F.col("w")).otherwise(0.0)).alias(f"g{i}") for i, v in enumerate(groups)])
         start = start.join(met, "level", "left").fillna(0.0, [f"g{i}" for i in range(len(groups))])
     own = edges.where((F.col("factor") == main) & (F.col("factor_b") == main)).select("level", "level_b", "w")
-    projection = reml.krylov(start, own, [*names, *[f"g{i}" for i in range(len(groups))]])
-    criterion = reml.Criterion(products, p, n, projection)
-    theta = reml.estimate(criterion)
+    projections = reml.krylov(start, own, [*names, *[f"g{i}" for i in range(len(groups))]])
+    criterion, theta = reml.converge(reml.Criterion(products, p, n, each) for each in projections)
     beta = criterion.pieces(theta[0] / theta[2], theta[1] / theta[2])[0]
     df_kept = reml.satterthwaite(criterion, theta)
     beta, cov = _spread(kept, terms, beta, criterion.covariance(theta))
     variances = {main: float(theta[0])} | ({GROUP: float(theta[1])} if groups else {}) | {"residual": float(theta[2])}
     return Fit(
-        model, beta, cov, variances, n, projection.levels + len(groups), whole, "reml",
+        model, beta, cov, variances, n, criterion.projection.levels + len(groups), whole, "reml",
         lambda c: df_kept(np.asarray(c)[kept]), "satterthwaite")
 
 

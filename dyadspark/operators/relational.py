@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from dyadspark.operators.ranking import ranked
 from dyadspark.session import materialise
 
 
@@ -182,48 +183,14 @@ def running_number(
     return numbered.withColumn(name, F.col("__start") + F.col("__n")).select(*df.columns, name)
 
 
-def dense_id(
-    df: DataFrame, keys: tuple[str, str], name: str, fan_out: int = 256
-) -> DataFrame:
-    """Dense 1-based id of a pair of numeric keys, in key order.
+def dense_id(df: DataFrame, keys: tuple[str, str], name: str) -> DataFrame:
+    """Dense 1-based id of a pair of keys, in key order. Rows with a missing key get NULL.
 
-    Only the distinct keys are ranked, and no step sorts them in one partition:
-    the id is the number of keys in earlier first-key ranges, plus those of
-    smaller first keys in the same range, plus those in earlier second-key
-    ranges, plus the rank inside the last one. Rows with a missing key get NULL.
+    Only the distinct keys are ranked, by an exact range sort, so neither a frequent key nor an outlying one makes a task larger.
     """
     a, b = keys
-    keyed = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    distinct = materialise(keyed.distinct())  # read five times below
-    span = distinct.agg(
-        F.struct(
-            F.min(a).alias("lo_a"), F.max(a).alias("hi_a"), F.min(b).alias("lo_b"), F.max(b).alias("hi_b")
-        ).alias("s")
-    ).scalar()
-
-    def cell(c, lo, hi):
-        width = span.getField(hi) - span.getField(lo) + F.lit(1)
-        return F.floor((F.col(c) - span.getField(lo)) * F.lit(float(fan_out)) / width)
-
-    distinct = distinct.withColumns({"__ra": cell(a, "lo_a", "hi_a"), "__rb": cell(b, "lo_b", "hi_b")})
-
-    def starts(grain, within, order, label):
-        counts = distinct.groupBy(*grain).agg(F.count(F.lit(1)).alias("__n"))
-        window = (W.partitionBy(*within) if within else W.partitionBy(F.lit(0))).orderBy(order)
-        earlier = window.rowsBetween(W.unboundedPreceding, -1)
-        return counts.withColumn(label, F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
-
-    by_range = starts(["__ra"], [], "__ra", "__s1")          # at most fan_out rows
-    by_key = starts(["__ra", a], ["__ra"], a, "__s2")
-    by_cell = starts([a, "__rb"], [a], "__rb", "__s3")
-    last = F.row_number().over(W.partitionBy(a, "__rb").orderBy(b))
-    ids = (
-        distinct.withColumn("__s4", last)
-        .join(by_range, ["__ra"])
-        .join(by_key, ["__ra", a])
-        .join(by_cell, [a, "__rb"])
-        .select(a, b, (F.col("__s1") + F.col("__s2") + F.col("__s3") + F.col("__s4")).alias(name))
-    )
+    distinct = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
+    ids = ranked(distinct, a, b, rank="__rank").select(a, b, (F.col("__rank") + 1).alias(name))
     return df.join(ids, [a, b], "left").select(*df.columns, name)
 
 

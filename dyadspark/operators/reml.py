@@ -47,8 +47,8 @@ def _sum_products(rows: DataFrame, left: Callable, right: Callable, shape: tuple
         yield pa.RecordBatch.from_pydict({"cell": np.arange(total.size), "value": total.ravel()})
 
     out = np.zeros(shape[0] * shape[1])
-    for r in rows.mapInArrow(partial, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect():
-        out[r.cell] = r.value
+    sums = rows.mapInArrow(partial, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+    out[sums.column("cell").to_numpy()] = sums.column("value").to_numpy()
     return out.reshape(shape)
 
 
@@ -89,8 +89,13 @@ class Projection:
         return float((f(self.values)[:, None] * g * g).sum() / g.shape[1])
 
 
-def krylov(start: DataFrame, edges: DataFrame, columns: list[str], seed: int = 1, probes: int = PROBES) -> Projection:
-    """``start``: level, n (diagonal of A) and the columns B; ``edges``: level, level_b, w, each meeting both ways round."""
+def krylov(
+    start: DataFrame, edges: DataFrame, columns: list[str], seed: int = 1, probes: int = PROBES
+) -> Iterator[Projection]:
+    """Projections of A on bases that grow by a step each, until the basis is whole or ``MAX_STEPS`` are done.
+
+    ``start``: level, n (diagonal of A) and the columns B; ``edges``: level, level_b, w, each meeting both ways round.
+    """
     signs = [F.when(F.xxhash64(F.lit(seed), F.lit(i), "level") % 2 == 0, 1.0).otherwise(-1.0) for i in range(probes)]
     width = len(columns) + probes
     first = materialise(start.select("level", "n", F.array(*[F.col(c) for c in columns], *signs).alias("q")))
@@ -118,16 +123,17 @@ def krylov(start: DataFrame, edges: DataFrame, columns: list[str], seed: int = 1
     projection = np.zeros((size, size))
     for step in range(MAX_STEPS):
         at = size - newest
-        last = [F.element_at("q", at + i + 1) for i in range(newest)]
-        pushed = edges.join(
-            basis.select(F.col("level").alias("level_b"), *[c.alias(f"q{i}") for i, c in enumerate(last)]), "level_b"
-        ).groupBy("level").agg(*[F.sum(F.col("w") * F.col(f"q{i}")).alias(f"o{i}") for i in range(newest)])
-        image = F.array(*[F.col("n") * c + F.coalesce(F.col(f"o{i}"), F.lit(0.0)) for i, c in enumerate(last)])
-        rows = materialise(basis.join(pushed, "level", "left").select("level", "n", "q", image.alias("w")))
+        newest_of = basis.select(F.col("level").alias("level_b"), F.slice("q", at + 1, newest).alias("q"))
+        met = edges.join(newest_of, "level_b").select("level", "w", "q").unionByName(  # the diagonal is a meeting with oneself
+            basis.select("level", F.col("n").alias("w"), F.slice("q", at + 1, newest).alias("q")))
+        image = met.repartition("level").sortWithinPartitions("level").mapInArrow(_weighted_sums, "level string, w array<double>")
+        rows = materialise(basis.join(image, "level"))
         whole = _sum_products(rows, lambda b: np.hstack([_basis_of(b), _image_of(b)]), _image_of, (size + newest, newest))
         cross, norm = whole[:size], float(np.trace(whole[size:]))
         projection[:, at:] = cross
         projection[at:, :] = cross.T
+        values, vectors = np.linalg.eigh((projection + projection.T) / 2)
+        yield Projection(np.maximum(values, 0.0), vectors[: len(back)].T @ back, levels, len(columns))
         if size >= levels or step == MAX_STEPS - 1:
             break
 
@@ -154,8 +160,6 @@ def krylov(start: DataFrame, edges: DataFrame, columns: list[str], seed: int = 1
         grown[:size, :size] = projection
         projection, size = grown, size + newest
     release(rows, basis, edges)
-    values, vectors = np.linalg.eigh((projection + projection.T) / 2)
-    return Projection(np.maximum(values, 0.0), vectors[: len(back)].T @ back, levels, len(columns))
 
 
 def _with_basis(batch: pa.RecordBatch, q: np.ndarray) -> pa.RecordBatch:
@@ -164,6 +168,33 @@ def _with_basis(batch: pa.RecordBatch, q: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("level"), batch.column("n"), arrays], names=["level", "n", "q"])
 
 
+def _weighted_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum of w times the array q of each level; rows come sorted by level."""
+    level, total = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = _matrix(batch.column("q")) * batch.column("w").to_numpy()[:, None]
+        names = batch.column("level").to_pylist()
+        starts = [i for i, name in enumerate(names) if not i or name != names[i - 1]]
+        sums = np.add.reduceat(values, starts, axis=0)
+        if names[0] == level:
+            sums[0] += total
+        elif level is not None:
+            sums, starts = np.vstack([total, sums]), [-1, *starts]
+        out = [level if i < 0 else names[i] for i in starts]
+        level, total = out[-1], sums[-1].copy()
+        yield _sums_of(out[:-1], sums[:-1])
+    if level is not None:
+        yield _sums_of([level], total[None, :])
+
+
+def _sums_of(levels: list[str], sums: np.ndarray) -> pa.RecordBatch:
+    arrays = pa.ListArray.from_arrays(
+        pa.array(np.arange(len(levels) + 1) * sums.shape[1], pa.int32()), pa.array(np.ascontiguousarray(sums).ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(levels, pa.string()), arrays], names=["level", "w"])
+
+
 class Criterion:
     """The restricted likelihood as a function of the variances.
 
@@ -254,6 +285,17 @@ def estimate(criterion: Criterion) -> np.ndarray:
     return np.array([ratios[0] * residual, ratios[1] * residual, residual])
 
 
+def converge(criteria: Iterator[Criterion], tol: float = 1e-5) -> tuple[Criterion, np.ndarray]:
+    """The first criterion whose variances are those of the one before, to ``tol`` of the largest, and these variances."""
+    before = None
+    for criterion in criteria:
+        theta = estimate(criterion)
+        if before is not None and np.abs(theta - before).max() <= tol * theta.max():
+            break
+        before = theta
+    return criterion, theta
+
+
 def satterthwaite(criterion: Criterion, theta: np.ndarray) -> Callable[[np.ndarray], float]:
     """Degrees of freedom of a contrast of the effects; components at 0 count as known."""
     live = [i for i in range(3) if theta[i] > 0]

@@ -73,19 +73,24 @@ class Study:
         """Some columns of the pairs as a written table, for steps that read them several times."""
         return materialise(self.pairs.select(*cols))
 
-    @cached_property
-    def rich_samples(self) -> DataFrame:
-        dim = roster.group_dimension(self.best).select("group_id", "seasons_together")
-        return plan.enrich_samples(self.view("samples"), dim, self.natal_slots, self.alpha, self.parents)
+    def samples_with(self, *parts: str) -> DataFrame:
+        """Samples with what the query reads of group, natal, alpha and parents; a written table is not pruned later."""
+        known = {
+            "group": ("group_dim", lambda: roster.group_dimension(self.best).select("group_id", "seasons_together")),
+            "natal": ("natal", lambda: self.natal_slots),
+            "alpha": ("alpha", lambda: self.alpha),
+            "parents": ("parents", lambda: self.parents),
+        }
+        return plan.enrich_samples(self.view("samples"), **{known[p][0]: known[p][1]() for p in parts})
 
     @cached_property
     def pairs(self) -> DataFrame:
         """Classified pairs, no distances, with relatedness."""
         return plan.pair_table(self.view("samples"), self.view("edges"))
 
-    @cached_property
-    def rich_pairs(self) -> DataFrame:
-        return plan.pair_table(self.rich_samples, self.view("edges"))
+    def pairs_with(self, *parts: str) -> DataFrame:
+        """Classified pairs with parts of ``samples_with`` at both ends, without relatedness."""
+        return plan.pair_table(self.samples_with(*parts))
 
     @cached_property
     def similar_pairs(self) -> DataFrame:

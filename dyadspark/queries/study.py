@@ -282,7 +282,7 @@ SELECT t.sample_id_x, t.sample_id_y, dx.seasons_together AS seasons_together_x,
 LEFT JOIN c_dim dx ON t.group_id_x = dx.group_id LEFT JOIN c_dim dy ON t.group_id_y = dy.group_id
 LEFT JOIN c_oalpha ax ON t.sample_id_x = ax.sample_id LEFT JOIN c_oalpha ay ON t.sample_id_y = ay.sample_id""")
 def _(s: Study):
-    return s.rich_pairs.select(
+    return s.pairs_with("group", "alpha").select(
         "sample_id_x", "sample_id_y", "seasons_together_x", "seasons_together_y", "observed_x", "observed_y"
     )
 
@@ -313,7 +313,7 @@ SELECT t.sample_id_x, t.sample_id_y, dx.seasons_together AS shared_tenure FROM c
 JOIN c_dim dx ON t.group_id_x = dx.group_id JOIN c_dim dy ON t.group_id_y = dy.group_id
 WHERE t.pair_type = 'Dominantpair' AND dx.seasons_together = dy.seasons_together""")
 def _(s: Study):
-    return s.rich_pairs.where(F.col("shared_tenure").isNotNull()).select("sample_id_x", "sample_id_y", "shared_tenure")
+    return s.pairs_with("group").where(F.col("shared_tenure").isNotNull()).select("sample_id_x", "sample_id_y", "shared_tenure")
 
 
 @query("y5_both_roles", "SELECT role_x, role_y, count(*) AS n FROM c_allowed GROUP BY role_x, role_y")
@@ -355,13 +355,14 @@ def _(s: Study):
 
 @query("y10_shared_natal", "SELECT sample_id_x, sample_id_y, shared_natal FROM c_born")
 def _(s: Study):
-    return s.rich_pairs.select("sample_id_x", "sample_id_y", "shared_natal")
+    return s.pairs_with("natal").select("sample_id_x", "sample_id_y", "shared_natal")
 
 
 @query("y10_shared_natal_symmetric", """
-SELECT t.sample_id_x, t.sample_id_y, CASE WHEN EXISTS (SELECT 1 FROM c_natal_all n WHERE
-    (n.bird_id = t.bird_id_x AND n.attendant = t.bird_id_y) OR (n.bird_id = t.bird_id_y AND n.attendant = t.bird_id_x))
-  THEN 'same' ELSE 'different' END AS shared_natal FROM c_typed t""")
+SELECT t.sample_id_x, t.sample_id_y, CASE WHEN n.bird_a IS NOT NULL THEN 'same' ELSE 'different' END AS shared_natal
+FROM c_typed t LEFT JOIN (
+  SELECT DISTINCT least(bird_id, attendant) AS bird_a, greatest(bird_id, attendant) AS bird_b FROM c_natal_all
+  WHERE attendant IS NOT NULL) n ON t.bird_a = n.bird_a AND t.bird_b = n.bird_b""")
 def _(s: Study):
     pairs = plan.pair_table(s.view("samples"), natal=s.natal)
     return pairs.select("sample_id_x", "sample_id_y", "shared_natal")
@@ -370,7 +371,7 @@ def _(s: Study):
 @query("y11_parent", """
 SELECT t.sample_id_x, t.sample_id_y, p.parent FROM c_typed t LEFT JOIN c_parents p ON t.bird_id_x = p.off_id""")
 def _(s: Study):
-    return s.rich_pairs.select("sample_id_x", "sample_id_y", F.col("parent_x").alias("parent"))
+    return s.pairs_with("parents").select("sample_id_x", "sample_id_y", F.col("parent_x").alias("parent"))
 
 
 @query("y12_alpha_similarity", """
@@ -378,18 +379,18 @@ SELECT t.sample_id_x, t.sample_id_y, -abs(ax.observed - ay.observed) AS observed
   round(-abs(ax.shannon - ay.shannon), 6) + 0 AS shannon_diff
 FROM c_typed t LEFT JOIN c_oalpha ax ON t.sample_id_x = ax.sample_id LEFT JOIN c_oalpha ay ON t.sample_id_y = ay.sample_id""")
 def _(s: Study):
-    return s.rich_pairs.select("sample_id_x", "sample_id_y", "observed_diff", "shannon_diff")
+    return s.pairs_with("alpha").select("sample_id_x", "sample_id_y", "observed_diff", "shannon_diff")
 
 
 @query("y13_within_group", "SELECT sample_id_x, sample_id_y, pair_type FROM c_born WHERE pair_type = 'DomHelp' AND shared_natal = 'different'")
 def _(s: Study):
-    return dyads.helpers_from_elsewhere(s.rich_pairs).select("sample_id_x", "sample_id_y", "pair_type")
+    return dyads.helpers_from_elsewhere(s.pairs_with("natal")).select("sample_id_x", "sample_id_y", "pair_type")
 
 
 @query("y14_natal_by_type", """
 SELECT shared_natal, pair_type, count(*) AS n FROM c_born WHERE relation = 'sameGroup' GROUP BY shared_natal, pair_type""")
 def _(s: Study):
-    return rel.count_by(dyads.within_group(s.rich_pairs), "shared_natal", "pair_type")
+    return rel.count_by(dyads.within_group(s.pairs_with("natal")), "shared_natal", "pair_type")
 
 
 @query("y15_relatedness_summary", f"SELECT relation, {_summary_sql(['relatedness'], 'skip')} FROM c_related GROUP BY relation")
@@ -413,7 +414,17 @@ def _(s: Study):
     return dyads.class_sizes(s.pairs, "pair_type")
 
 
+@query("y16_sizes_overall_and_by_class", """
+WITH c_ends AS (SELECT pair_type, sample_id_x AS sample, bird_id_x AS bird FROM c_typed
+  UNION ALL SELECT pair_type, sample_id_y, bird_id_y FROM c_typed)
+SELECT pair_type, count(*) // 2 AS pairs, count(DISTINCT sample) AS samples, count(DISTINCT bird) AS birds FROM c_ends GROUP BY pair_type
+UNION ALL SELECT 'all', count(*) // 2, count(DISTINCT sample), count(DISTINCT bird) FROM c_ends""")
+def _(s: Study):
+    return dyads.sizes_with_total(s.pairs, "pair_type")
+
+
 _DIFFS = ["age_diff", "fridge_diff"]
+_COVARIATES = ["catch_time_diff", "sample_date_diff", "relatedness"]
 
 
 @query("y16_pair_counts_without_pairs", """
@@ -429,6 +440,16 @@ def _(s: Study):
     return dyads.dyad_summary(s.pairs, _DIFFS)
 
 
+@query("y17_covariate_summary", f"""
+SELECT relation, {_summary_sql(_COVARIATES, 'skip')} FROM (
+SELECT *, row_number() OVER (PARTITION BY relation, bird_a, bird_b ORDER BY sample_id_x, sample_id_y) AS rn FROM c_related) d
+WHERE rn = 1 GROUP BY relation
+UNION ALL SELECT 'all', {_summary_sql(_COVARIATES, 'skip')} FROM (
+SELECT *, row_number() OVER (PARTITION BY bird_a, bird_b ORDER BY sample_id_x, sample_id_y) AS rn FROM c_related) d WHERE rn = 1""")
+def _(s: Study):
+    return dyads.dyad_summaries(s.pairs, _COVARIATES, "relation", na_policy="skip")
+
+
 @query("y18_pairs_per_season", """
 SELECT round(avg(n), 6) AS mean, round(stddev_samp(n) / sqrt(count(*)), 6) AS se
 FROM (SELECT year, season, count(*) AS n FROM c_typed GROUP BY year, season) c""")
@@ -470,6 +491,13 @@ def _(s: Study):
     return dyads.marginal_counts(s.pairs, ["year", "season", "sex_diff"])
 
 
+@query("y22_natal_margins", """
+SELECT 'shared_natal' AS what, shared_natal AS label, count(*) AS n FROM c_born GROUP BY shared_natal
+UNION ALL SELECT 'relation', relation, count(*) FROM c_born GROUP BY relation""")
+def _(s: Study):
+    return dyads.marginal_counts(s.pairs_with("natal"), ["shared_natal", "relation"])
+
+
 @query("y23_interacting", """
 SELECT CASE WHEN pair_type IN ('Dominantpair', 'DomHelp') THEN 'interacting' ELSE 'not' END AS grouping, count(*) AS n
 FROM c_typed WHERE relation = 'sameGroup' GROUP BY 1""")
@@ -877,7 +905,7 @@ def _pairs_of(s: Study, name: str):
     """The pair table a comparison is made on: the whole community's or a functional subset's."""
     subset = models.COMPARISONS[name].pairs
     if subset == "whole":
-        return plan.pair_table(s.rich_samples, s.view("edges"), s.order_ratios)
+        return plan.pair_table(s.samples_with("natal", "alpha"), s.view("edges"), s.order_ratios)
     return subset_pairs(s, subset, plan.enrich_samples(s.view("samples"), natal=s.natal_slots))
 
 

@@ -125,7 +125,7 @@ def test_running_number_and_dense_id(spark):
         seen[k] = seen.get(k, 0) + 1
         assert got[(k, i * 7)] == seen[k]
     pairs = spark.range(1500).selectExpr("if(id % 3 = 0, 7, id % 40) as a", "id % 90 as b")
-    ids = rel.dense_id(pairs, ("a", "b"), "d", fan_out=8).collect()
+    ids = rel.dense_id(pairs, ("a", "b"), "d").collect()
     ranks = {p: i + 1 for i, p in enumerate(sorted({(r.a, r.b) for r in ids}))}
     assert len(ids) == 1500 and all(ranks[(r.a, r.b)] == r.d for r in ids)
 
