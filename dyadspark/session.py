@@ -84,6 +84,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return table
 
 
+def reads(derived: DataFrame, table: DataFrame) -> DataFrame:
+    """``derived``, marked so that ``release`` deletes ``table``, the one table it reads."""
+    setattr(derived, _WRITTEN, getattr(table, _WRITTEN, None))
+    return derived
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of ``materialise`` that nothing reads any more: call it when their successors are written.
 
