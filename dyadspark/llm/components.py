@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from dyadspark.session import materialise
+from dyadspark.session import materialise, reads, release
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of all nodes of the links (a, b); the label is the smallest node of the component.
 
     Every round takes the smallest label among a node's neighbours and then the label of its label, so paths halve. Each
-    round's labels are written, which ends the lineage there.
+    round's labels are written, which ends the lineage there; those of the round before are deleted. The result may be released.
     """
     both = materialise(
         links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -25,6 +25,8 @@ def components(links: DataFrame) -> DataFrame:
         up = step.select(F.col("node").alias("parent"), F.col("label").alias("above"))
         new = materialise(
             step.join(up, F.col("label") == F.col("parent")).select("node", "old", F.col("above").alias("label")))
+        release(labels)
+        labels = reads(new.select("node", "label"), new)
         if new.where(F.col("old") != F.col("label")).isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+            release(both)
+            return labels

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dyadspark.llm.components import components
 from dyadspark.llm.hashing import distinct_by_row, mix, row_sums, shingles, text_slices
-from dyadspark.session import materialise
+from dyadspark.session import materialise, reads, release
 
 BUCKETS = 1 << 16
 PAIRED_FROM = 16
@@ -166,7 +166,7 @@ def postings(docs: DataFrame, loads: Broadcast) -> DataFrame:
 
 
 def shared_entries(docs: DataFrame, loads: Broadcast) -> DataFrame:
-    """entry, key, members, size, place, weight of the entries that at least two different sets have.
+    """entry, key, members, size, place, weight, level of the entries that at least two different sets have.
 
     Entries with the same sets, such as all shingles of a passage that the same documents share, become one entry: its
     weight is their number, and a set's place in it the first of its places in them.
@@ -181,7 +181,10 @@ def shared_entries(docs: DataFrame, loads: Broadcast) -> DataFrame:
         F.count(F.lit(1)).cast("int").alias("weight"),
         F.first(F.shiftright("at", 32)).cast("int").alias("size"),
         F.min(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))).cast("int").alias("place"))
-    return merged.select(F.xxhash64("who", "who_too", "members").alias("entry"), "key", "members", "size", "place", "weight")
+    merged = merged.select(F.xxhash64("who", "who_too", "members").alias("entry"), "key", "members", "size", "place", "weight")
+    index = materialise(merged.withColumn("level", level(F.col("key"))))
+    release(rows)
+    return index
 
 
 def level(key: Column) -> Column:
@@ -268,7 +271,7 @@ def jaccard_components(docs: DataFrame, limit: float | None = None) -> DataFrame
     spark = docs.sparkSession
     sets, counts = digests_and_counts(docs)
     loads = spark.sparkContext.broadcast((counts, frequent_from(counts) if limit is None else limit))
-    index = materialise(shared_entries(docs, loads).withColumn("level", level(F.col("key"))))
+    index = shared_entries(docs, loads)
     lists = materialise(
         index.groupBy("key").agg(
             F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("entry", "weight"))).alias("e"))
@@ -278,26 +281,35 @@ def jaccard_components(docs: DataFrame, limit: float | None = None) -> DataFrame
     texts = materialise(_with_key(
         docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("doc"))).select("key", "text")))
     labels = lists.select("key", F.col("key").alias("label"))
-    live = index.withColumn("label", F.col("key"))
+    live = reads(index.withColumn("label", F.col("key")), index)
     largest = index.agg(F.max("members")).first()[0] or 0
     turns = math.ceil(math.log2(largest) / GROWTH) + 1 if largest else 0
     for turn in range(turns):
         pairs = materialise(_likely(_candidates(live, turn), lists))
         links = materialise(_linked(pairs, texts))
+        release(pairs)
         if turn == turns - 1 and links.isEmpty():
+            release(links)
             break
         merged = links.join(labels.select(F.col("key").alias("a"), F.col("label").alias("la")), "a").join(
             labels.select(F.col("key").alias("b"), F.col("label").alias("lb")), "b")
         found = components(merged.select(F.col("la").alias("a"), F.col("lb").alias("b")))
-        labels = materialise(
+        joined = materialise(
             labels.join(found.withColumnRenamed("label", "new"), F.col("label") == F.col("node"), "left")
             .select("key", F.coalesce("new", "label").alias("label")))
+        release(links, found, labels)
+        labels = joined
         if turn < turns - 1:
             # entries whose sets are of one component are done
             now = live.drop("label").join(labels, "key")
             open_ = now.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(
                 F.col("lo") != F.col("hi")).select("entry")
-            live = materialise(now.join(open_, "entry"))
+            fewer = materialise(now.join(open_, "entry"))
+            release(live)
+            live = fewer
+    if turns:  # labels are written tables of their own by then, or there is no link at all
+        labels = labels if turns > 1 else materialise(labels)
+        release(lists, texts, live)
     placed = sets.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = placed.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "label", "left").select(

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+
+from dyadspark.llm import hashing
+
 WORD = re.compile("[^\x20\x09-\x0D]+")
 
 
@@ -64,32 +68,84 @@ def units(text):
     return out
 
 
-def dedup_units(rows, min_words=10):
-    """rows: (doc_id, text) by doc_id -> {doc_id: (text, removed spans)}."""
-    seen, result = set(), {}
-    for d, text in sorted(rows):
-        us, spans, i = units(text), [], 0
-        repeated, here = [], set()
-        for u, _, _ in us:
-            repeated.append(u in seen or u in here)
-            here.add(u)
-        while i < len(us):
-            j = i
-            while j < len(us) and repeated[j]:
-                j += 1
-            if j > i and sum(len(u) for u, _, _ in us[i:j]) >= min_words:
-                spans.append((us[i][1], us[j][1] if j < len(us) else len(text)))
-            i = max(j, i + 1)
-        kept, at = [], 0
-        for a, b in spans:
-            kept.append(text[at:a])
-            at = b
-        kept.append((text or "")[at:])
-        seen |= here
-        result[d] = (None if text is None else "".join(kept), spans)
+def text_parts(text):
+    """Words with their places, and the (first, last, key) spans compared of a text: units, whole lines, chains.
+
+    An anchor is a word whose hash neither neighbour's is below; a chain goes from one to the first that gives it 25 words.
+    """
+    found = list(WORD.finditer(text or ""))
+    words = [lower(m[0]) for m in found]
+    breaks = [i + 1 == len(found) or "\n" in text[m.end() : found[i + 1].start()] for i, m in enumerate(found)]
+    ends = [b or m[0][-1] in ".!?" for b, m in zip(breaks, found)]
+
+    def spans(closes):
+        first, out = 0, []
+        for i, end in enumerate(closes):
+            if end:
+                out.append((first, i))
+                first = i + 1
+        return out
+
+    keyed = [("unit", a, b, ("unit", *words[a : b + 1])) for a, b in spans(ends)]
+    keyed += [("line", a, b, ("line", *words[a : b + 1])) for a, b in spans(breaks)]
+    data = np.frombuffer((text or "").encode(), dtype=np.uint8)
+    starts, stops, _ = hashing.words(data, np.array([0, len(data)]))
+    hashes = hashing.span_hashes(data, starts, stops).tolist() if len(starts) else []
+    anchors = [
+        i for i, h in enumerate(hashes) if (not i or h <= hashes[i - 1]) and (i + 1 == len(hashes) or h <= hashes[i + 1])]
+    for a in anchors:
+        b = next((x for x in anchors if x >= a + 24), None)
+        if b is not None:
+            keyed.append(("chain", a, b, ("chain", *words[a : b + 1])))
+    return found, spans(ends), keyed
+
+
+def dedup_units(rows, min_words=10, edge=4):
+    """rows: (doc_id, text) with distinct ids -> {doc_id: (text, removed spans)}: the rule of ``unit_dedup`` in plain Python."""
+    parts = {d: text_parts(t) for d, t in rows}
+    holder = {}
+    for d in sorted(parts):
+        for _, _, _, key in parts[d][2]:
+            holder.setdefault(key, d)
+    result = {}
+    for d, text in rows:
+        found, units, keyed = parts[d]
+        covered, whole, inside, here = set(), set(), set(), set()
+        for kind, a, b, key in keyed:
+            short = kind == "line" and b - a + 1 < min_words
+            repeated = holder[key] < d or (kind != "chain" and key in here)
+            here.add(key)
+            if repeated and (kind != "line" or short):
+                {"unit": covered, "line": whole, "chain": inside}[kind].update(range(a, b + 1))
+        gone = set(whole)
+        for a, b in _stretches(covered, lambda i: 0):
+            if b - a >= min_words:
+                gone.update(range(a, b))
+        of = {i: u for u, (a, b) in enumerate(units) for i in range(a, b + 1)}
+        for a, b in _stretches(inside, of.get):
+            if b - a >= edge or b - a == units[of[a]][1] - units[of[a]][0] + 1:
+                gone.update(range(a, b))
+        spans, kept, at = [], [], 0
+        for a, b in _stretches(gone, lambda i: 0):
+            start, end = found[a].start(), found[b].start() if b < len(found) else len(text)
+            spans.append((start, end))
+            kept.append(text[at:start])
+            at = end
+        result[d] = (None if text is None else "".join([*kept, text[at:]]), spans)
     return result
 
 
+def _stretches(marked, group):
+    """(first, after the last) of runs of consecutive marked numbers of one group."""
+    out = []
+    for i in sorted(marked):
+        if out and out[-1][1] == i and group(i) == group(i - 1):
+            out[-1][1] = i + 1
+        else:
+            out.append([i, i + 1])
+    return out
+
+
 def smith_waterman(a, b, match=2, mismatch=-1, gap=-1):
     best, row = 0, [0] * (len(b) + 1)
     for x in a:
