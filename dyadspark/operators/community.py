@@ -287,6 +287,10 @@ def functional_subset(
     return keep_taxa(abundance, ids)
 
 
+#: Classes of an annotation that go together in a block.
+_CLASSES = 1024
+
+
 def functional_profile(
     abundance: DataFrame,
     taxonomy: DataFrame,
@@ -305,11 +309,14 @@ def functional_profile(
     ratios = log_ratio(counts)
     base = ratios.groupBy("sample_id").agg(F.min("clr_absent").alias("absent"))
     sizes = classes.groupBy(label).agg(F.count(F.lit(1)).alias("size"))
+    # every sample meets every class: by blocks of about _CLASSES classes, so that no row or task holds a long vocabulary
+    n_blocks = sizes.agg(F.ceil(F.count(F.lit(1)) / _CLASSES).alias("n")).scalar()
+    blocked = sizes.withColumn("block", F.pmod(F.xxhash64(label), n_blocks)).groupBy("block").agg(
+        F.collect_list(F.struct(label, "size")).alias("members"))
     lifts = lookup(ratios, classes, [("taxon_id", "taxon_id")], "inner", [label])
     lifts = lifts.groupBy("sample_id", label).agg(F.sum("lift").alias("lift"))
-    # One array of all classes per sample: their number is that of a short vocabulary.
-    all_sizes = sizes.agg(F.collect_list(F.struct(F.col(label), F.col("size"))).alias("v")).scalar()
-    grid = base.select("sample_id", "absent", F.inline(all_sizes).alias(label, "size"))
+    spread = base.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1)))
+    grid = spread.join(blocked, "block").select("sample_id", "absent", F.inline("members").alias(label, "size"))
     same = (grid["sample_id"] == lifts["sample_id"]) & grid[label].eqNullSafe(lifts[label])
     return grid.join(lifts, same, "left").select(
         grid["sample_id"],

@@ -670,9 +670,39 @@ def _(s: Study):
     return genetics.relatedness(_terms(s).where(F.size("terms") > 0), "pooled")
 
 
-@query("g5_relatedness_limits")
+_DRAWS_SQL = """
+c_panel AS (SELECT locus, row_number() OVER (ORDER BY locus) AS number, count(*) OVER () AS size
+  FROM (SELECT DISTINCT locus FROM genotypes WHERE locus IS NOT NULL) l),
+c_draws AS (SELECT replicate, number, count(*) AS weight FROM (
+  SELECT r.replicate, CAST('0x' || substr(md5('1|' || r.replicate || '|' || i.number), 1, 8) AS BIGINT) % i.size + 1 AS number
+  FROM generate_series(1, 1000) r(replicate), c_panel i) d GROUP BY replicate, number),
+c_weights AS (SELECT d.replicate, p.locus, d.weight FROM c_draws d JOIN c_panel p ON d.number = p.number)
+"""
+
+
+@query("g5_bootstrap_weights", f"WITH {_DRAWS_SQL} SELECT replicate, locus, weight FROM c_weights")
+def _(s: Study):
+    return genetics.bootstrap_weights(s.view("genotypes"))
+
+
+_IDENT_SQL = "0.5E0 * (CAST(x.a = y.a AS INTEGER) + CAST(x.a = y.b AS INTEGER) + CAST(x.b = y.a AS INTEGER) + CAST(x.b = y.b AS INTEGER))"
+
+
+@query("g5_relatedness_limits", _QG_SQL.rstrip() + f""", {_DRAWS_SQL},
+c_locusterms AS (SELECT x.ind AS ind_x, y.ind AS ind_y, x.locus, {_IDENT_SQL} - x.p AS nx, {_IDENT_SQL} - y.p AS ny, 1 + x.hom - x.p AS dx,
+  1 + y.hom - y.p AS dy FROM c_typedloci x JOIN c_typedloci y ON x.period_id = y.period_id AND x.locus = y.locus AND x.ind < y.ind),
+c_sums AS (SELECT ind_x, ind_y, replicate, sum(weight * nx) AS nx, sum(weight * ny) AS ny, sum(weight * dx) AS dx, sum(weight * dy) AS dy
+  FROM c_locusterms JOIN c_weights USING (locus) GROUP BY ind_x, ind_y, replicate),
+c_drawn AS (SELECT ind_x, ind_y, (nx / dx + ny / dy) / 2 AS r FROM c_sums WHERE abs(dx) >= 1e-9 AND abs(dy) >= 1e-9),
+c_ranked AS (SELECT *, row_number() OVER (PARTITION BY ind_x, ind_y ORDER BY r) - 1 AS rank, count(*) OVER (PARTITION BY ind_x, ind_y) AS k FROM c_drawn),
+c_limits AS (SELECT ind_x, ind_y, any_value(k) AS n_replicates,
+  max(CASE WHEN rank = floor((1 - 0.95E0) / 2 * (k - 1) + 0.5E0) THEN r END) AS lower,
+  max(CASE WHEN rank = floor((1 - (1 - 0.95E0) / 2) * (k - 1) + 0.5E0) THEN r END) AS upper FROM c_ranked GROUP BY ind_x, ind_y)
+SELECT q.ind_x, q.ind_y, round((q.nx / nullif(q.dx, 0) + q.ny / nullif(q.dy, 0)) / 2, 6) AS relatedness,
+  round(lower, 6) AS lower, round(upper, 6) AS upper, coalesce(n_replicates, 0) AS n_replicates
+FROM c_qg q LEFT JOIN c_limits l ON q.ind_x = l.ind_x AND q.ind_y = l.ind_y""")
 def _(s: Study):
-    return genetics.relatedness_limits(_terms(s))
+    return genetics.relatedness_limits(_terms(s), genetics.bootstrap_weights(s.view("genotypes")))
 
 
 # ---- mixed models ----
