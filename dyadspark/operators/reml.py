@@ -23,11 +23,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from dyadspark.session import materialise, release
 
 PROBES, MAX_STEPS, TOLERANCE = 24, 24, 1e-9
+#: Directions of sums of products below this share of the largest one are rounding.
+ROUNDING = 1e-12
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -60,10 +62,10 @@ def _image_of(batch) -> np.ndarray:
     return _matrix(batch.column("w"))
 
 
-def _root(gram: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
-    """(F, R) with gram = R'R and F turning the columns into orthonormal ones; directions below the tolerance are left out."""
+def _root(gram: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(F, R) with gram = R'R and F turning the columns into orthonormal ones; directions up to ``least`` or rounding are left out."""
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    on = values > (TOLERANCE**2) * scale
+    on = values > max(least, ROUNDING * values.max())
     half = np.sqrt(values[on])
     return vectors[:, on] / half, half[:, None] * vectors[:, on].T
 
@@ -89,6 +91,39 @@ class Projection:
         return float((f(self.values)[:, None] * g * g).sum() / g.shape[1])
 
 
+def _signs(seed: int, n: int) -> list[Column]:
+    return [F.when(F.xxhash64(F.lit(seed), F.lit(i), "level") % 2 == 0, 1.0).otherwise(-1.0) for i in range(n)]
+
+
+def _further(rows: DataFrame, cross: np.ndarray, norm: float) -> Callable | None:
+    """A function of a batch that gives orthonormal columns which span what the basis q lacks of w; None if it lacks nothing.
+
+    ``cross``: q'w, ``norm``: sum of squares of w. The columns are measured once more after they are scaled up: what was rounding has no
+    length of 1 then and is left out, and the others are corrected.
+    """
+    size, width = cross.shape
+
+    def rest(b: pa.RecordBatch) -> np.ndarray:
+        return _image_of(b) - _basis_of(b) @ cross
+
+    whole = _sum_products(rows, lambda b: np.hstack([_basis_of(b), rest(b)]), rest, (size + width, width))
+    left = whole[:size]
+    turn, _ = _root(whole[size:] - left.T @ left, TOLERANCE**2 * max(norm, 1e-300))
+    if not turn.shape[1]:
+        return None
+    taken, width = cross + left, turn.shape[1]
+
+    def scaled(b: pa.RecordBatch) -> np.ndarray:
+        return (_image_of(b) - _basis_of(b) @ taken) @ turn
+
+    whole = _sum_products(rows, lambda b: np.hstack([_basis_of(b), scaled(b)]), scaled, (size + width, width))
+    again = whole[:size]
+    fix, _ = _root(whole[size:] - again.T @ again, 0.5)
+    if not fix.shape[1]:
+        return None
+    return lambda b: (scaled(b) - _basis_of(b) @ again) @ fix
+
+
 def krylov(
     start: DataFrame, edges: DataFrame, columns: list[str], seed: int = 1, probes: int = PROBES
 ) -> Iterator[Projection]:
@@ -96,16 +131,15 @@ def krylov(
 
     ``start``: level, n (diagonal of A) and the columns B; ``edges``: level, level_b, w, each meeting both ways round.
     """
-    signs = [F.when(F.xxhash64(F.lit(seed), F.lit(i), "level") % 2 == 0, 1.0).otherwise(-1.0) for i in range(probes)]
     width = len(columns) + probes
-    first = materialise(start.select("level", "n", F.array(*[F.col(c) for c in columns], *signs).alias("q")))
+    first = materialise(start.select("level", "n", F.array(*[F.col(c) for c in columns], *_signs(seed, probes)).alias("q")))
     levels = first.count()
     gram = _sum_products(first, _basis_of, _basis_of, (width, width))
     scale = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
-    turn, back = _root(gram / np.outer(scale, scale), 1.0)
+    turn, back = _root(gram / np.outer(scale, scale), 0.0)
     turn, back = turn / scale[:, None], back * scale
     again = _sum_products(first, lambda b: _basis_of(b) @ turn, lambda b: _basis_of(b) @ turn, (turn.shape[1],) * 2)
-    fix, more = _root(again, 1.0)
+    fix, more = _root(again, 0.5)
     turn, back = turn @ fix, more @ back
 
     def turned(by: np.ndarray):
@@ -137,25 +171,22 @@ def krylov(
         if size >= levels or step == MAX_STEPS - 1:
             break
 
-        def rest(b, cross=cross):
-            return _image_of(b) - _basis_of(b) @ cross
-
-        whole = _sum_products(rows, lambda b: np.hstack([_basis_of(b), rest(b)]), rest, (size + newest, newest))
-        left = whole[:size]
-        turn, _ = _root(whole[size:] - left.T @ left, max(norm, 1e-300))
-        turn = turn[:, : max(0, levels - size)]
-        if not turn.shape[1]:
-            break  # A maps the basis into itself
+        found, seen = _further(rows, cross, norm), rows
+        if found is None:  # A maps the basis into itself: other random signs lead to the levels it does not reach
+            width = min(width, levels - size)
+            seen = rows.withColumn("w", F.array(*_signs(seed + 1 + step, width)))
+            found = _further(seen, _sum_products(seen, _basis_of, _image_of, (size, width)), float(levels * width))
+            if found is None:
+                break
 
-        def extend(batches: Iterator[pa.RecordBatch], cross=cross + left, turn=turn) -> Iterator[pa.RecordBatch]:
+        def extend(batches: Iterator[pa.RecordBatch], found=found) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 q = _basis_of(batch)
-                new = (_image_of(batch) - q @ cross) @ turn if batch.num_rows else q
-                yield _with_basis(batch, np.hstack([q, new]))
+                yield _with_basis(batch, np.hstack([q, found(batch)]) if batch.num_rows else q)
 
-        wider = materialise(rows.mapInArrow(extend, shape))
+        wider = materialise(seen.mapInArrow(extend, shape))
         release(rows, basis)
-        basis, newest = wider, turn.shape[1]
+        basis, newest = wider, wider.select(F.size("q")).first()[0] - size
         grown = np.zeros((size + newest,) * 2)
         grown[:size, :size] = projection
         projection, size = grown, size + newest
