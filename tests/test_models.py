@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from dyadspark.operators import mixed, mixed_fit
+from dyadspark.operators import mixed, mixed_fit, reml
 from dyadspark.operators.mixed import Model
 
 MODEL = Model("y", ["a"], {"kind": ["p", "q", "r"]}, ["b1", "b2"], "year")
@@ -215,3 +215,37 @@ def test_tail_areas(spark):
     tails = mixed_fit.Tails(spark)
     assert tails.t_two_sided(2.228, 10) == pytest.approx(0.05, abs=1e-4)
     assert tails.chi2_upper(5.991, 2) == pytest.approx(0.05, abs=1e-4)
+
+
+def test_basis_of_dependent_columns(spark):
+    # a column that is the sum of others and one of hardly any length: what is rounding in the sums must not become a direction
+    rng = np.random.default_rng(3)
+    z = np.zeros((400, 90))
+    for k in range(400):  # two separate parts of 30 levels, and 30 levels that meet nobody
+        part = 30 * (k % 2)
+        z[k, part + rng.choice(30, 2, replace=False)] = 1
+    z[:30, 60:] = np.eye(30)
+    a = z.T @ z
+    years = z.T @ np.eye(8)[rng.integers(8, size=400)]
+    b = np.column_stack([years, years.sum(axis=1), years[:, 0] + 1e-11 * years[:, 1], z.T @ rng.normal(size=400)])
+    names = [f"b{i}" for i in range(b.shape[1])]
+    start = spark.createDataFrame(
+        [(str(i), float(a[i, i]), *map(float, b[i])) for i in range(90)],
+        "level string, n double, " + ", ".join(f"{n} double" for n in names)).repartition(7)
+    edges = spark.createDataFrame(
+        [(str(i), str(j), float(a[i, j])) for i in range(90) for j in range(90) if i != j and a[i, j]],
+        "level string, level_b string, w double")
+    last = list(reml.krylov(start, edges, names))[-1]
+    assert len(last.values) == 90 and np.sort(last.values) == pytest.approx(np.linalg.eigvalsh(a), abs=1e-8)
+    for g in (0.01, 1.0, 100.0):
+        want = b.T @ np.linalg.solve(np.eye(90) + g * a, b) * g
+        assert last.quadratic(lambda v: g / (1 + g * v)) == pytest.approx(want, rel=1e-7, abs=1e-7)
+        assert last.trace(lambda v: np.log1p(g * v)) == pytest.approx(np.linalg.slogdet(np.eye(90) + g * a)[1], rel=1e-8)
+
+
+def test_coefficients_query_has_finite_figures(spark, folder):
+    import __spark_entry__
+
+    rows = __spark_entry__.queries()["l5_coefficients"](spark, folder).collect()
+    assert len(rows) == 7 and all(np.isfinite([r.estimate, r.df, r.p_value]).all() and r.std_error > 1e-6 for r in rows)
+    assert all(1 < r.df < r.nobs for r in rows)
