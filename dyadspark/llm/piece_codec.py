@@ -30,6 +30,8 @@ MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Segments whose ids a worker keeps.
 CACHED = 500_000
+#: Bytes of rows coded at once, and of new segments solved at once; a longer row or segment is one of its own.
+_SLICE, _SOLVED = 1 << 18, 1 << 16
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -276,7 +278,7 @@ class Codec:
         at = np.minimum(np.searchsorted(self._hashes, hashes), max(len(self._hashes) - 1, 0))
         new = self._hashes[at] != hashes if len(self._hashes) else np.ones(len(hashes), dtype=bool)
         if new.any():
-            ids, counts = self._solve(data[_ranges(starts[new], lengths[new])], lengths[new])
+            ids, counts = self._solve_in_runs(data, starts[new], lengths[new])
             begin = len(self._ids) + np.concatenate([[0], np.cumsum(counts)[:-1]])
             self._ids = np.concatenate([self._ids, ids])
             known = np.concatenate([self._hashes, hashes[new]])
@@ -287,6 +289,18 @@ class Codec:
             at = np.searchsorted(self._hashes, hashes)
         return self._begin[at], self._count[at]
 
+    def _solve_in_runs(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``_solve`` for the segments at these places, some at once: its arrays take hundreds of bytes for a byte of text."""
+        after = np.cumsum(lengths)
+        solved, first = [], 0
+        while first < len(lengths):
+            done = int(after[first - 1]) if first else 0
+            last = max(int(np.searchsorted(after, done + _SOLVED, side="right")), first + 1)
+            run = slice(first, last)
+            solved.append(self._solve(data[_ranges(starts[run], lengths[run])], lengths[run]))
+            first = last
+        return tuple(np.concatenate(x) for x in zip(*solved))
+
     def _forget(self) -> None:
         self._hashes = np.zeros(0, dtype=np.uint64)
         self._begin = self._count = np.zeros(0, dtype=np.int64)
@@ -294,12 +308,13 @@ class Codec:
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, row offsets) for runs of rows of a string column."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
-        texts = pc.replace_substring(texts, MARKER, " ")
-        for first, data, offsets in text_slices(texts):
-            ids, at = self.encode_slice(data, offsets)
-            yield first, ids, at
+        for first, _, rows in text_slices(texts, _SLICE):
+            part = pc.fill_null(texts.slice(first, len(rows) - 1).cast(pa.large_string()), "")
+            opened = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), part, pa.scalar("", pa.large_string()))
+            part = pc.replace_substring(pc.if_else(pc.equal(part, ""), part, opened), MARKER, " ")
+            for at_part, data, offsets in text_slices(part):
+                ids, at = self.encode_slice(data, offsets)
+                yield first + at_part, ids, at
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self._bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")

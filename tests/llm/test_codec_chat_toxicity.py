@@ -121,6 +121,17 @@ def test_small_cache_changes_nothing(codec, corpus_rows, monkeypatch):
     assert encoded(codec, texts) == want
 
 
+def test_new_segments_are_solved_in_bounded_runs(codec, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=9)) for _ in range(4_000)) for _ in range(8)] + ["x" * 100_000]
+    codec._forget()
+    whole, sizes, solve = encoded(codec, texts), [], codec._solve
+    monkeypatch.setattr(codec, "_solve", lambda data, lengths: sizes.append((len(data), len(lengths))) or solve(data, lengths))
+    codec._forget()
+    assert encoded(codec, texts) == whole
+    assert all(size <= 1 << 16 or segments == 1 for size, segments in sizes) and sum(size for size, _ in sizes) > 400_000
+
+
 def test_codec_query(spark, folder, corpus_rows, codec):
     got = {r.doc_id: r for r in queries.QUERIES["op8_piece_codec"](spark, folder).collect()}
     for (d, t), ids in zip(corpus_rows, encoded(codec, [t for _, t in corpus_rows])):
