@@ -172,8 +172,10 @@ def shared_entries(docs: DataFrame, loads: Broadcast) -> DataFrame:
     weight is their number, and a set's place in it the first of its places in them.
     """
     # counted without the key, so that little is shuffled; entries of equal sets alone go below
-    often = postings(docs, loads).groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entry")
-    rows = materialise(postings(docs, loads).join(often, "entry").distinct())
+    often = materialise(
+        postings(docs, loads).groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entry"))
+    rows = materialise(postings(docs, loads).join(often, "entry").distinct())  # written in two steps: neither holds both shuffles
+    release(often)
     held = rows.groupBy("entry").agg(
         F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("key")).alias("who"),
         F.bit_xor(F.xxhash64("key", F.lit(1))).alias("who_too")).where("members > 1")
@@ -238,6 +240,13 @@ def _likely(pairs: DataFrame, lists: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(shared >= least_overlap(n, m) - behind).select("a", "b")
 
 
+def _texts(pairs: DataFrame, docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(key, text) of the sets in the pairs; ``chosen``: key, doc. Other texts are neither written nor dealt by key."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(chosen, "key")
+    return _with_key(
+        docs.select("doc_id", "text").join(keys, F.col("doc_id").eqNullSafe(F.col("doc"))).select("key", "text"))
+
+
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose sets, taken from the whole texts, meet the threshold."""
 
@@ -277,17 +286,17 @@ def jaccard_components(docs: DataFrame, limit: float | None = None) -> DataFrame
             F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("entry", "weight"))).alias("e"))
         .select("key", "size", F.col("e.entry").alias("entries"), F.col("e.weight").alias("weights")))
     # one document for each set that shares an entry; equal ids with other texts are told apart by the set's key
-    chosen = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc")).join(lists.select("key"), "key")
-    texts = materialise(_with_key(
-        docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("doc"))).select("key", "text")))
+    chosen = materialise(
+        sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc")).join(lists.select("key"), "key"))
     labels = lists.select("key", F.col("key").alias("label"))
     live = reads(index.withColumn("label", F.col("key")), index)
     largest = index.agg(F.max("members")).first()[0] or 0
     turns = math.ceil(math.log2(largest) / GROWTH) + 1 if largest else 0
     for turn in range(turns):
         pairs = materialise(_likely(_candidates(live, turn), lists))
+        texts = materialise(_texts(pairs, docs, chosen))
         links = materialise(_linked(pairs, texts))
-        release(pairs)
+        release(pairs, texts)
         if turn == turns - 1 and links.isEmpty():
             release(links)
             break
@@ -309,7 +318,7 @@ def jaccard_components(docs: DataFrame, limit: float | None = None) -> DataFrame
             live = fewer
     if turns:  # labels are written tables of their own by then, or there is no link at all
         labels = labels if turns > 1 else materialise(labels)
-        release(lists, texts, live)
+        release(lists, chosen, live)
     placed = sets.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = placed.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "label", "left").select(

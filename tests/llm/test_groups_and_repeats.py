@@ -8,6 +8,7 @@ from conftest import EDGES, LONG
 from dyadspark.llm import decontaminate as dc, jaccard_join as jj, unit_dedup as ud
 from dyadspark.llm.components import components
 from dyadspark.llm.queries import QUERIES
+from pyspark.sql import functions as F
 
 
 def family(n, words=60, edits=2, seed=1):
@@ -190,3 +191,14 @@ def test_leaks_of_edge_cases(spark, edges, clashing, no_docs):
         assert dc.drop_leaked(docs, items).columns == docs.columns
     assert dc.leaks(no_docs, items).collect() == []
     assert dc.leaks(edges, item_table(spark, [])).collect() == []
+
+
+def test_only_texts_of_candidate_pairs_are_written(spark):
+    texts = [f"{w} b c d e f g {w}" for w in "pqrs"]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string")
+    sets, _ = jj.digests_and_counts(docs)
+    chosen = sets.groupBy("key").agg(F.min("doc_id").alias("doc"))
+    key = {r.doc: r.key for r in chosen.collect()}
+    pairs = spark.createDataFrame([(key[0], key[2]), (key[2], key[0])], "a long, b long")
+    got = sorted((r.key, r.text) for r in jj._texts(pairs, docs, chosen).collect())
+    assert got == sorted([(key[0], texts[0]), (key[2], texts[2])])
