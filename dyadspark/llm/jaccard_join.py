@@ -24,6 +24,9 @@ highest hash levels are compared with the others; links merge components after e
 components are compared later. The last round has level 0, all sets, so no pair of different components is left out. Sizes and places
 of the shared entry rule out pairs first, then the number of shared entries (a bound on the overlap), then the texts are compared
 whole. Entries held by the same sets are merged before, so a shared passage is one entry and not one for each of its shingles.
+Sets that share many entries would still meet at each of them. From the second round on a set names the first ``FIRSTS`` of its entries, by
+their hash, and a pair is left out at an entry if both name a smaller one at which their sizes and places let them meet. The
+smallest entry where they may meet is never left out, and the last round comes to all entries, so no pair is lost.
 
 Null and empty texts and texts without words have no shingle, link with nothing and are their own component. Rows with equal doc_id are told
 apart by their texts. A null doc_id takes part; a component of null ids alone has component_id null. Extra columns are ignored.
@@ -47,6 +50,8 @@ BUCKETS = 1 << 16
 PAIRED_FROM = 16
 #: Pivots of an entry grow by this power of two each round.
 GROWTH = 4
+#: Entries a set names so that a pair is not made again at later ones.
+FIRSTS = 6
 
 
 def _bucket(tokens: np.ndarray) -> np.ndarray:
@@ -200,16 +205,18 @@ def least_overlap(x: Column, y: Column) -> Column:
     return F.ceil((x + y) * 3 / 7)
 
 
-def _candidates(live: DataFrame, turn: int) -> DataFrame:
-    """Pairs of sets of different components that share an entry in which one is a pivot of this round."""
+def _meetings(live: DataFrame, turn: int) -> DataFrame:
+    """Pairs of sets of different components that share an entry in which one is a pivot of this round; those that share several
+    may come several times."""
+    named = [c for c in ("first",) if c in live.columns]
     # pivots of round t: levels from ceil(log2(members)) - GROWTH * t on; earlier pivots have met all others
     top = F.ceil(F.log2(F.col("members")))
     low = F.greatest(top - GROWTH * turn, F.lit(0))
     before = F.greatest(top - GROWTH * (turn - 1), F.lit(0)) if turn else F.lit(64)
     rows = live.withColumns({"low": low, "before": before}).where(F.col("level") < F.col("before"))
-    m = rows.select("entry", *[F.col(c).alias(f"{c}_m") for c in ("key", "label", "size", "place", "level")])
+    m = rows.select("entry", *[F.col(c).alias(f"{c}_m") for c in ("key", "label", "size", "place", "level", *named)])
     p = rows.where(F.col("level") >= F.col("low")).select(
-        "entry", "low", *[F.col(c).alias(f"{c}_p") for c in ("key", "label", "size", "place")])
+        "entry", "low", *[F.col(c).alias(f"{c}_p") for c in ("key", "label", "size", "place", *named)])
     need = least_overlap(F.col("size_m"), F.col("size_p"))
     pairs = m.join(p, "entry").where(
         (F.col("label_m") != F.col("label_p"))
@@ -217,8 +224,17 @@ def _candidates(live: DataFrame, turn: int) -> DataFrame:
         & (4 * F.least("size_m", "size_p") >= 3 * F.greatest("size_m", "size_p"))
         # some shared entry stands behind no more tokens than either set may lack
         & (F.col("place_m") <= F.col("size_m") - need) & (F.col("place_p") <= F.col("size_p") - need))
-    return pairs.select(
-        F.least("key_m", "key_p").alias("a"), F.greatest("key_m", "key_p").alias("b")).distinct()
+    if named:
+        lack_m, lack_p = F.col("size_m") - need, F.col("size_p") - need
+        pairs = pairs.where(~F.exists("first_m", lambda x: (x["entry"] < F.col("entry")) & (x["place"] <= lack_m) & F.exists(
+            "first_p", lambda y: (y["entry"] == x["entry"]) & (y["place"] <= lack_p))))
+    return pairs.select(F.least("key_m", "key_p").alias("a"), F.greatest("key_m", "key_p").alias("b"))
+
+
+def _first() -> Column:
+    """Aggregate of a set's index rows: the entries it names, with its places there. Sets of equal sizes may meet at all of them."""
+    named = F.when(7 * F.col("place") <= F.col("size"), F.struct("entry", "place"))
+    return F.slice(F.sort_array(F.collect_list(named)), 1, FIRSTS)
 
 
 def _likely(pairs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -283,8 +299,8 @@ def jaccard_components(docs: DataFrame, limit: float | None = None) -> DataFrame
     index = shared_entries(docs, loads)
     lists = materialise(
         index.groupBy("key").agg(
-            F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("entry", "weight"))).alias("e"))
-        .select("key", "size", F.col("e.entry").alias("entries"), F.col("e.weight").alias("weights")))
+            F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("entry", "weight"))).alias("e"), _first().alias("first"))
+        .select("key", "size", "first", F.col("e.entry").alias("entries"), F.col("e.weight").alias("weights")))
     # one document for each set that shares an entry; equal ids with other texts are told apart by the set's key
     chosen = materialise(
         sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc")).join(lists.select("key"), "key"))
@@ -293,7 +309,7 @@ def jaccard_components(docs: DataFrame, limit: float | None = None) -> DataFrame
     largest = index.agg(F.max("members")).first()[0] or 0
     turns = math.ceil(math.log2(largest) / GROWTH) + 1 if largest else 0
     for turn in range(turns):
-        pairs = materialise(_likely(_candidates(live, turn), lists))
+        pairs = materialise(_likely(_meetings(live, turn).distinct(), lists))
         texts = materialise(_texts(pairs, docs, chosen))
         links = materialise(_linked(pairs, texts))
         release(pairs, texts)
@@ -313,7 +329,8 @@ def jaccard_components(docs: DataFrame, limit: float | None = None) -> DataFrame
             now = live.drop("label").join(labels, "key")
             open_ = now.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(
                 F.col("lo") != F.col("hi")).select("entry")
-            fewer = materialise(now.join(open_, "entry"))
+            fewer = now.join(open_, "entry")
+            fewer = materialise(fewer if turn else fewer.join(lists.select("key", "first"), "key"))
             release(live)
             live = fewer
     if turns:  # labels are written tables of their own by then, or there is no link at all

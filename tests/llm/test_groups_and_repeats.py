@@ -202,3 +202,15 @@ def test_only_texts_of_candidate_pairs_are_written(spark):
     pairs = spark.createDataFrame([(key[0], key[2]), (key[2], key[0])], "a long, b long")
     got = sorted((r.key, r.text) for r in jj._texts(pairs, docs, chosen).collect())
     assert got == sorted([(key[0], texts[0]), (key[2], texts[2])])
+
+
+def test_sets_that_share_many_entries_meet_once(spark):
+    rng = random.Random(8)
+    rows = [(e, k, 24, 100, rng.randrange(10 if e % 3 else 40), 1, k % 5) for e in range(-20, 20) for k in range(24)]
+    index = spark.createDataFrame(
+        rows, "entry long, key long, members int, size int, place int, weight int, level int").withColumn("label", F.col("key"))
+    named = index.groupBy("key").agg(jj._first().alias("first"))
+    found = [jj._meetings(index.join(named, "key"), turn) for turn in range(3)]
+    pairs = [(r.a, r.b) for df in found for r in df.collect()]
+    every = {(r.a, r.b) for turn in range(3) for r in jj._meetings(index, turn).collect()}
+    assert every == set(pairs) == {(a, b) for a in range(24) for b in range(a + 1, 24)} and len(pairs) < 1.5 * len(every)
