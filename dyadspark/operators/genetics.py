@@ -129,17 +129,20 @@ def bootstrap_weights(genotypes: DataFrame, replicates: int = 1000, seed: int =
 
 
 def relatedness_limits(
-    terms: DataFrame, weights: DataFrame, level: float = 0.95, pooling: str = "mean"
+    terms: DataFrame, weights: DataFrame | int, level: float = 0.95, pooling: str = "mean"
 ) -> DataFrame:
     """Point estimate with percentile limits over replicates of the loci; a pair without a common locus gives no row.
 
     ``weights(replicate, locus, weight)`` is one table for all pairs (``bootstrap_weights``, or any other), as wide as the typing panel,
     so it goes to the tasks whole. There the pairs of a batch are a pair x locus matrix and all their replicates one
     matrix product. A replicate whose denominator is zero for a pair (below 1e-9) is left out for it; the limits are the
-    values at the nearest ranks of the others, NULL where there is none.
+    values at the nearest ranks of the others, NULL where there is none. A number for ``weights`` asks for so many replicates of the
+    loci that the pairs have in common.
     """
     if pooling not in ("mean", "pooled"):
         raise ValueError(f"pooling must be 'mean' or 'pooled', not {pooling!r}")
+    if isinstance(weights, int):
+        weights = bootstrap_weights(terms.select(F.explode("terms.locus").alias("locus")), weights)
     table = weights.select("replicate", "locus", "weight").toPandas()
     panel, at_locus = np.unique(table["locus"].to_numpy(), return_inverse=True)
     runs, at_run = np.unique(table["replicate"].to_numpy(), return_inverse=True)
