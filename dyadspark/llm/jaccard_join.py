@@ -35,7 +35,7 @@ apart by their texts. A null doc_id takes part; a component of null ids alone ha
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +52,8 @@ PAIRED_FROM = 16
 GROWTH = 4
 #: Entries a set names so that a pair is not made again at later ones.
 FIRSTS = 6
+#: Bits of the filter that keeps documents no pair asks for out of a join's shuffle.
+FILTER_BITS = 1 << 24
 
 
 def _bucket(tokens: np.ndarray) -> np.ndarray:
@@ -184,11 +186,12 @@ def shared_entries(docs: DataFrame, loads: Broadcast) -> DataFrame:
     held = rows.groupBy("entry").agg(
         F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("key")).alias("who"),
         F.bit_xor(F.xxhash64("key", F.lit(1))).alias("who_too")).where("members > 1")
-    merged = rows.join(held, "entry").groupBy("who", "who_too", "members", "key").agg(
+    same = held.select("entry", F.xxhash64("who", "who_too", "members").alias("one"), "members")
+    merged = rows.join(same, "entry").groupBy("one", "members", "key").agg(
         F.count(F.lit(1)).cast("int").alias("weight"),
         F.first(F.shiftright("at", 32)).cast("int").alias("size"),
         F.min(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))).cast("int").alias("place"))
-    merged = merged.select(F.xxhash64("who", "who_too", "members").alias("entry"), "key", "members", "size", "place", "weight")
+    merged = merged.select(F.col("one").alias("entry"), "key", "members", "size", "place", "weight")
     index = materialise(merged.withColumn("level", level(F.col("key"))))
     release(rows)
     return index
@@ -256,11 +259,40 @@ def _likely(pairs: DataFrame, lists: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(shared >= least_overlap(n, m) - behind).select("a", "b")
 
 
+def _slot(column: Column) -> Column:
+    return F.xxhash64(column).bitwiseAND(F.lit(FILTER_BITS - 1))
+
+
+def _listed(ids: DataFrame) -> Callable[[Column], Column]:
+    """A condition that every value of the one column of ``ids`` meets, and of other values few.
+
+    Behind it stand ``FILTER_BITS`` bits, however many ids there are. With more ids more other values pass: it saves
+    shuffled rows and is never the last word.
+    """
+    slot = _slot(F.col(ids.columns[0]))
+    # a bit for each slot that an id has, eight to a byte
+    used = ids.select(
+        F.shiftright(slot, 3).alias("byte"),
+        F.call_function("shiftleft", F.lit(1), slot.bitwiseAND(F.lit(7)).cast("int")).alias("bits"))
+    used = used.groupBy("byte").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(FILTER_BITS >> 3, dtype=np.uint8)
+    table[used.column("byte").to_numpy()] = used.column("bits").to_numpy()
+    shared = ids.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf("boolean")
+    def on(slots: pa.Array) -> pa.Array:
+        at = slots.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return lambda column: on(_slot(column))
+
+
 def _texts(pairs: DataFrame, docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(key, text) of the sets in the pairs; ``chosen``: key, doc. Other texts are neither written nor dealt by key."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(chosen, "key")
-    return _with_key(
-        docs.select("doc_id", "text").join(keys, F.col("doc_id").eqNullSafe(F.col("doc"))).select("key", "text"))
+    """(key, text) of the sets in the pairs; ``chosen``: key, doc. Other texts are not written, and few of them dealt."""
+    keys = materialise(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(chosen, "key"))
+    asked = docs.select("doc_id", "text").where(_listed(keys.select("doc"))(F.col("doc_id")))
+    return reads(_with_key(
+        asked.join(keys, F.col("doc_id").eqNullSafe(F.col("doc"))).select("key", "text")), keys)
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -310,9 +342,10 @@ def jaccard_components(docs: DataFrame, limit: float | None = None) -> DataFrame
     turns = math.ceil(math.log2(largest) / GROWTH) + 1 if largest else 0
     for turn in range(turns):
         pairs = materialise(_likely(_meetings(live, turn).distinct(), lists))
-        texts = materialise(_texts(pairs, docs, chosen))
+        asked = _texts(pairs, docs, chosen)
+        texts = materialise(asked)
         links = materialise(_linked(pairs, texts))
-        release(pairs, texts)
+        release(pairs, asked, texts)
         if turn == turns - 1 and links.isEmpty():
             release(links)
             break

@@ -214,3 +214,38 @@ def test_sets_that_share_many_entries_meet_once(spark):
     pairs = [(r.a, r.b) for df in found for r in df.collect()]
     every = {(r.a, r.b) for turn in range(3) for r in jj._meetings(index, turn).collect()}
     assert every == set(pairs) == {(a, b) for a in range(24) for b in range(a + 1, 24)} and len(pairs) < 1.5 * len(every)
+
+
+def dealt(df):
+    """Rows that the exchanges of a plan wrote."""
+    df.collect()
+    todo, rows = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        if node.nodeName() == "Exchange":
+            rows += node.metrics().apply("shuffleRecordsWritten").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return rows
+
+
+def test_documents_no_pair_asks_for_are_not_dealt(spark, monkeypatch):
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat('a b c d e f g ', id) AS text").cache()
+    sets, _ = jj.digests_and_counts(docs)
+    chosen = sets.select("key", F.col("doc_id").alias("doc"))
+    key = {r.doc: r.key for r in chosen.collect()}
+    pairs = spark.createDataFrame([(key[10 * i], key[10 * i + 1]) for i in range(20)], "a long, b long")
+    want = sorted(key[10 * i + j] for i in range(20) for j in (0, 1))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = jj._texts(pairs, docs, chosen)
+        assert 40 <= dealt(texts) < 400 and sorted(r.key for r in texts.collect()) == want
+        monkeypatch.setattr(jj, "FILTER_BITS", 32)  # most pass: more is dealt, the result stays
+        texts = jj._texts(pairs, docs, chosen)
+        assert dealt(texts) > 1000 and sorted(r.key for r in texts.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
