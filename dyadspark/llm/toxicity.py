@@ -23,10 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dyadspark.llm.hashing import mix, powers
+from dyadspark.llm.hashing import mix, powers, text_slices
+from dyadspark.session import small_batches
 
 SIZES = (4, 5, 6)
-_CHARS = 1 << 18
+_RUN_BYTES = 1 << 17
+_LISTED = 1 << 16  # buckets in a batch of counts
 _SPACE = np.uint64(32)
 
 
@@ -39,16 +41,10 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``_CHARS`` code points together."""
-    first, total = 0, 0
-    for i, t in enumerate(texts):
-        if i > first and total + len(t) > _CHARS:
-            yield first, i
-            first, total = i, 0
-        total += len(t) + 2
-    if first < len(texts):
-        yield first, len(texts)
+def _runs(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of runs of rows of about ``_RUN_BYTES`` together; only the present run is held as Python texts."""
+    for first, _, offsets in text_slices(column, _RUN_BYTES):
+        yield first, [t or "" for t in column.slice(first, len(offsets) - 1).to_pylist()]
 
 
 def buckets(texts: list[str], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -101,20 +97,22 @@ def bucket_counts(rows: DataFrame, bits: int) -> DataFrame:
     """bucket, pos, neg: documents of each class that hold it; bucket -1 has the class sizes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pos, neg = (np.zeros((1 << bits) + 1, dtype=np.int64) for _ in range(2))
+        pos, neg = (np.zeros((1 << bits) + 1, dtype=np.int32) for _ in range(2))
         everything = np.ones(1 << bits, dtype=bool)
         for batch in batches:
             toxic = np.array(batch.column("toxic").to_pylist(), dtype=bool)
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in _runs(texts):
-                row, bucket = _present(texts[a:b], bits, everything)
-                of_toxic = toxic[a:b][row]
-                pos[1:] += np.bincount(bucket[of_toxic], minlength=1 << bits)
-                neg[1:] += np.bincount(bucket[~of_toxic], minlength=1 << bits)
+            for first, texts in _runs(batch.column("text")):
+                row, bucket = _present(texts, bits, everything)
+                of_toxic = toxic[first + row]
+                np.add.at(pos, bucket[of_toxic] + 1, 1)
+                np.add.at(neg, bucket[~of_toxic] + 1, 1)
             pos[0] += toxic.sum()
             neg[0] += len(toxic) - toxic.sum()
-        used = np.flatnonzero(pos + neg)
-        yield pa.RecordBatch.from_arrays([pa.array(used - 1), pa.array(pos[used]), pa.array(neg[used])], names=["bucket", "pos", "neg"])
+        used = np.flatnonzero(pos | neg)
+        for part in np.array_split(used, len(used) // _LISTED + 1):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part - 1), pa.array(pos[part].astype(np.int64)), pa.array(neg[part].astype(np.int64))],
+                names=["bucket", "pos", "neg"])
 
     counted = rows.mapInArrow(count, "bucket long, pos long, neg long")
     return counted.groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
@@ -174,6 +172,7 @@ def fit(
     penalty: float = 1e-3,
 ) -> tuple[np.ndarray, float]:
     """(weight of each bucket, intercept)."""
+    small_batches(docs.sparkSession)
     weights = np.zeros(1 << bits, dtype=np.float32)
     rows = fitting_rows(docs, labels, fit_rows)
     counts = bucket_counts(rows, bits)
@@ -195,12 +194,11 @@ def fit(
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for a, b in _runs(texts):
-                row, found = _present(texts[a:b], bits, place >= 0)
-                at = np.searchsorted(row, np.arange(b - a + 1)).astype(np.int32)
+            for first, texts in _runs(batch.column("text")):
+                row, found = _present(texts, bits, place >= 0)
+                at = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("toxic").slice(a, b - a), pa.ListArray.from_arrays(pa.array(at), pa.array(place[found]))],
+                    [batch.column("toxic").slice(first, len(texts)), pa.ListArray.from_arrays(pa.array(at), pa.array(place[found]))],
                     names=["toxic", "features"])
 
     fitted = rows.mapInArrow(features, "toxic int, features array<int>").toPandas()
@@ -214,6 +212,7 @@ def fit(
 
 def score(docs: DataFrame, weights: np.ndarray, intercept: float) -> DataFrame:
     """doc_id, score (0 to 1) of every row."""
+    small_batches(docs.sparkSession)
     bits = int(np.log2(len(weights)))
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -221,11 +220,10 @@ def score(docs: DataFrame, weights: np.ndarray, intercept: float) -> DataFrame:
         weights = shared.value
         used = weights != 0
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            sums = np.full(len(texts), intercept)
-            for a, b in _runs(texts):
-                row, bucket = _present(texts[a:b], bits, used)
-                sums[a:b] += np.bincount(row, weights=weights[bucket], minlength=b - a)
+            sums = np.full(batch.num_rows, intercept)
+            for first, texts in _runs(batch.column("text")):
+                row, bucket = _present(texts, bits, used)
+                sums[first : first + len(texts)] += np.bincount(row, weights=weights[bucket], minlength=len(texts))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(1.0 / (1.0 + np.exp(-np.clip(sums, -40, 40))))], names=["doc_id", "score"])
 
@@ -252,11 +250,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **fit
         weights = shared.value
         used = weights != 0
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            sums = np.full(len(texts), intercept)
-            for a, b in _runs(texts):
-                row, bucket = _present(texts[a:b], bits, used)
-                sums[a:b] += np.bincount(row, weights=weights[bucket], minlength=b - a)
+            sums = np.full(batch.num_rows, intercept)
+            for first, texts in _runs(batch.column("text")):
+                row, bucket = _present(texts, bits, used)
+                sums[first : first + len(texts)] += np.bincount(row, weights=weights[bucket], minlength=len(texts))
             yield batch.filter(pa.array(sums < limit))
 
     return docs.mapInArrow(run, docs.schema)

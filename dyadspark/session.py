@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -39,6 +40,16 @@ def fan_out(spark: SparkSession) -> int:
     return max(configured, spark.sparkContext.defaultParallelism)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python tasks in Arrow batches of about 8 MB from here on, for the whole session.
+
+    Spark's own bound is 64 MB (or 10,000 rows). JVM and Python hold a batch for each task outside the heap, the JVM in
+    buffers that grow by doubling. Rows and results stay the same, a longer text is a batch of its own. A bound the user has set stays.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "8m")
+
+
 def run_folder(spark: SparkSession) -> str:
     """The session's own folder for intermediates, in ``spark.checkpoint.dir``; it is deleted when the session's JVM ends.
 

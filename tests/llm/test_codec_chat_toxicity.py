@@ -282,3 +282,30 @@ def test_buckets_are_the_ngrams_of_each_text():
             got[r].add(b)
     alone = [set(int(b) for _, f in tx.buckets([t], 20) for b in f) for t in texts]
     assert got == alone and len(got[0]) == 4 + 3 + 2 and not got[1]
+
+
+def test_texts_reach_toxicity_in_small_batches(spark):
+    session = spark.newSession()
+    docs = session.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 1000).alias("text"))
+    none = session.createDataFrame([], "doc_id long, toxic int")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    kept = tx.drop_toxic(docs, none)
+    largest = max(r.n for r in docs.mapInArrow(sizes, "n long").collect())
+    assert 4 << 20 < largest < 9 << 20
+    assert kept.count() == 4000
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    assert tx.drop_toxic(docs, none).count() == 4000
+    assert session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"
+
+
+def test_runs_hold_a_bounded_part_of_the_texts():
+    texts = [None, "", "é" * 1000, "x" * 600_000, *["word " * 200] * 1000, "", None]
+    column = pa.array(["before", *texts]).slice(1)
+    runs = list(tx._runs(column))
+    assert [t for _, run in runs for t in run] == [t or "" for t in texts]
+    assert [first for first, _ in runs] == np.cumsum([0, *(len(run) for _, run in runs[:-1])]).tolist()
+    assert len(runs) > 4 and all(len(run) == 1 or sum(map(len, run)) <= tx._RUN_BYTES for _, run in runs)
