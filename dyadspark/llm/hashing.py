@@ -45,7 +45,7 @@ _POWERS = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the multiplier and of its inverse; kept, and doubled when a longer slice comes."""
     if len(_POWERS["up"]) < n:
-        size = max(n, _SLICE_BYTES + 1)
+        size = max(n, min((1 << (n - 2).bit_length()) + 1, _SLICE_BYTES + 1))
         for name, base in (("up", _MULTIPLIER), ("down", _INVERSE)):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dyadspark.llm.components import components
 from dyadspark.llm.hashing import distinct_by_row, mix, row_sums, shingles, text_slices
-from dyadspark.session import materialise, reads, release
+from dyadspark.session import materialise, reads, release, small_batches
 
 BUCKETS = 1 << 16
 PAIRED_FROM = 16
@@ -54,6 +54,8 @@ GROWTH = 4
 FIRSTS = 6
 #: Bits of the filter that keeps documents no pair asks for out of a join's shuffle.
 FILTER_BITS = 1 << 24
+#: Bytes of text whose shingles a task computes at once.
+_RUN_BYTES = 1 << 17
 
 
 def _bucket(tokens: np.ndarray) -> np.ndarray:
@@ -67,7 +69,7 @@ def set_key(rows: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
 
 def _sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, number of rows, row, token, key of each row) for runs of rows."""
-    for first, data, offsets in text_slices(column):
+    for first, data, offsets in text_slices(column, _RUN_BYTES):
         n = len(offsets) - 1
         rows, tokens = distinct_by_row(*shingles(data, offsets))
         yield first, n, rows, tokens, set_key(rows, tokens, n)
@@ -326,6 +328,7 @@ def jaccard_components(docs: DataFrame, limit: float | None = None) -> DataFrame
     Tokens whose counter is above ``limit`` are the frequent class (default ``frequent_from``); it decides speed alone.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     sets, counts = digests_and_counts(docs)
     loads = spark.sparkContext.broadcast((counts, frequent_from(counts) if limit is None else limit))
     index = shared_entries(docs, loads)

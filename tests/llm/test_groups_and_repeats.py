@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import brute
@@ -249,3 +250,32 @@ def test_documents_no_pair_asks_for_are_not_dealt(spark, monkeypatch):
         assert dealt(texts) > 1000 and sorted(r.key for r in texts.collect()) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_texts_reach_the_join_in_small_batches(spark):
+    session = spark.newSession()
+    docs = session.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 1000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    joined = jj.jaccard_components(docs)
+    largest = max(r.n for r in docs.mapInArrow(sizes, "n long").collect())
+    assert 4 << 20 < largest < 9 << 20
+    assert joined.where("n_shingles = 2 AND component_id = 0").count() == 4000
+
+
+def test_sets_are_made_of_bounded_runs():
+    words = [f"w{i}" for i in range(2000)]
+    texts = [None, "", " ".join(words * 15), *[" ".join(words[i : i + 300]) for i in range(1000)], "", None]
+    column = pa.array(["before", *texts]).slice(1)
+    runs = list(jj._sets(column))
+    assert [first for first, *_ in runs] == np.cumsum([0, *(n for _, n, *_ in runs[:-1])]).tolist()
+    sizes = [[len((t or "").encode()) for t in texts[first : first + n]] for first, n, *_ in runs]
+    assert sum(map(len, sizes)) == len(texts) and all(len(s) == 1 or sum(s) <= 1 << 17 for s in sizes)
+    alone = [s for t in texts for s in jj._sets(pa.array([t], pa.string()))]
+    keys = np.concatenate([key for *_, key in runs])
+    assert keys.tolist() == [key[0] for *_, key in alone]
+    tokens = np.concatenate([tokens for *_, tokens, _ in runs])
+    assert tokens.tolist() == np.concatenate([tokens for *_, tokens, _ in alone]).tolist()
