@@ -1,9 +1,9 @@
 """Fitting and reading a mixed model from its cross-products.
 
 ``fit`` is one estimator at every size: restricted maximum likelihood by ``reml``, whose
-work per random level is Spark's, with Satterthwaite degrees of freedom. Groups (the random
-intercepts) are dense columns there, so they should be few. ``method`` "moments" takes the variances from quadratic
-forms of the least-squares residuals instead, for any number of groups; its tests use the normal distribution.
+work per random level is Spark's, with Satterthwaite degrees of freedom. Members and groups (the random
+intercepts) may be many. ``method`` "moments" takes the variances from quadratic
+forms of the least-squares residuals instead; its tests use the normal distribution.
 """
 
 from __future__ import annotations
@@ -104,28 +104,33 @@ def fit_reml(model: Model, g: np.ndarray, by_fixed: DataFrame, edges: DataFrame)
     n, terms = int(round(g[0, 0])), len(model.terms)
     whole, kept = g[:terms, :terms], _independent(g[:terms, :terms])
     p, main = len(kept), MEMBER if model.members else GROUP
-    names = [f"x{k}" for k in kept] + ["y"]
     products = g[np.ix_([*kept, terms], [*kept, terms])]
-    start = by_fixed.where(F.col("factor") == main).select("level", "n", *names)
-    groups = []
-    if main == MEMBER and model.group:
-        rows = by_fixed.where(F.col("factor") == GROUP).orderBy("level").collect()  # the few groups
-        groups = [r["level"] for r in rows]
-        cross = np.array([[r[c] for c in names] for r in rows]).reshape(len(rows), len(names))
-        products = np.block([[products, cross.T], [cross, np.diag([r["n"] for r in rows])]])
-        met = edges.where((F.col("factor") == MEMBER) & (F.col("factor_b") == GROUP)).groupBy("level").agg(
-            *[F.sum(F.when(F.col("level_b") == v, F.col("w")).otherwise(0.0)).alias(f"g{i}") for i, v in enumerate(groups)])
-        start = start.join(met, "level", "left").fillna(0.0, [f"g{i}" for i in range(len(groups))])
-    own = edges.where((F.col("factor") == main) & (F.col("factor_b") == main)).select("level", "level_b", "w")
-    projections = reml.krylov(start, own, [*names, *[f"g{i}" for i in range(len(groups))]])
-    criterion, theta = reml.converge(reml.Criterion(products, p, n, each) for each in projections)
+    names = [f"x{k}" for k in kept] + ["y"]
+    levels = materialise(by_fixed.select(
+        F.concat_ws(":", "factor", "level").alias("node"), (F.col("factor") != main).alias("grouped"), "n", F.array(*names).alias("b")))
+    met = edges.select(
+        F.concat_ws(":", "factor", "level").alias("node"), F.concat_ws(":", "factor_b", "level_b").alias("node_b"), "w", "factor", "factor_b")
+    # each row has one group: levels that are linked at all are linked through groups
+    links = met.where(F.col("factor") != F.col("factor_b")) if model.members and model.group else met
+    labels = reml.component_labels(levels.select("node"), links.select(F.col("node").alias("a"), F.col("node_b").alias("b")))
+    met = met.drop("factor", "factor_b")
+    components, rest = reml.whole_components(levels, met, labels)
+    large = None
+    if not rest.isEmpty():
+        others = rest.select(F.col("node").alias("node_b"))  # no meeting leads from a component to another
+        large = reml.Large(levels.join(rest, "node", "left_semi"), met.join(others, "node_b", "left_semi"), p + 1)
+    criterion = reml.Criterion(products, p, n, components, large, (True, main == MEMBER and model.group is not None))
+    theta = reml.estimate(criterion)
     beta = criterion.pieces(theta[0] / theta[2], theta[1] / theta[2])[0]
     df_kept = reml.satterthwaite(criterion, theta)
     beta, cov = _spread(kept, terms, beta, criterion.covariance(theta))
-    variances = {main: float(theta[0])} | ({GROUP: float(theta[1])} if groups else {}) | {"residual": float(theta[2])}
+    variances = {main: float(theta[0])} | ({GROUP: float(theta[1])} if criterion.active[1] else {}) | {"residual": float(theta[2])}
+    count = levels.count()
+    release(levels, labels, components, rest)
+    if large is not None:
+        large.release()
     return Fit(
-        model, beta, cov, variances, n, criterion.projection.levels + len(groups), whole, "reml",
-        lambda c: df_kept(np.asarray(c)[kept]), "satterthwaite")
+        model, beta, cov, variances, n, count, whole, "reml", lambda c: df_kept(np.asarray(c)[kept]), "satterthwaite")
 
 
 def fit_levels(model, g, by_fixed, edges, variances: dict[str, float] | None = None) -> Fit:

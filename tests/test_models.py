@@ -153,6 +153,72 @@ def test_many_levels_beyond_the_basis(spark, monkeypatch):
     assert [fit.variances["member"], fit.variances["residual"]] == pytest.approx(list(theta), rel=5e-3)
 
 
+@pytest.fixture(scope="module")
+def many_groups():
+    """Sixty separate parts of seven birds and three years, and one large part: twelve years chained by the birds of both neighbours."""
+    rng = np.random.default_rng(7)
+    birds, years, rows = rng.normal(0, 0.9, 500), rng.normal(0, 0.6, 192), []
+    for part in range(60):
+        for _ in range(25):
+            i, j = 7 * part + rng.choice(7, 2, replace=False)
+            rows.append((int(i), int(j), int(3 * part + rng.integers(3))))
+    for year in range(12):
+        for _ in range(40):
+            i, j = 420 + (6 * year + rng.choice(12, 2, replace=False)) % 80
+            rows.append((int(i), int(j), 180 + year))
+    a = rng.normal(size=len(rows))
+    return [(i, j, g, float(x), float(1 + 0.5 * x + birds[i] + birds[j] + years[g] + rng.normal())) for (i, j, g), x in zip(rows, a)]
+
+
+@pytest.mark.parametrize("whole, few", [(512, 32), (20, 32), (20, 0)])
+def test_many_groups_are_no_dense_columns(spark, many_groups, monkeypatch, whole, few):
+    # solved whole; the large part by one basis with its groups as columns; the large part by a basis for each ratio
+    monkeypatch.setattr(reml, "WHOLE", whole)
+    monkeypatch.setattr(reml, "FEW", few)
+    widths, krylov = [], reml.krylov
+
+    def watched(start, edges, columns, *rest, **more):
+        widths.append(len(columns))
+        return krylov(start, edges, columns, *rest, **more)
+
+    monkeypatch.setattr(reml, "krylov", watched)
+    df = spark.createDataFrame(many_groups, "b1 bigint, b2 bigint, year int, a double, y double")
+    fit = mixed_fit.fit(df, Model("y", ["a"], {}, ["b1", "b2"], "year"))
+    x, y = np.array([[1, r[3]] for r in many_groups]), np.array([r[4] for r in many_groups])
+    z = np.zeros((len(y), 692))
+    for k, r in enumerate(many_groups):
+        z[k, r[0]] = z[k, r[1]] = z[k, 500 + r[2]] = 1
+    theta = scoring(x, y, [z[:, :500] @ z[:, :500].T, z[:, 500:] @ z[:, 500:].T], np.array([1.0, 1.0, 1.0]))
+    assert [fit.variances[k] for k in ("member", "group", "residual")] == pytest.approx(list(theta), rel=1e-4)
+    assert fit.levels == (z.sum(axis=0) > 0).sum()
+    assert max(widths, default=0) == {(512, 32): 0, (20, 32): 3 + 12, (20, 0): 3}[whole, few]
+
+
+def test_labels_of_long_chains_stay_open(spark, monkeypatch):
+    monkeypatch.setattr(reml, "LABEL_ROUNDS", 2)
+    chain, pairs = [f"c{i:03}" for i in range(200)], [("p0", "p1"), ("q0", "q1")]
+    met = [*zip(chain, chain[1:]), *pairs]
+    links = spark.createDataFrame([*met, *[(b, a) for a, b in met]], "a string, b string")
+    nodes = spark.createDataFrame([(n,) for n in [*chain, "p0", "p1", "q0", "q1", "r"]], "node string")
+    labels = {r.node: (r.label, r.closed) for r in reml.component_labels(nodes, links).collect()}
+    assert not any(labels[n][1] for n in chain)
+    assert labels["p1"] == ("p0", True) and labels["q1"] == ("q0", True) and labels["r"] == ("r", True)
+
+
+def test_a_level_may_meet_itself(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), int(j), float(i - j + rng.normal())) for i, j in rng.integers(0, 12, (300, 2))]
+    fit = mixed_fit.fit(spark.createDataFrame(rows, "b1 bigint, b2 bigint, y double"), Model("y", [], {}, ["b1", "b2"]))
+    z = np.zeros((300, 12))
+    for k, r in enumerate(rows):
+        z[k, r[0]] += 1
+        z[k, r[1]] += 1
+    y = np.array([r[2] for r in rows])
+    theta = scoring(np.ones((300, 1)), y, [z @ z.T], np.array([1.0, 1.0]))
+    assert fit.variances["residual"] == pytest.approx(theta[1], rel=1e-4)
+    assert fit.variances["member"] == pytest.approx(theta[0], rel=1e-3, abs=1e-5)
+
+
 def test_component_without_support_is_zero(spark):
     rng = np.random.default_rng(2)
     rows = [(k % 30, (k * 7 + 1) % 30, float(rng.normal()), float(rng.normal())) for k in range(600)]
