@@ -12,9 +12,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from dyadspark.functions import in_set, round_half_even
+from dyadspark.operators import draws
 from dyadspark.operators.relational import lookup, share_of_group
 from dyadspark.session import fan_out, materialise
 
@@ -112,8 +115,8 @@ def log_ratio(abundance: DataFrame, zero_policy: str = "shift_all") -> DataFrame
     )
 
 
-#: Reads listed from one row, and reads a slice of tickets holds at most on average.
-_RUN, _SLICE = 1 << 14, 1 << 12
+#: Reads of one row that stay together, and reads of a sample that are drawn from in one task.
+_RUN, _TASK = 1 << 14, 1 << 18
 
 
 def rarefy(abundance: DataFrame, depth: int = 8000, seed: int = 88) -> DataFrame:
@@ -121,48 +124,40 @@ def rarefy(abundance: DataFrame, depth: int = 8000, seed: int = 88) -> DataFrame
 
     Every read gets the hash of (seed, sample, taxon, number) as its ticket and
     each sample keeps its ``depth`` smallest, so the draw repeats exactly and
-    does not depend on partitioning. Reads are not sorted for that: counts per
-    leading ticket digits tell in which slice the last kept ticket lies. Lower
-    slices are kept whole and only the reads of that slice are ranked, about 4,096 or fewer,
-    since samples with more reads take more digits. A large count is listed in runs of reads dealt to all tasks;
-    where reads are too many to list at all, ``rarefy_deep`` divides counts instead.
+    does not depend on partitioning. Counts are dealt by sample and tickets exist inside a task only, a block of reads at a time
+    (``draws``). A sample of more than ``_TASK`` reads is dealt to many tasks in runs of reads; these hand on the reads
+    below a bound that little more than ``depth`` of them pass, and the draw is made from those.
+    Where reads are too many to list at all, ``rarefy_deep`` divides counts instead.
     """
-    totals = abundance.groupBy("sample_id").agg(F.sum("n").alias("__total"))
-    finer = F.greatest(F.ceil(F.log(16.0, F.col("__total") / _SLICE)), F.lit(2)).cast("int")
-    deep = abundance.join(totals.where(F.col("__total") >= depth).select("sample_id", finer.alias("digits")), "sample_id")
-    parts = fan_out(abundance.sparkSession)
-
-    def tickets(counts: DataFrame) -> DataFrame:
-        # rows become reads: spread them by a stated number, not by the bytes they have now
-        kept = [c for c in counts.columns if c != "n"]
-        n, run = F.col("n").cast("bigint"), F.col("run")
-        runs = counts.where(F.col("n") > 0).withColumn(
-            "run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / _RUN))))
-        spread = runs.repartition(parts, "sample_id", "taxon_id", "run")
-        reads = spread.select(
-            *kept, F.explode(F.sequence(run * _RUN + 1, F.least(n, (run + 1) * _RUN))).alias("i"))
-        ticket = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("sample_id"), F.col("taxon_id"), F.col("i")))
-        return reads.select(*kept, ticket.alias("ticket"))
-
-    piece = F.substring("ticket", 1, F.col("digits"))
-    slices = tickets(deep).groupBy("sample_id", piece.alias("slice")).agg(F.count(F.lit(1)).alias("c"))
-    upto = W.partitionBy("sample_id").orderBy("slice").rowsBetween(W.unboundedPreceding, W.currentRow)
-    last = slices.withColumn("reach", F.sum("c").over(upto)).where(
-        (F.col("reach") >= depth) & (F.col("reach") - F.col("c") < depth)
-    ).select("sample_id", F.col("slice").alias("last"), (F.lit(depth) - F.col("reach") + F.col("c")).alias("open"))
-    # one key per read: "" below the last slice, the ticket inside it, NULL beyond
-    edge = F.when(piece < F.col("last"), "").when(piece == F.col("last"), F.col("ticket"))
-    grouped = materialise(
-        tickets(deep.join(last, "sample_id"))
-        .select("sample_id", "taxon_id", "open", edge.alias("edge"))
-        .groupBy("sample_id", "taxon_id", "open", "edge")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    whole = grouped.where(F.col("edge") == "").select("sample_id", "taxon_id", "n")
-    rank = F.row_number().over(W.partitionBy("sample_id").orderBy("edge"))
-    ranked = grouped.where(F.col("edge") != "").withColumn("__rank", rank)
-    drawn = ranked.where(F.col("__rank") <= F.col("open")).select("sample_id", "taxon_id", "n")
-    return whole.unionByName(drawn).groupBy("sample_id", "taxon_id").agg(F.sum("n").alias("n"))
+    spark = abundance.sparkSession
+    parts = fan_out(spark)
+    key_type, taxon_type = (abundance.schema[c].dataType.simpleString() for c in ("sample_id", "taxon_id"))
+    shape = f"sample_id {key_type}, taxon_id {taxon_type}, n bigint"
+    counts = abundance.select("sample_id", "taxon_id", F.col("n").cast("bigint").alias("n")).dropna(subset=["sample_id", "n"])
+    totals = counts.groupBy("sample_id").agg(F.sum("n").alias("total")).where(F.col("total") >= depth)
+    prefix = F.concat_ws("|", F.lit(str(seed)), F.col("sample_id").cast("string"), F.col("taxon_id").cast("string"), F.lit(""))
+
+    def arrow(text: str) -> pa.Schema:
+        return to_arrow_schema(T.StructType.fromDDL(text))
+
+    huge = totals.agg(F.max("total")).first()[0]
+    huge = totals.where(F.col("total") > _TASK) if huge is not None and huge > _TASK else None
+    whole = counts if huge is None else counts.join(huge, "sample_id", "left_anti")
+    dealt = whole.repartition(parts, "sample_id").sortWithinPartitions("sample_id")
+    drawn = dealt.select("sample_id", "taxon_id", prefix.alias("prefix"), F.lit(1).cast("bigint").alias("first"), F.col("n").alias("last"))
+    drawn = drawn.mapInArrow(draws.draw(depth, arrow(shape)), shape)
+    if huge is not None:
+        run = F.col("run")
+        runs = counts.where(F.col("n") > 0).join(huge, "sample_id").withColumn(
+            "run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / _RUN))))
+        runs = runs.repartition(parts, "sample_id", "taxon_id", "run").select(
+            "sample_id", "taxon_id", "total", prefix.alias("prefix"), (run * _RUN + 1).alias("first"),
+            F.least("n", (run + 1) * _RUN).alias("last"))
+        few = f"sample_id {key_type}, taxon_id {taxon_type}, high bigint, low bigint"
+        found = runs.mapInArrow(draws.candidates(depth, arrow(few)), few)
+        found = found.repartition(parts, "sample_id").sortWithinPartitions("sample_id")
+        drawn = drawn.unionByName(found.mapInArrow(draws.draw_candidates(depth, arrow(shape)), shape))
+    return drawn
 
 
 def _seed_of(seed: int, *labels) -> np.random.Generator:

@@ -1,6 +1,8 @@
 """Community operators against direct computation and their defining properties."""
 
+import hashlib
 import math
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -130,3 +132,36 @@ def test_pairs_of_one_hot_block_are_complete(spark):
     assert len(pairs) == len(want)
     assert {(r.block, r.ord_x, r.ord_y) for r in pairs} == want
     assert distance.pair_within(rows, [], "ord", tile_rows=50).count() == math.comb(300, 2)
+
+
+def drawn_by_hand(rows, depth, seed=88):
+    """The draw read by read: the smallest MD5 hex strings of each sample."""
+    tickets = defaultdict(list)
+    for sample, taxon, n in rows:
+        for i in range(1, (n or 0) + 1):
+            text = "|".join(str(v) for v in (seed, sample, taxon, i) if v is not None)
+            tickets[sample].append((hashlib.md5(text.encode()).hexdigest(), taxon))
+    out = Counter()
+    for sample, own in tickets.items():
+        if sample is not None and len(own) >= depth:
+            out.update((sample, taxon) for _, taxon in sorted(own, key=lambda t: t[0])[:depth])
+    return out
+
+
+@pytest.mark.parametrize("task", [1 << 18, 500])
+def test_rarefaction_equals_a_draw_read_by_read(spark, monkeypatch, task):
+    # texts of one, two and three MD5 blocks, taxa in several rows or without a name, counts of 0 or missing; large samples in runs
+    monkeypatch.setattr(community, "_TASK", task)
+    monkeypatch.setattr(community, "_RUN", 64)
+    rng = np.random.default_rng(1)
+    names = ["a", "b" * 46, "c" * 47, "d" * 55, "e" * 70, "f" * 130, "\u00e4\u00f6", None]
+    rows = [(s, names[rng.integers(8)], int(rng.integers(0, 120))) for s in range(1, 40) for _ in range(int(rng.integers(1, 14)))]
+    rows += [(77, "a", 100), (77, "g", 1000), (78, "a", 99), (79, "a", 60), (79, "b", 40), (None, "a", 500), (80, "a", None)]
+    df = spark.createDataFrame(rows, "sample_id bigint, taxon_id string, n bigint").repartition(5)
+    got = {(r.sample_id, r.taxon_id): r.n for r in community.rarefy(df, 100).collect()}
+    assert got == dict(drawn_by_hand(rows, 100))
+
+
+def test_rarefaction_makes_no_row_of_a_read(abundance):
+    plan = community.rarefy(abundance, 60)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "md5" not in plan
