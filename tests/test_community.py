@@ -165,3 +165,11 @@ def test_rarefaction_equals_a_draw_read_by_read(spark, monkeypatch, task):
 def test_rarefaction_makes_no_row_of_a_read(abundance):
     plan = community.rarefy(abundance, 60)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "md5" not in plan
+
+
+def test_subset_alpha_hands_no_read_to_a_shuffle(spark, folder):
+    import __spark_entry__
+
+    # rarefaction's part of the plan: nothing below it lists reads
+    plan = __spark_entry__.queries()["k12_subset_alpha"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
