@@ -290,3 +290,22 @@ def test_pair_counts_without_pairs(spark):
     made = {tuple(r) for r in plan.pair_table(samples).groupBy(*keys).count().collect()}
     counted = {tuple(r) for r in dyads.count_pairs(samples, plan.BLOCK).select(*keys, "n").collect()}
     assert made == counted and made
+
+
+@pytest.mark.parametrize("name", ["y1_metadata_and_alpha", "y12_alpha_similarity"])
+def test_alpha_of_pairs_puts_no_reads_on_disk(spark, folder, monkeypatch, name):
+    # rarefaction used to write a row per read and ticket; what is written now has a row per order, at most
+    import __spark_entry__
+    from dyadspark.operators import community
+    from dyadspark.plans import pair_similarity
+
+    written = []
+
+    def watched(df, write=pair_similarity.materialise):
+        written.append((out := write(df)).columns)
+        return out
+
+    monkeypatch.setattr(community, "materialise", watched, raising=False)
+    monkeypatch.setattr(pair_similarity, "materialise", watched)
+    __spark_entry__.queries()[name](spark, folder)
+    assert len(written) == 1 and "sample_id" in written[0] and "edge" not in written[0]
