@@ -292,8 +292,10 @@ def test_pair_counts_without_pairs(spark):
     assert made == counted and made
 
 
-@pytest.mark.parametrize("name", ["y1_metadata_and_alpha", "y12_alpha_similarity"])
-def test_alpha_of_pairs_puts_no_reads_on_disk(spark, folder, monkeypatch, name):
+@pytest.mark.parametrize("name, tables", [
+    ("y1_metadata_and_alpha", 1), ("y12_alpha_similarity", 1), ("y24_aerobic_pairs", 2), ("y25_anaerobic_pairs", 2),
+    ("model_anaerobic_interaction_means", 2)])
+def test_alpha_of_pairs_puts_no_reads_on_disk(spark, folder, monkeypatch, name, tables):
     # rarefaction used to write a row per read and ticket; what is written now has a row per order, at most
     import __spark_entry__
     from dyadspark.operators import community
@@ -308,4 +310,4 @@ def test_alpha_of_pairs_puts_no_reads_on_disk(spark, folder, monkeypatch, name):
     monkeypatch.setattr(community, "materialise", watched, raising=False)
     monkeypatch.setattr(pair_similarity, "materialise", watched)
     __spark_entry__.queries()[name](spark, folder)
-    assert len(written) == 1 and "sample_id" in written[0] and "edge" not in written[0]
+    assert len(written) == tables and all("sample_id" in c and "edge" not in c for c in written)
